@@ -84,14 +84,23 @@ REDACTION_PATTERNS = [
     ("phone", r"(?U)(?:\+?1[\s.\-])?\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b", "[REDACTED_PHONE]"),
 ]
 
-# A text can only match a pattern if it holds every one of these literals (checked before the regex).
-REDACTION_REQUIRED_LITERALS = {
-    "pem_key": ["-----"],
-    "jwt": ["eyJ", "."],
-    "db_connection_string": ["://", "@"],
-    "url_credentials": ["://", "@"],
-    "email": ["@", "."],
-    "ipv4": ["."],
+# Necessary conditions on the case-folded text, checked before a regex runs.  A text can match only
+# if it holds one literal of every list; for the numeric categories the short pattern must occur.
+REDACTION_GUARD_LITERALS = {
+    "pem_key": [["-----begin "]],
+    "jwt": [["eyj"]],
+    "db_connection_string": [["://"], ["@"]],
+    "url_credentials": [["://"], ["@"]],
+    "aws_access_key": [["akia", "aipa", "asia", "aroa"]],
+    "aws_secret_key": [["aws_secret_access_key"]],
+    "bearer_token": [["bearer", "author", "api", "access", "auth"]],
+    "password_kv": [["password", "passwd", "pwd", "secret", "credent"]],
+    "email": [["@"]],
+}
+REDACTION_GUARD_PATTERNS = {
+    "ipv4": r"(?U)\d\.\d",
+    "credit_card": r"(?U)\d{13}",
+    "phone": r"(?U)\d{3}[\s.\-]\d{4}",
 }
 
 # --- log line forms -------------------------------------------------------------------------------
@@ -113,10 +122,9 @@ WHITESPACE = (
     " \t\n\r\u000b\f\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-BLOCK_ANCHOR = r"(?iu)ERROR|EXCEPTION|CRITICAL|FATAL"
-BLOCK_CONTINUATION = (
-    r"""(?U)^\s+(?:at |\.{3}\s*\d+\s+more|Caused by:|Suppressed:|File "|    )|^Caused by:|^Traceback """
-)
+BLOCK_ANCHORS = ["error", "exception", "critical", "fatal"]  # in any case
+BLOCK_CONTINUATION_STARTS = ["Caused by:", "Traceback "]
+BLOCK_CONTINUATION_INDENTED = r"""(?U)^\s+(?:at |\.{3}\s*\d+\s+more|Caused by:|Suppressed:|File "|    )"""
 JAVA_STACK_FRAME = r"(?U)\bat [\w.$]+\("
 TASK_CONTEXT = r"(?iU)Task\s+\d+\s+in\s+stage\s+[\d.]+\s+failed\s+\d+\s+times.*"
 JAVA_EXCEPTION = r"(?U)^([\w.$]+(?:Exception|Error|Failure|Throwable))\s*:\s*(.+)$"

@@ -1,25 +1,55 @@
 """Column functions for text, identifiers and display.  All run JVM-side."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often the body uses it.
+
+    Keeps long derivations one expression of linear size.  As a chain of columns they would be
+    copied into every predicate that the optimizer moves below the projection.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space (Spark's trim() removes blanks only)."""
     return F.btrim(c, F.lit(fv.WHITESPACE))
 
 
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(fv.WHITESPACE))
+
+
 def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(fv.WHITESPACE))
 
 
+def fold_case(c: Column) -> Column:
+    """Lower case that also maps letters whose upper case is ASCII (long s, dotless and dotted i, Kelvin sign)."""
+    return F.lower(F.upper(F.replace(c, F.lit("\u0130"), F.lit("i"))))
+
+
+def contains_any(c: Column, literals: list[str]) -> Column:
+    expr = F.contains(c, F.lit(literals[0]))
+    for x in literals[1:]:
+        expr = expr | F.contains(c, F.lit(x))
+    return expr
+
+
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line break does not yield an empty last line."""
-    parts = F.split(c, fv.LINE_BREAKS)
-    dropped = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
-    return dropped.otherwise(parts)
+
+    def trimmed(parts: Column) -> Column:
+        shorter = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.when(F.element_at(parts, -1) == "", shorter).otherwise(parts)
+
+    return let(F.split(c, fv.LINE_BREAKS), trimmed)
 
 
 def truncate_ellipsis(c: Column, limit: int) -> Column:
@@ -51,7 +81,7 @@ def workspace_of_user(c: Column) -> Column:
 
 def derived_run_id(prefix: Column, *parts: Column) -> Column:
     """A run id that a replay reproduces: ``<prefix>-<8 hex digits of a hash over parts>``."""
-    text = [F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]
+    text = [F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]
     return F.concat(prefix, F.lit("-"), F.substring(F.sha2(F.concat_ws("\u0001", *text), 256), 1, 8))
 
 

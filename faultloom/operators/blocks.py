@@ -16,43 +16,43 @@ ANCHOR, CONTINUATION, OTHER = "A", "C", "O"
 
 
 def line_class(line: Column) -> Column:
+    """A (anchor), C (continuation) or O (other); a continuation is never an anchor."""
+    indented = (tx.lstrip(line) != line) & F.rlike(line, F.lit(fv.BLOCK_CONTINUATION_INDENTED))
+    starts = [F.startswith(line, F.lit(x)) for x in fv.BLOCK_CONTINUATION_STARTS]
     return (
-        F.when(F.rlike(line, F.lit(fv.BLOCK_CONTINUATION)), F.lit(CONTINUATION))
-        .when(F.rlike(line, F.lit(fv.BLOCK_ANCHOR)), F.lit(ANCHOR))
+        F.when(indented | starts[0] | starts[1], F.lit(CONTINUATION))
+        .when(tx.contains_any(tx.fold_case(line), fv.BLOCK_ANCHORS), F.lit(ANCHOR))
         .otherwise(F.lit(OTHER))
     )
 
 
-def with_text_blocks(df: DataFrame, column: str, out: str = "blocks") -> DataFrame:
+def text_blocks(text: Column) -> Column:
     """Blocks of a multi-line text as ``array<array<string>>`` (one inner array of lines per block).
 
     Linear in the text: the positions of the non-continuation lines bound the blocks, so each
-    block is one slice.  Row-local; works on streams.
+    block is one slice.
     """
-    marked = F.filter(
-        F.transform(
-            F.col("_lines"),
-            lambda line, i: F.struct(i.alias("pos"), line_class(line).alias("cls")),
-        ),
-        lambda m: m["cls"] != CONTINUATION,
-    )
-    bounded = F.transform(
-        F.col("_marks"),
-        lambda m, i: F.struct(
-            m["pos"].alias("start"),
-            F.coalesce(F.get(F.col("_marks"), i + 1)["pos"], F.size("_lines")).alias("end"),
-            m["cls"].alias("cls"),
-        ),
-    )
-    blocks = F.transform(
-        F.filter(bounded, lambda b: b["cls"] == ANCHOR),
-        lambda b: F.slice(F.col("_lines"), b["start"] + 1, b["end"] - b["start"]),
-    )
-    return (
-        df.withColumn("_lines", tx.split_lines(F.coalesce(F.col(column), F.lit(""))))
-        .withColumn("_marks", marked)
-        .withColumn(out, blocks)
-        .drop("_lines", "_marks")
+
+    def solid(lines: Column) -> Column:
+        marked = F.transform(
+            lines, lambda line, i: F.struct(i.alias("pos"), line_class(line).alias("cls"))
+        )
+        return F.filter(marked, lambda m: m["cls"] != CONTINUATION)
+
+    def cut(lines: Column, marks: Column) -> Column:
+        bounded = F.transform(
+            marks,
+            lambda m, i: F.struct(
+                m["pos"].alias("start"),
+                F.coalesce(F.get(marks, i + 1)["pos"], F.size(lines)).alias("end"),
+                m["cls"].alias("cls"),
+            ),
+        )
+        anchored = F.filter(bounded, lambda b: b["cls"] == ANCHOR)
+        return F.transform(anchored, lambda b: F.slice(lines, b["start"] + 1, b["end"] - b["start"]))
+
+    return tx.let(
+        tx.split_lines(F.coalesce(text, F.lit(""))), lambda lines: tx.let(solid(lines), lambda marks: cut(lines, marks))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from .blocks import with_text_blocks
+from .blocks import text_blocks
 
 
 def _has(c: Column, pattern: str) -> Column:
@@ -96,41 +96,34 @@ def _traceback(lines: Column) -> Column:
     return F.aggregate(pairs, start, step)
 
 
-def extract_exceptions(blocks: DataFrame, block: str = "block", *, message: str | None = None) -> DataFrame:
-    """Exception fields for an ``array<string>`` of block lines.
+_EMPTY = "array<string>"
 
-    Adds source_format, exception_class/message, root_cause_class/message, causal_chain,
-    user_frames, task_context, category, severity, signature, summary and raw_block.  With
-    ``message`` a null block falls back to the text before the message's first colon.
-    Row-local: expressions only, no shuffle.
-    """
-    lines, text = F.col(block), F.col("raw_block")
-    null = F.lit(None).cast("string")
-    none = F.array().cast("array<string>")
-    java, python = F.col("_form") == "spark_java", F.col("_form") == "airflow"
-    fallback = F.lit("") if message is None else F.coalesce(F.col(message), F.lit(""))
-
-    df = blocks.withColumn("raw_block", F.coalesce(F.array_join(lines, "\n"), fallback))
-    form = (
-        F.when(lines.isNull(), F.lit("message"))
-        .when(
-            F.contains(text, F.lit("Caused by:")) | F.contains(text, F.lit("PythonException"))
-            | _has(text, fv.JAVA_STACK_FRAME) | _has(text, fv.TASK_CONTEXT),
-            F.lit("spark_java"),
-        )
-        .when(
-            _has(text, fv.TRACEBACK_HEADER) | _has(text, fv.AIRFLOW_CONTEXT) | _has(text, fv.PYTHON_EXCEPTION),
-            F.lit("airflow"),
-        )
-        .otherwise(F.lit("generic"))
+
+def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, category, text) -> Column:
+    return F.struct(
+        F.lit(form).alias("source_format"),
+        cls.alias("exception_class"),
+        msg.alias("exception_message"),
+        root_cls.alias("root_cause_class"),
+        root_msg.alias("root_cause_message"),
+        chain.alias("causal_chain"),
+        frames.alias("user_frames"),
+        task.alias("task_context"),
+        category.alias("category"),
+        text.alias("raw_block"),
     )
-    df = df.withColumn("_form", form)
 
-    # Parts that only one of the two trace forms needs.
-    stripped = F.transform(lines, tx.strip)
-    top = _first(F.filter(stripped, lambda x: _has(x, fv.JAVA_EXCEPTION)))
-    first_text = F.coalesce(
-        _first(F.filter(stripped, lambda x: x != "")), F.lit("UnknownException: unknown")
+
+def _java_record(lines: Column, text: Column) -> Column:
+    """Java trace: top exception, cause chain, root cause, user frames, task context."""
+    unknown = F.lit("UnknownException")
+    stripped = F.transform(lines, lambda x: tx.strip(x))
+    exceptions = F.transform(
+        F.filter(stripped, lambda x: _has(x, fv.JAVA_EXCEPTION)),
+        lambda x: F.struct(
+            _short_class(F.regexp_extract(x, fv.JAVA_EXCEPTION, 1)).alias("cls"),
+            tx.strip(F.regexp_extract(x, fv.JAVA_EXCEPTION, 2)).alias("msg"),
+        ),
     )
     causes = F.transform(
         F.filter(lines, lambda x: _has(x, fv.CAUSED_BY)),
@@ -139,97 +132,87 @@ def extract_exceptions(blocks: DataFrame, block: str = "block", *, message: str
             tx.strip(F.regexp_extract(x, fv.CAUSED_BY, 2)).alias("msg"),
         ),
     )
-    java_frames = F.slice(
-        F.transform(
-            F.filter(
-                stripped, lambda x: F.startswith(x, F.lit("at ")) & ~_has(x, fv.FRAMEWORK_FRAME)
-            ),
-            lambda x: F.substring(x, 4, 2_000_000_000),
-        ),
-        1,
-        fv.JAVA_FRAMES_MAX,
+    first_text = F.coalesce(
+        _first(F.filter(stripped, lambda x: x != "")), F.lit("UnknownException: unknown")
     )
-    java_task = tx.strip(
+    user = F.filter(stripped, lambda x: F.startswith(x, F.lit("at ")) & ~_has(x, fv.FRAMEWORK_FRAME))
+    frames = F.slice(
+        F.transform(user, lambda x: F.substring(x, 4, 2_000_000_000)), 1, fv.JAVA_FRAMES_MAX
+    )
+    task = tx.strip(
         F.regexp_extract(_first(F.filter(lines, lambda x: _has(x, fv.TASK_CONTEXT))), fv.TASK_CONTEXT, 0)
     )
-    python_task = F.substring(
-        tx.strip(
-            F.regexp_extract(
-                _first(F.filter(lines, lambda x: _has(x, fv.AIRFLOW_CONTEXT))), fv.AIRFLOW_CONTEXT, 1
-            )
+    # The Python error inside a PythonException; empty when there is none.
+    wrapped = F.when(
+        F.contains(text, F.lit("PythonException")), tx.strip(F.regexp_extract(text, fv.PYTHON_EXCEPTION_INNER, 1))
+    ).otherwise(F.lit(""))
+
+    def root(parts: Column) -> Column:
+        top, last, inner = parts["top"], F.try_element_at(parts["causes"], F.lit(-1)), parts["inner"]
+        cls = F.coalesce(last["cls"], top["cls"], unknown)
+        msg = F.when(last.isNotNull(), last["msg"]).otherwise(top["msg"])
+        replaced = (cls == F.coalesce(top["cls"], unknown)) & (inner != "")
+        return F.when(
+            replaced,
+            F.struct(
+                tx.strip(F.substring_index(inner, ":", 1)).alias("cls"),
+                tx.strip(F.regexp_replace(inner, r"(?s)^[^:]*:", "")).alias("msg"),
+            ),
+        ).otherwise(F.struct(cls.alias("cls"), F.when(msg != "", msg).otherwise(F.lit("unknown")).alias("msg")))
+
+    def record(parts: Column, found: Column) -> Column:
+        return _record(
+            "spark_java", F.coalesce(parts["top"]["cls"], unknown), F.coalesce(parts["top"]["msg"], first_text),
+            found["cls"], found["msg"],
+            F.transform(parts["causes"], lambda c: F.concat(c["cls"], F.lit(": "), c["msg"])),
+            frames, task, classify(text), text,
+        )
+
+    parts = F.struct(_first(exceptions).alias("top"), causes.alias("causes"), wrapped.alias("inner"))
+    return tx.let(parts, lambda p: tx.let(root(p), lambda r: record(p, r)))
+
+
+def _python_record(lines: Column, text: Column) -> Column:
+    """Python traceback or scheduler line: class, message, frames, task context."""
+    context = _first(F.filter(lines, lambda x: _has(x, fv.AIRFLOW_CONTEXT)))
+    task = F.substring(tx.strip(F.regexp_extract(context, fv.AIRFLOW_CONTEXT, 1)), 1, fv.TASK_CONTEXT_CHARS)
+    return tx.let(
+        _traceback(lines),
+        lambda t: _record(
+            "airflow", t["cls"], t["msg"], t["cls"], t["msg"], F.array().cast(_EMPTY), t["frames"], task,
+            classify(text), text,
         ),
-        1,
-        fv.TASK_CONTEXT_CHARS,
-    )
-    inner = tx.strip(F.regexp_extract(text, fv.PYTHON_EXCEPTION_INNER, 1))
-    df = (
-        df.withColumn("_top", F.when(java, top))
-        .withColumn("_first", F.when(java, first_text))
-        .withColumn("_causes", F.when(java, causes))
-        .withColumn("_inner", F.when(java & F.contains(text, F.lit("PythonException")), inner))
-        .withColumn("_py", F.when(python, _traceback(lines)))
-        .withColumn("user_frames", F.when(java, java_frames).when(python, F.col("_py.frames")).otherwise(none))
-        .withColumn("task_context", F.when(java, java_task).when(python, python_task).otherwise(null))
-        .withColumn("_top_cls", _short_class(F.regexp_extract("_top", fv.JAVA_EXCEPTION, 1)))
-        .withColumn("_top_msg", tx.strip(F.regexp_extract("_top", fv.JAVA_EXCEPTION, 2)))
-        .withColumn("_last", F.try_element_at("_causes", F.lit(-1)))
     )
 
-    head = F.substring(tx.strip(F.substring_index(text, ":", 1)), 1, fv.GENERIC_CLASS_CHARS)
-    message_cls = F.when(head == "", F.lit("UnknownError")).otherwise(head)
-    generic_msg = F.substring(
-        F.when(lines.isNull(), text).otherwise(_first(tx.split_lines(tx.strip(text)))), 1, fv.GENERIC_MESSAGE_CHARS
-    )
-    other_cls = F.when(lines.isNull(), message_cls).otherwise(F.lit("UnknownError"))
-    unknown = F.lit("UnknownException")
-    df = df.withColumn(
-        "exception_class",
-        F.when(java, F.coalesce("_top_cls", unknown)).when(python, F.col("_py.cls")).otherwise(other_cls),
-    ).withColumn(
-        "exception_message",
-        F.when(java, F.coalesce("_top_msg", "_first")).when(python, F.col("_py.msg")).otherwise(generic_msg),
-    )
-    java_root = F.coalesce(F.col("_last.cls"), F.col("_top_cls"), unknown)
-    unwrap = (java_root == F.col("exception_class")) & (F.col("_inner") != "")
-    found_msg = F.when(F.col("_last").isNotNull(), F.col("_last.msg")).otherwise(F.col("_top_msg"))
-    java_msg = F.when(found_msg != "", found_msg).otherwise(F.lit("unknown"))
-    inner_cls = tx.strip(F.substring_index("_inner", ":", 1))
-    inner_msg = tx.strip(F.regexp_replace("_inner", r"(?s)^[^:]*:", ""))
-    df = (
-        df.withColumn(
-            "root_cause_class",
-            F.when(java & F.coalesce(unwrap, F.lit(False)), inner_cls)
-            .when(java, java_root)
-            .otherwise(F.col("exception_class")),
-        )
-        .withColumn(
-            "root_cause_message",
-            F.when(java & F.coalesce(unwrap, F.lit(False)), inner_msg)
-            .when(java, java_msg)
-            .otherwise(F.col("exception_message")),
-        )
-        .withColumn(
-            "causal_chain",
-            F.coalesce(F.transform("_causes", lambda x: F.concat(x["cls"], F.lit(": "), x["msg"])), none),
-        )
-        .withColumn("category", F.when(java | python, classify(text)).otherwise(F.lit(fv.DEFAULT_CATEGORY)))
+
+def _plain_record(cls: Column, msg: Column, text: Column) -> Column:
+    none = F.array().cast(_EMPTY)
+    message = F.substring(msg, 1, fv.GENERIC_MESSAGE_CHARS)
+    return _record(
+        "generic", cls, message, cls, message, none, none, F.lit(None).cast("string"), F.lit(fv.DEFAULT_CATEGORY), text
     )
-    df = (
-        df.withColumn("severity", severity_of(F.col("category")))
-        .withColumn("signature", F.concat_ws(":", "category", "root_cause_class"))
-        .withColumn("source_format", F.when(F.col("_form") == "message", F.lit("generic")).otherwise(F.col("_form")))
-        .withColumn("summary", debug_context())
+
+
+def _is_java(text: Column) -> Column:
+    return (
+        tx.contains_any(text, ["Caused by:", "PythonException"])
+        | (F.contains(text, F.lit("at ")) & _has(text, fv.JAVA_STACK_FRAME))
+        | (F.contains(tx.fold_case(text), F.lit("task")) & _has(text, fv.TASK_CONTEXT))
     )
-    return df.drop(
-        "_form", "_top", "_first", "_causes", "_inner", "_py", "_top_cls", "_top_msg", "_last"
+
+
+def _is_python(text: Column) -> Column:
+    return (
+        _has(text, fv.TRACEBACK_HEADER)
+        | (F.contains(text, F.lit("{taskinstance.py:")) & _has(text, fv.AIRFLOW_CONTEXT))
+        | _has(text, fv.PYTHON_EXCEPTION)
     )
 
 
-def debug_context(max_chars: int = fv.SUMMARY_MAX_CHARS) -> Column:
-    """Compact text of one exception row: context, exception, causes, root cause, user frames."""
-    chain, frames = F.col("causal_chain"), F.col("user_frames")
-    n = F.size(chain)
-    last = F.slice(chain, F.greatest(n - fv.SUMMARY_CAUSES + 1, F.lit(1)), fv.SUMMARY_CAUSES)
+def debug_context(e: Column, max_chars: int = fv.SUMMARY_MAX_CHARS) -> Column:
+    """Compact text of an exception struct: context, exception, causes, root cause, user frames."""
+    chain = e["causal_chain"]
+    last = F.slice(chain, F.greatest(F.size(chain) - fv.SUMMARY_CAUSES + 1, F.lit(1)), fv.SUMMARY_CAUSES)
 
     def listed(title: str, items: Column, mark: str) -> Column:
         body = F.array_join(F.transform(items, lambda x: F.concat(F.lit(mark), x)), "\n")
@@ -237,27 +220,84 @@ def debug_context(max_chars: int = fv.SUMMARY_MAX_CHARS) -> Column:
 
     text = F.concat_ws(
         "\n",
-        F.when(F.col("task_context") != "", F.concat(F.lit("Task context: "), "task_context")),
-        F.concat(F.lit("Exception: "), "exception_class", F.lit(": "), "exception_message"),
+        F.when(e["task_context"] != "", F.concat(F.lit("Task context: "), e["task_context"])),
+        F.concat(F.lit("Exception: "), e["exception_class"], F.lit(": "), e["exception_message"]),
         listed("Caused by chain:", last, "  → "),
         F.when(
-            F.col("root_cause_class") != F.col("exception_class"),
-            F.concat(F.lit("Root cause: "), "root_cause_class", F.lit(": "), "root_cause_message"),
+            e["root_cause_class"] != e["exception_class"],
+            F.concat(F.lit("Root cause: "), e["root_cause_class"], F.lit(": "), e["root_cause_message"]),
         ),
-        listed("User code frames:", F.slice(frames, 1, fv.SUMMARY_FRAMES), "  "),
+        listed("User code frames:", F.slice(e["user_frames"], 1, fv.SUMMARY_FRAMES), "  "),
     )
     return F.substring(text, 1, max_chars)
 
 
+def exception_of_block(lines: Column) -> Column:
+    """Exception struct of one block (an array of its lines)."""
+
+    def record(text: Column) -> Column:
+        generic = _plain_record(
+            F.lit("UnknownError"), _first(tx.split_lines(tx.strip(text))), text
+        )
+        return (
+            F.when(_is_java(text), _java_record(lines, text))
+            .when(_is_python(text), _python_record(lines, text))
+            .otherwise(generic)
+        )
+
+    return tx.let(F.array_join(lines, "\n"), record)
+
+
+def exception_of_message(message: Column) -> Column:
+    """Exception struct of a message: its first block, else the text before the first colon."""
+
+    def without_block(text: Column) -> Column:
+        head = F.substring(tx.strip(F.substring_index(text, ":", 1)), 1, fv.GENERIC_CLASS_CHARS)
+        cls = F.when(head == "", F.lit("UnknownError")).otherwise(head)
+        return _plain_record(cls, text, text)
+
+    return tx.let(
+        _first(text_blocks(message)),
+        lambda block: F.when(block.isNotNull(), exception_of_block(block)).otherwise(
+            without_block(F.coalesce(message, F.lit("")))
+        ),
+    )
+
+
+FIELDS = [
+    "source_format", "exception_class", "exception_message", "root_cause_class", "root_cause_message",
+    "causal_chain", "user_frames", "task_context", "category", "raw_block",
+]
+
+
+def _with_fields(df: DataFrame, exception: Column) -> DataFrame:
+    """Add the struct's fields and severity, signature and summary as columns."""
+    staged = df.withColumn("_e", exception)
+    e = F.col("_e")
+    return staged.withColumns(
+        {
+            **{f: e[f] for f in FIELDS},
+            "severity": severity_of(e["category"]),
+            "signature": F.concat_ws(":", e["category"], e["root_cause_class"]),
+            "summary": debug_context(e),
+        }
+    ).drop("_e")
+
+
+def extract_exceptions(blocks: DataFrame, block: str = "block") -> DataFrame:
+    """Exception fields for a column of block lines; expressions only, no shuffle."""
+    return _with_fields(blocks, exception_of_block(F.col(block)))
+
+
 def parse_errors(df: DataFrame, column: str = "message") -> DataFrame:
-    """Exception fields of the first block of each message; one output row per input row."""
-    first = with_text_blocks(df, column, "_blocks").withColumn("_block", _first(F.col("_blocks"))).drop("_blocks")
-    return extract_exceptions(first, "_block", message=column).drop("_block")
+    """Exception fields of the first block of each message; one output row per input row.
+
+    Row-local, so it needs no shuffle and works on streams.
+    """
+    return _with_fields(df, exception_of_message(F.col(column)))
 
 
 def parse_all_blocks(df: DataFrame, column: str = "message") -> DataFrame:
     """Exception fields of every block: one output row per block, with block_no from 0."""
-    exploded = with_text_blocks(df, column, "_blocks").select(
-        "*", F.posexplode("_blocks").alias("block_no", "_block")
-    ).drop("_blocks")
+    exploded = df.select("*", F.posexplode(text_blocks(F.col(column))).alias("block_no", "_block"))
     return extract_exceptions(exploded, "_block").drop("_block")

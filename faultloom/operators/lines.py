@@ -12,6 +12,11 @@ def normal_level(level: Column) -> Column:
     return F.when(up == "WARNING", F.lit("WARN")).otherwise(up)
 
 
+_SHORT = r"^(\d{2})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2})$"
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"
+_ISO_COMPAT = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z| \d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?)$"
+
+
 def parse_timestamp(raw: Column, *, compat: bool = False) -> Column:
     """Timestamp of a log stamp, or null when no form fits.
 
@@ -21,29 +26,46 @@ def parse_timestamp(raw: Column, *, compat: bool = False) -> Column:
     value = tx.strip(raw)
     if compat:
         value = tx.rstrip(F.regexp_replace(value, r"[+-]\d{2}:?\d{2}$", ""))
-    short = r"^(\d{2})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2})$"
-    year = F.regexp_extract(value, short, 1)
-    century = F.when(year >= "69", F.lit("19")).otherwise(F.lit("20"))
-    log4j = F.concat(
-        century, year, F.lit("-"), F.regexp_extract(value, short, 2), F.lit("-"),
-        F.regexp_extract(value, short, 3), F.lit(" "), F.regexp_extract(value, short, 4), F.lit("Z"),
-    )
-    if compat:
-        accepted = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z| \d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?)$"
-    else:
-        accepted = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?$"
-    dotted = F.translate(value, ",", ".")
-    zoned = (
-        F.when(F.rlike(dotted, F.lit(r"(?:Z|:\d{2}(?:\.\d+)?[+-]\d{2}:\d{2})$")), dotted)
-        .when(
-            F.rlike(dotted, F.lit(r":\d{2}(?:\.\d+)?[+-]\d{4}$")),
-            F.regexp_replace(dotted, r"(\d{2})$", ":$1"),
+
+    def with_zone(v: Column) -> Column:
+        return (
+            F.when(F.rlike(v, F.lit(r"(?:Z|:\d{2}(?:\.\d+)?[+-]\d{2}:\d{2})$")), v)
+            .when(F.rlike(v, F.lit(r":\d{2}(?:\.\d+)?[+-]\d{4}$")), F.regexp_replace(v, r"(\d{2})$", ":$1"))
+            .otherwise(F.concat(v, F.lit("Z")))
+        )
+
+    def normal(v: Column) -> Column:
+        century = F.when(F.substring(v, 1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
+        short = F.concat(century, F.regexp_replace(v, _SHORT, "$1-$2-$3 $4Z"))
+        iso = tx.let(F.translate(v, ",", "."), with_zone)
+        return F.when(F.rlike(v, F.lit(_SHORT)), short).when(
+            F.rlike(v, F.lit(_ISO_COMPAT if compat else _ISO)), iso
+        )
+
+    return tx.let(value, normal).try_cast("timestamp")
+
+
+def parsed_line(line: Column) -> Column:
+    """Struct (form, stamp, level, logger, message) of a raw line, or null for blank and unknown lines."""
+
+    def fields(text: Column, form: str, pattern: str, message: int, logger: int | None = None) -> Column:
+        named = F.lit(None).cast("string") if logger is None else F.regexp_extract(text, pattern, logger)
+        return F.struct(
+            F.lit(form).alias("form"),
+            F.regexp_extract(text, pattern, 1).alias("stamp"),
+            F.regexp_extract(text, pattern, 2).alias("level"),
+            named.alias("logger"),
+            tx.strip(F.regexp_extract(text, pattern, message)).alias("message"),
+        )
+
+    def parse(text: Column) -> Column:
+        return (
+            F.when(F.rlike(text, F.lit(fv.LINE_AIRFLOW)), fields(text, "airflow", fv.LINE_AIRFLOW, 3))
+            .when(F.rlike(text, F.lit(fv.LINE_LOG4J)), fields(text, "spark", fv.LINE_LOG4J, 4, 3))
+            .when(F.rlike(text, F.lit(fv.LINE_ISO)), fields(text, "spark", fv.LINE_ISO, 3))
         )
-        .otherwise(F.concat(dotted, F.lit("Z")))
-    )
-    iso = F.when(F.rlike(value, F.lit(accepted)), zoned)
-    text = F.when(F.rlike(value, F.lit(short)), log4j).otherwise(iso)
-    return text.try_cast("timestamp")
+
+    return tx.let(tx.rstrip(line), parse)
 
 
 def parse_lines(
@@ -52,41 +74,25 @@ def parse_lines(
     """Keep the lines that have a known form and add the parsed fields.
 
     Adds level, message, logger (Log4j form only), ts, ts_inferred, timestamp (ISO text) and
-    source_format.  Blank lines and unknown forms are dropped.  A stamp that cannot be read takes
-    ``ingest_ts`` (default: the query's current time) and sets ``ts_inferred``.
+    source_format.  A stamp that cannot be read takes ``ingest_ts`` (default: the query's current
+    time) and sets ``ts_inferred``.
     """
     now = F.current_timestamp() if ingest_ts is None else ingest_ts
-    text = F.col("_line")
-    form = (
-        F.when(F.rlike(text, F.lit(fv.LINE_AIRFLOW)), F.lit(1))
-        .when(F.rlike(text, F.lit(fv.LINE_LOG4J)), F.lit(2))
-        .when(F.rlike(text, F.lit(fv.LINE_ISO)), F.lit(3))
-    )
-
-    def field(airflow: int, log4j: int, iso: int) -> Column:
-        return (
-            F.when(F.col("_form") == 1, F.regexp_extract(text, fv.LINE_AIRFLOW, airflow))
-            .when(F.col("_form") == 2, F.regexp_extract(text, fv.LINE_LOG4J, log4j))
-            .otherwise(F.regexp_extract(text, fv.LINE_ISO, iso))
-        )
-
-    matched = (
-        lines.withColumn("_line", tx.rstrip(F.col(line)))
-        .withColumn("_form", form)
-        .filter(F.col("_form").isNotNull())
-    )
-    parsed = matched.withColumn("_stamp", field(1, 1, 1)).withColumn(
-        "_ts", parse_timestamp(F.col("_stamp"), compat=compat)
-    )
+    parsed = lines.withColumn("_line", parsed_line(F.col(line))).filter(F.col("_line").isNotNull())
+    timed = parsed.withColumn("_ts", parse_timestamp(F.col("_line.stamp"), compat=compat))
     return (
-        parsed.withColumn("level", normal_level(field(2, 2, 2)))
-        .withColumn("message", tx.strip(field(3, 4, 3)))
-        .withColumn("logger", F.when(F.col("_form") == 2, F.regexp_extract(text, fv.LINE_LOG4J, 3)))
-        .withColumn("ts", F.coalesce("_ts", now))
-        .withColumn("ts_inferred", F.col("_ts").isNull())
+        timed.withColumns(
+            {
+                "level": normal_level(F.col("_line.level")),
+                "message": F.col("_line.message"),
+                "logger": F.col("_line.logger"),
+                "ts": F.coalesce("_ts", now),
+                "ts_inferred": F.col("_ts").isNull(),
+                "source_format": F.col("_line.form"),
+            }
+        )
         .withColumn("timestamp", tx.iso_utc(F.col("ts")))
-        .withColumn("source_format", F.when(F.col("_form") == 1, F.lit("airflow")).otherwise(F.lit("spark")))
-        .drop("_line", "_form", "_stamp", "_ts")
+        .drop("_line", "_ts")
     )
 
 

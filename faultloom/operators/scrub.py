@@ -6,42 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import text as tx
 
 
-def _may_match(text: Column, category: str) -> Column | None:
-    literals = fv.REDACTION_REQUIRED_LITERALS.get(category)
-    if not literals:
-        return None
-    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(x)) for x in literals])
+def _may_match(folded: Column, category: str) -> Column:
+    if category in fv.REDACTION_GUARD_PATTERNS:
+        return F.rlike(folded, F.lit(fv.REDACTION_GUARD_PATTERNS[category]))
+    groups = fv.REDACTION_GUARD_LITERALS[category]
+    return reduce(lambda a, b: a & b, [tx.contains_any(folded, g) for g in groups])
+
+
+def scrubbed(text: Column) -> Column:
+    """Struct (text, redactions) of a redacted text.
+
+    One fold over the twelve categories: each works on the text that the previous one left.
+    Substring checks on the case-folded original decide first which regexes need to run at all;
+    tokens put into the text cannot make a skipped category match.
+    """
+    start = F.struct(
+        text.alias("text"), tx.fold_case(text).alias("folded"), F.array().cast("array<string>").alias("redactions")
+    )
+
+    def step(state: Column, i: Column) -> Column:
+        expr = None
+        for n, (category, pattern, token) in enumerate(fv.REDACTION_PATTERNS):
+            hit = _may_match(state["folded"], category) & F.rlike(state["text"], F.lit(pattern))
+            replaced = F.struct(
+                F.regexp_replace(state["text"], pattern, token).alias("text"),
+                state["folded"].alias("folded"),
+                F.array_append(state["redactions"], F.lit(category)).alias("redactions"),
+            )
+            result = F.when(hit, replaced).otherwise(state)
+            expr = F.when(i == n, result) if expr is None else expr.when(i == n, result)
+        return expr.otherwise(state)
+
+    rounds = F.array(*[F.lit(n) for n in range(len(fv.REDACTION_PATTERNS))])
+    return F.aggregate(
+        rounds, start, step, lambda s: F.struct(s["text"].alias("text"), s["redactions"].alias("redactions"))
+    )
 
 
 def scrub(df: DataFrame, column: str, *, out: str | None = None, redactions: str = "redactions") -> DataFrame:
     """Redact ``column``; adds the list of categories that hit, in category order.
 
-    Each category works on the text that the previous one left.  A regex runs once per clean row
-    and twice on a hit; substring checks skip most regexes altogether.  The result is null-safe:
-    null and empty texts come back unchanged with no redactions.  Row-local, so it needs no shuffle
+    Null and empty texts come back unchanged with no redactions.  Row-local, so it needs no shuffle
     and works on streams.
     """
-    out = out or column
-    current = df.withColumn("_text", F.col(column))
-    flags = []
-    for i, (category, pattern, token) in enumerate(fv.REDACTION_PATTERNS):
-        hit = F.rlike(F.col("_text"), F.lit(pattern))
-        guard = _may_match(F.col("_text"), category)
-        flag = f"_hit{i}"
-        current = current.withColumn(flag, F.coalesce(hit if guard is None else guard & hit, F.lit(False)))
-        current = current.withColumn(
-            "_text",
-            F.when(F.col(flag), F.regexp_replace("_text", pattern, token)).otherwise(F.col("_text")),
-        )
-        flags.append((flag, category))
-    found = F.array_compact(F.array(*[F.when(F.col(f), F.lit(c)) for f, c in flags]))
-    return (
-        current.withColumn(redactions, found)
-        .withColumn(out, F.col("_text"))
-        .drop("_text", *[f for f, _ in flags])
-    )
+    staged = df.withColumn("_scrubbed", scrubbed(F.col(column)))
+    return staged.withColumns(
+        {out or column: F.col("_scrubbed.text"), redactions: F.col("_scrubbed.redactions")}
+    ).drop("_scrubbed")
 
 
 def redaction_audit(scrubbed: DataFrame, by: list[str], redactions: str = "redactions") -> DataFrame:

@@ -77,6 +77,8 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO")).alias("level"),
         F.col("ts").cast("timestamp").alias("ts"),
         message().alias("message"),
+        "event_type",
+        "user_id",
         "value",
     )
 

@@ -87,13 +87,13 @@ def from_generic(df: DataFrame, now: Column) -> DataFrame:
 
 def from_parsed_lines(
     parsed: DataFrame, job_id: Column, *, source: str = "agent", workspace_id: str = "default",
-    identity: tuple[str, ...] = ("path", "split_start", "row_no"),
+    identity: tuple[str, ...] = ("path", "split_start", "row_no"), keep: tuple[str, ...] = ("ts", "ts_inferred"),
 ) -> DataFrame:
     """Events of parsed log lines; the run id is derived from where the line stands."""
     where = [F.col(c) for c in identity if c in parsed.columns]
     return _event(
         parsed.withColumn("_run", tx.derived_run_id(job_id, *where, F.col("message"))),
-        ["ts", "ts_inferred"],
+        list(keep),
         source=F.lit(source), workspace_id=F.lit(workspace_id), job_id=job_id, run_id=F.col("_run"),
         level=F.col("level"), timestamp=F.col("timestamp"), message=F.col("message"),
     )
