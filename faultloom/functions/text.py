@@ -2,12 +2,30 @@
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 
 
+def remembered(build: Callable[[str], Column]) -> Callable[[str], Column]:
+    """Keep the expression built for a column name while the Spark context lives.
+
+    Long expressions take a thousand calls from Python to the JVM; a session that plans many
+    queries, or a stream that plans one per batch, then pays for them once.
+    """
+    built: dict[tuple[str, str], Column] = {}
+
+    def get(name: str) -> Column:
+        key = (SparkContext.getOrCreate().applicationId, name)
+        if key not in built:
+            built[key] = build(name)
+        return built[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often the body uses it.
 

@@ -99,7 +99,7 @@ def _traceback(lines: Column) -> Column:
 _EMPTY = "array<string>"
 
 
-def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, category, text) -> Column:
+def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, text) -> Column:
     return F.struct(
         F.lit(form).alias("source_format"),
         cls.alias("exception_class"),
@@ -109,7 +109,6 @@ def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, category, t
         chain.alias("causal_chain"),
         frames.alias("user_frames"),
         task.alias("task_context"),
-        category.alias("category"),
         text.alias("raw_block"),
     )
 
@@ -165,7 +164,7 @@ def _java_record(lines: Column, text: Column) -> Column:
             "spark_java", F.coalesce(parts["top"]["cls"], unknown), F.coalesce(parts["top"]["msg"], first_text),
             found["cls"], found["msg"],
             F.transform(parts["causes"], lambda c: F.concat(c["cls"], F.lit(": "), c["msg"])),
-            frames, task, classify(text), text,
+            frames, task, text,
         )
 
     parts = F.struct(_first(exceptions).alias("top"), causes.alias("causes"), wrapped.alias("inner"))
@@ -179,8 +178,7 @@ def _python_record(lines: Column, text: Column) -> Column:
     return tx.let(
         _traceback(lines),
         lambda t: _record(
-            "airflow", t["cls"], t["msg"], t["cls"], t["msg"], F.array().cast(_EMPTY), t["frames"], task,
-            classify(text), text,
+            "airflow", t["cls"], t["msg"], t["cls"], t["msg"], F.array().cast(_EMPTY), t["frames"], task, text,
         ),
     )
 
@@ -189,7 +187,7 @@ def _plain_record(cls: Column, msg: Column, text: Column) -> Column:
     none = F.array().cast(_EMPTY)
     message = F.substring(msg, 1, fv.GENERIC_MESSAGE_CHARS)
     return _record(
-        "generic", cls, message, cls, message, none, none, F.lit(None).cast("string"), F.lit(fv.DEFAULT_CATEGORY), text
+        "generic", cls, message, cls, message, none, none, F.lit(None).cast("string"), text
     )
 
 
@@ -266,27 +264,38 @@ def exception_of_message(message: Column) -> Column:
 
 FIELDS = [
     "source_format", "exception_class", "exception_message", "root_cause_class", "root_cause_message",
-    "causal_chain", "user_frames", "task_context", "category", "raw_block",
+    "causal_chain", "user_frames", "task_context", "raw_block",
 ]
 
 
+def _described(e: Column) -> Column:
+    """The exception struct with category, severity, signature and summary; plain text has no category."""
+
+    def full(category: Column) -> Column:
+        return F.struct(
+            *[e[f].alias(f) for f in FIELDS],
+            category.alias("category"),
+            severity_of(category).alias("severity"),
+            F.concat_ws(":", category, e["root_cause_class"]).alias("signature"),
+            debug_context(e).alias("summary"),
+        )
+
+    category = F.when(e["source_format"] == "generic", F.lit(fv.DEFAULT_CATEGORY)).otherwise(classify(e["raw_block"]))
+    return tx.let(category, full)
+
+
+_block_column = tx.remembered(lambda name: tx.let(exception_of_block(F.col(name)), _described))
+_message_column = tx.remembered(lambda name: tx.let(exception_of_message(F.col(name)), _described))
+
+
 def _with_fields(df: DataFrame, exception: Column) -> DataFrame:
-    """Add the struct's fields and severity, signature and summary as columns."""
-    staged = df.withColumn("_e", exception)
-    e = F.col("_e")
-    return staged.withColumns(
-        {
-            **{f: e[f] for f in FIELDS},
-            "severity": severity_of(e["category"]),
-            "signature": F.concat_ws(":", e["category"], e["root_cause_class"]),
-            "summary": debug_context(e),
-        }
-    ).drop("_e")
+    kept = [c for c in df.columns if c not in (*FIELDS, "category", "severity", "signature", "summary")]
+    return df.select(*kept, exception.alias("_e")).select(*kept, "_e.*")
 
 
 def extract_exceptions(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Exception fields for a column of block lines; expressions only, no shuffle."""
-    return _with_fields(blocks, exception_of_block(F.col(block)))
+    return _with_fields(blocks, _block_column(block))
 
 
 def parse_errors(df: DataFrame, column: str = "message") -> DataFrame:
@@ -294,7 +303,7 @@ def parse_errors(df: DataFrame, column: str = "message") -> DataFrame:
 
     Row-local, so it needs no shuffle and works on streams.
     """
-    return _with_fields(df, exception_of_message(F.col(column)))
+    return _with_fields(df, _message_column(column))
 
 
 def parse_all_blocks(df: DataFrame, column: str = "message") -> DataFrame:

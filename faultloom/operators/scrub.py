@@ -46,13 +46,16 @@ def scrubbed(text: Column) -> Column:
     )
 
 
+_scrubbed_column = tx.remembered(lambda name: scrubbed(F.col(name)))
+
+
 def scrub(df: DataFrame, column: str, *, out: str | None = None, redactions: str = "redactions") -> DataFrame:
     """Redact ``column``; adds the list of categories that hit, in category order.
 
     Null and empty texts come back unchanged with no redactions.  Row-local, so it needs no shuffle
     and works on streams.
     """
-    staged = df.withColumn("_scrubbed", scrubbed(F.col(column)))
+    staged = df.withColumn("_scrubbed", _scrubbed_column(column))
     return staged.withColumns(
         {out or column: F.col("_scrubbed.text"), redactions: F.col("_scrubbed.redactions")}
     ).drop("_scrubbed")
