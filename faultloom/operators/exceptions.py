@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..functions.rows import explode_rows
 from .blocks import text_blocks
 
 
@@ -308,5 +309,5 @@ def parse_errors(df: DataFrame, column: str = "message") -> DataFrame:
 
 def parse_all_blocks(df: DataFrame, column: str = "message") -> DataFrame:
     """Exception fields of every block: one output row per block, with block_no from 0."""
-    exploded = df.select("*", F.posexplode(text_blocks(F.col(column))).alias("block_no", "_block"))
+    exploded = explode_rows(df, ["*"], text_blocks(F.col(column)), "_block", "block_no")
     return extract_exceptions(exploded, "_block").drop("_block")

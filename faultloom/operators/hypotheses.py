@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import text as tx
+from ..functions.rows import explode_rows
 from ..schemas import AI_RESULT
 
 
@@ -55,15 +57,33 @@ def quota_substitute(df: DataFrame, admitted: str = "admitted", ai: str = "ai")
 
 def _rule(signature: Column) -> Column:
     """Rule hypothesis of a signature's category as a CASE expression; null when there is none."""
-    category = F.substring_index(signature, ":", 1)
-    expr = None
-    for name, score, hypothesis, fix in fv.RULES:
-        value = F.struct(
-            F.lit("rule").alias("source"), F.lit(hypothesis).alias("hypothesis"),
-            F.lit(fix).alias("fix"), F.lit(float(score)).alias("score"),
-        )
-        expr = F.when(category == name, value) if expr is None else expr.when(category == name, value)
-    return expr
+
+    def cases(category: Column) -> Column:
+        expr = None
+        for name, score, hypothesis, fix in fv.RULES:
+            value = F.struct(
+                F.lit("rule").alias("source"), F.lit(hypothesis).alias("hypothesis"),
+                F.lit(fix).alias("fix"), F.lit(float(score)).alias("score"),
+            )
+            expr = F.when(category == name, value) if expr is None else expr.when(category == name, value)
+        return expr
+
+    return tx.let(F.substring_index(signature, ":", 1), cases)
+
+
+def _ai_candidate(result: Column) -> Column:
+    return F.when(
+        usable_ai(result["root_cause"]),
+        F.struct(
+            F.lit("ai").alias("source"), result["root_cause"].alias("hypothesis"),
+            F.coalesce(result["suggested_fix"], F.lit("")).alias("fix"),
+            F.coalesce(result["confidence_score"], F.lit(fv.DEFAULT_AI_SCORE)).alias("score"),
+        ),
+    )
+
+
+_rule_column = tx.remembered(lambda name: _rule(F.col(name)))
+_ai_column = tx.remembered(lambda name: tx.let(F.col(name), _ai_candidate))
 
 
 def with_hypotheses(
@@ -75,17 +95,8 @@ def with_hypotheses(
     needs no shuffle; AI wins a tie.  ``rules`` replaces the built-in table: it is joined on the
     category without a hint, one row per category.
     """
-    result = F.col(ai)
-    ai_candidate = F.when(
-        usable_ai(result["root_cause"]),
-        F.struct(
-            F.lit("ai").alias("source"), result["root_cause"].alias("hypothesis"),
-            F.coalesce(result["suggested_fix"], F.lit("")).alias("fix"),
-            F.coalesce(result["confidence_score"], F.lit(fv.DEFAULT_AI_SCORE)).alias("score"),
-        ),
-    )
     if rules is None:
-        staged = df.withColumn("_rule", _rule(F.col(signature)))
+        staged, rule = df, _rule_column(signature)
     else:
         table = rules.select(
             F.col("category").alias("_category"),
@@ -93,12 +104,17 @@ def with_hypotheses(
                 F.lit("rule").alias("source"), "hypothesis", "fix", F.coalesce("score", F.lit(0.0)).alias("score")
             ).alias("_rule"),
         )
-        staged = df.join(table, F.substring_index(df[signature], ":", 1) == table["_category"], "left").drop("_category")
-    staged = staged.withColumn("_ai", ai_candidate)
-    a, r = F.col("_ai"), F.col("_rule")
-    rule_first = a.isNotNull() & r.isNotNull() & (r["score"] > a["score"])
-    ranked = F.when(rule_first, F.array(r, a)).otherwise(F.array_compact(F.array(a, r)))
-    return staged.withColumn("hypotheses", ranked).drop("_ai", "_rule")
+        keyed = df.withColumn("_key", F.substring_index(signature, ":", 1))
+        staged = keyed.join(table, keyed["_key"] == table["_category"], "left").drop("_category", "_key")
+        rule = F.col("_rule")
+
+    def rank(pair: Column) -> Column:
+        a, r = pair["ai"], pair["rule"]
+        rule_first = a.isNotNull() & r.isNotNull() & (r["score"] > a["score"])
+        return F.when(rule_first, F.array(r, a)).otherwise(F.array_compact(F.array(a, r)))
+
+    pair = F.struct(_ai_column(ai).alias("ai"), rule.alias("rule"))
+    return staged.withColumn("hypotheses", tx.let(pair, rank)).drop("_rule")
 
 
 def pick_top(df: DataFrame, *, ai: str = "ai") -> DataFrame:
@@ -117,6 +133,12 @@ def pick_top(df: DataFrame, *, ai: str = "ai") -> DataFrame:
     )
 
 
+def hypothesis_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The ranked hypotheses as rows: (keys, rank, source, hypothesis, fix, score)."""
+    rows = explode_rows(df, keys, F.col("hypotheses"), "_h", "_i")
+    return rows.select(*keys, (F.col("_i") + 1).alias("rank"), "_h.*")
+
+
 def rank_candidates(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Rank candidate rows (source, hypothesis, fix, score) per key: score descending, AI before rule.
 

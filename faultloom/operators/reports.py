@@ -151,8 +151,7 @@ def run_cards(runs: DataFrame) -> DataFrame:
 
 def schema_errors(errors: DataFrame, column: str = "error") -> DataFrame:
     """Errors whose type speaks of a schema or a missing key."""
-    c = F.col(column)
-    return errors.filter(F.contains(c, F.lit("SCHEMA")) | F.contains(c, F.lit("MISSING_KEY")))
+    return errors.filter(F.rlike(F.col(column), F.lit("SCHEMA|MISSING_KEY")))
 
 
 def incident_windows(incidents: DataFrame, width: str = "1 hour", ts: str = "ts") -> DataFrame:

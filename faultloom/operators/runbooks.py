@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..functions.rows import explode_rows
 
 _HEADER = r"(?mdU)(?=^#{2,3}\s+.)"
 _TITLE = r"^(?:#{2,3})(?U:\s+)([^\n]+)"
@@ -83,11 +84,9 @@ def chunk_runbooks(
         ),
     )
     kept = F.filter(F.flatten("_pieces"), lambda c: F.length(c["body"]) >= min_chars)
-    return (
-        files.withColumn("_sections", sections(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_pieces", pieces)
-        .select(*keys, F.posexplode(kept).alias("chunk_index", "_c"))
-        .select(*keys, "chunk_index", F.col("_c.title").alias("section_title"), F.col("_c.body").alias("chunk_text"))
+    cut = files.withColumn("_sections", sections(F.coalesce(F.col(text), F.lit("")))).withColumn("_pieces", pieces)
+    return explode_rows(cut, keys, kept, "_c", "chunk_index").select(
+        *keys, "chunk_index", F.col("_c.title").alias("section_title"), F.col("_c.body").alias("chunk_text")
     )
 
 
@@ -95,7 +94,7 @@ def section_rows(
     files: DataFrame, *, text: str = "markdown_text", keys: tuple[str, ...] = ("workspace_id", "source_file")
 ) -> DataFrame:
     """Section rows (keys, section_no, section_title, body)."""
-    return files.select(*keys, F.posexplode(sections(F.col(text))).alias("section_no", "_s")).select(
+    return explode_rows(files, keys, sections(F.col(text)), "_s", "section_no").select(
         *keys, "section_no", F.col("_s.title").alias("section_title"), "_s.body"
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..functions.rows import explode_rows
 
 
 def _may_match(folded: Column, category: str) -> Column:
@@ -64,7 +65,7 @@ def scrub(df: DataFrame, column: str, *, out: str | None = None, redactions: str
 def redaction_audit(scrubbed: DataFrame, by: list[str], redactions: str = "redactions") -> DataFrame:
     """Rows per redaction category for each combination of ``by`` (partial counts before the shuffle)."""
     return (
-        scrubbed.select(*by, F.explode(redactions).alias("category"))
+        explode_rows(scrubbed, by, F.col(redactions), "category")
         .groupBy(*by, "category")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )

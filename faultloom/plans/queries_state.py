@@ -94,8 +94,7 @@ ranked AS (
     with_views(LOG_EVENTS, RULES, AI, _POOL, select="SELECT seq, CAST(rank AS INTEGER) AS rank, source, hypothesis, fix, score FROM ranked"),
 )
 def rank_hypotheses(spark, sf_dir):
-    rows = ai_events(spark, sf_dir).select("seq", F.posexplode("hypotheses").alias("i", "h"))
-    return rows.select("seq", (F.col("i") + 1).alias("rank"), "h.source", "h.hypothesis", "h.fix", "h.score")
+    return hypotheses.hypothesis_rows(ai_events(spark, sf_dir), ["seq"])
 
 
 @query(
@@ -103,7 +102,7 @@ def rank_hypotheses(spark, sf_dir):
     with_views(LOG_EVENTS, RULES, AI, _POOL, select="SELECT seq, CAST(rank AS INTEGER) AS rank, source, score FROM ranked"),
 )
 def rank_candidate_rows(spark, sf_dir):
-    pool = ai_events(spark, sf_dir).select("seq", F.explode("hypotheses").alias("h")).select("seq", "h.*")
+    pool = hypotheses.hypothesis_rows(ai_events(spark, sf_dir), ["seq"]).drop("rank")
     return hypotheses.rank_candidates(pool, ["seq"]).select("seq", "rank", "source", "score")
 
 

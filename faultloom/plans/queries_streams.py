@@ -1 +1,79 @@
-"""Queries (to be filled)."""
+"""Streaming runs over the event table, cut into files that arrive one after the other.
+
+Each result must equal the batch result, so the SQL is that of the batch queries.
+"""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import state
+from ..session import checkpoint_folder
+from ..sources import tables
+from ..streaming import streams
+from . import pipelines as pl
+from . import testviews as tv
+from .oracle_views import ERRORS, LOG_EVENTS, RULES, RUNS, with_views
+from .oracle_views import stamp as sql_stamp
+from .registry import query, stamp
+
+FILES = 3
+
+
+def _replay(spark, sf_dir, name, build, write, mode="append"):
+    """Write the log events as files in order of arrival and run a stream over them."""
+    root = f"{checkpoint_folder(spark, name)}/{uuid.uuid4().hex}"
+    events = tv.log_events(spark, sf_dir)
+    events.repartitionByRange(FILES, "seq").write.parquet(f"{root}/source")
+    stream = streams.read_events(spark, f"{root}/source", events.schema, files_per_trigger=1)
+    streams.start(build(stream), f"{root}/checkpoint", write(root), mode=mode).awaitTermination()
+    return root
+
+
+@query(
+    "stream_errors",
+    with_views(LOG_EVENTS, RULES, ERRORS, select=f"""
+SELECT workspace_id, pipeline_name, error_type, fix, {sql_stamp('detected_at')} AS detected_at, raw_log FROM errors"""),
+)
+def stream_errors(spark, sf_dir):
+    root = _replay(spark, sf_dir, "errors", pl.publish, lambda root: streams.error_changes(f"{root}/errors"))
+    changes = spark.read.parquet(f"{root}/errors").drop(tables.BATCH)
+    return state.upsert_errors(changes).select(
+        "workspace_id", "pipeline_name", "error_type", "fix", stamp("detected_at").alias("detected_at"), "raw_log"
+    )
+
+
+@query(
+    "stream_run_status",
+    with_views(LOG_EVENTS, RUNS, select=f"""
+SELECT workspace_id, pipeline_name, status, {sql_stamp('last_run')} AS last_run FROM pipelines"""),
+)
+def stream_run_status(spark, sf_dir):
+    root = _replay(spark, sf_dir, "runs", lambda s: s, streams.run_changes)
+    runs = state.dedup_runs(spark.read.parquet(f"{root}/runs").drop(tables.BATCH))
+    return state.pipeline_state(runs).withColumn("last_run", stamp("last_run"))
+
+
+@query("stream_dedup", with_views(LOG_EVENTS, RUNS, select="SELECT workspace_id, count(*) AS runs FROM runs GROUP BY 1"))
+def stream_dedup(spark, sf_dir):
+    root = _replay(
+        spark, sf_dir, "dedup", lambda s: streams.dedup_runs(s, "60 days").select("workspace_id", "run_id"),
+        lambda root: lambda batch, i: tables.append_changes(batch, f"{root}/runs", i),
+    )
+    return spark.read.parquet(f"{root}/runs").groupBy("workspace_id").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query(
+    "stream_windows",
+    with_views(LOG_EVENTS, select=f"""
+SELECT {sql_stamp("date_trunc('day', ts)")} AS window_start, category, severity, count(*) AS incidents
+FROM log_events WHERE level = 'ERROR' GROUP BY 1, 2, 3"""),
+)
+def stream_windows(spark, sf_dir):
+    keys = ["window_start", "category", "severity"]
+    root = _replay(
+        spark, sf_dir, "windows", lambda s: streams.incident_windows(s, "1 day", "60 days"),
+        lambda root: lambda batch, i: tables.append_changes(batch, f"{root}/windows", i), mode="update",
+    )
+    latest = spark.read.parquet(f"{root}/windows").groupBy(*keys).agg(F.max_by("incidents", tables.BATCH).alias("incidents"))
+    return latest.withColumn("window_start", stamp("window_start"))
