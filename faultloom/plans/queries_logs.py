@@ -7,7 +7,7 @@ from ..operators import blocks, lines, reports, scrub
 from ..operators.exceptions import parse_all_blocks, parse_errors
 from ..operators.positions import chunk_of
 from ..sources import payloads
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import pipelines as pl
 from . import testviews as tv
 from .oracle_views import ERRORS, LOG_EVENTS, RULES, with_views
@@ -61,7 +61,7 @@ def _re2_chain() -> str:
 
 @query("scrub_documents", f"WITH {_re2_chain()}\nSELECT doc_id, text AS clean, redactions FROM scrubbed")
 def scrub_documents(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
     clean = scrub.scrub(docs, "text", out="clean")
     return clean.select("doc_id", "clean", F.array_join("redactions", ",").alias("redactions"))
 
@@ -74,7 +74,7 @@ FROM (SELECT source, unnest(string_split(redactions, ',')) AS category FROM scru
 GROUP BY 1, 2""",
 )
 def redaction_audit(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("source", "text")
+    docs = spread(read_table(spark, sf_dir, "documents")).select("source", "text")
     return scrub.redaction_audit(scrub.scrub(docs, "text"), ["source"])
 
 

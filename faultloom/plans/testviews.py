@@ -6,7 +6,7 @@ Every view derives from all rows of a table; the oracle SQL builds the same view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 # Message templates; {v} is the event's value.  The event id picks one.
 MESSAGES = [
@@ -66,7 +66,7 @@ def message() -> Column:
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, workspace_id, job_id, run_id, level, ts (timestamp), message for every event."""
     user = F.col("user_id")
-    return read_table(spark, sf_dir, "events").select(
+    return spread(read_table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("seq"),
         F.pmod(user, F.lit(20)).cast("string").alias("workspace_id"),
         F.concat(F.lit("job_"), F.pmod(user, F.lit(7)).cast("string")).alias("job_id"),
@@ -112,7 +112,7 @@ def log_line() -> Column:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select(
+    return spread(read_table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("seq"), F.concat(F.lit("job_"), F.pmod("user_id", F.lit(7)).cast("string")).alias("path"),
         log_line().alias("line"),
     )
@@ -131,7 +131,7 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markdown: short lines become headers, other lines become paragraphs."""
     headed = F.regexp_replace("text", r"(?md)^([^\n]{1,40})$", "## $1")
-    return read_table(spark, sf_dir, "documents").select(
+    return spread(read_table(spark, sf_dir, "documents")).select(
         F.col("lang").alias("workspace_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"),
         F.replace(headed, F.lit("\n"), F.lit("\n\n")).alias("markdown_text"),

@@ -24,17 +24,22 @@ def parse_json(raw: DataFrame, column: str = "value", form: str = "log_event") -
     """
     schema, required = REQUIRED[form]
     others = [c for c in raw.columns if c != column]
-    parsed = raw.withColumn("_json", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
-    missing = F.array_compact(
-        F.array(*[F.when(F.col(f"_json.{f}").isNull(), F.lit(f)) for f in required])
+    text = F.col(column)
+    malformed = F.coalesce(
+        F.get_json_object(text, "$").isNull() | ~F.startswith(F.ltrim(text), F.lit("{")), F.lit(True)
     )
-    malformed = F.get_json_object(F.col(column), "$").isNull() | ~F.startswith(F.ltrim(column), F.lit("{"))
-    reason = F.when(F.coalesce(malformed, F.lit(True)), F.lit("malformed_json")).when(
-        F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ","))
-    )
-    judged = parsed.withColumn("reason", reason)
-    accepted = judged.filter(F.col("reason").isNull()).select(*others, "_json.*")
-    rejects = judged.filter(F.col("reason").isNotNull()).select(*others, column, "reason")
+
+    def judge(value: Column) -> Column:
+        missing = F.array_compact(F.array(*[F.when(value[f].isNull(), F.lit(f)) for f in required]))
+        reason = F.when(malformed, F.lit("malformed_json")).otherwise(
+            tx.let(missing, lambda m: F.when(F.size(m) > 0, F.concat(F.lit("missing:"), F.array_join(m, ","))))
+        )
+        return F.struct(value.alias("value"), reason.alias("reason"))
+
+    judged = raw.withColumn("_judged", tx.let(F.from_json(text, schema, {"mode": "PERMISSIVE"}), judge))
+    reason = F.col("_judged.reason")
+    accepted = judged.filter(reason.isNull()).select(*others, "_judged.value.*")
+    rejects = judged.filter(reason.isNotNull()).select(*others, column, reason.alias("reason"))
     return accepted, rejects
 
 
