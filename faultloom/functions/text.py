@@ -49,8 +49,10 @@ def rstrip(c: Column) -> Column:
 
 
 def fold_case(c: Column) -> Column:
-    """Lower case that also maps letters whose upper case is ASCII (long s, dotless and dotted i, Kelvin sign)."""
-    return F.lower(F.upper(F.replace(c, F.lit("\u0130"), F.lit("i"))))
+    """Lower case that also maps the letters a case-insensitive match takes for ASCII ones."""
+    for special, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        c = F.replace(c, F.lit(special), F.lit(plain))
+    return F.lower(c)
 
 
 def contains_any(c: Column, literals: list[str]) -> Column:

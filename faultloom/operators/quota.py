@@ -30,6 +30,12 @@ def usage(admitted: DataFrame, *, billable: Column | None = None) -> DataFrame:
     return admitted.groupBy("workspace_id").agg(F.count_if(counts).alias("ai_calls"))
 
 
+def add_usage(users: DataFrame, calls: DataFrame) -> DataFrame:
+    """Users with the calls of :func:`usage` added to ``ai_calls_used``."""
+    added = users.join(calls, "workspace_id", "left")
+    return added.withColumn("ai_calls_used", F.col("ai_calls_used") + F.coalesce("ai_calls", F.lit(0))).drop("ai_calls")
+
+
 def quota_percent(used: Column, limit: Column) -> Column:
     """min(100, round(100·used/limit)) with halves rounded up; null limit or zero limit gives null."""
     ratio = F.try_divide(used.cast("double"), limit.cast("double")) * 100

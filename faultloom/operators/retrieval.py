@@ -6,7 +6,7 @@ vectors simply has more blocks.  Block centres and radii bound the best similari
 can reach; pairs that cannot matter are dropped before any vector is shuffled to them.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fv
 
 BLOCK_ROWS = 1024
+PAIR_SALTS = 16
 _CELL_BITS = 16
 _PLANE_SEED = 7
 _DIGITS = 12  # similarities are rounded here so that equal vectors tie and ids decide
@@ -87,9 +88,12 @@ def _blocks(df: DataFrame, group: str, ident: str, vector: str, rows: int) -> Da
     return packed.mapInArrow(describe, schema)
 
 
-def _pair_bound(a: Column, b: Column, ra: Column, rb: Column) -> Column:
-    """Greatest cosine any two members of two blocks can have."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _pair_bound(dot: Column, ra: Column, rb: Column) -> Column:
+    """Greatest cosine any two members of two blocks can have, from their centres' cosine and radii."""
     angle = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))
     return F.cos(F.greatest(angle - ra - rb - F.lit(1e-6), F.lit(0.0)))
 
@@ -188,12 +192,16 @@ def knn(
     c = _blocks(corpus, group, corpus_id, corpus_vector, block_rows).withColumnRenamed("block", "cblock")
     q_meta = q.select("grp", "qblock", F.col("centre").alias("qc"), F.col("radius").alias("qr"))
     c_meta = c.select("grp", "cblock", F.col("centre").alias("cc"), F.col("radius").alias("cr"))
-    pairs = q_meta.join(c_meta, "grp").select(
-        "grp", "qblock", "cblock", _pair_bound(F.col("qc"), F.col("cc"), F.col("qr"), F.col("cr")).alias("bound")
+    # Block pairs per group: the query side is salted and the (small) corpus side copied to every
+    # salt, so the pairs of one large group are formed in many tasks.
+    salted = q_meta.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(PAIR_SALTS)).cast("int"))
+    copies = c_meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+    pairs = salted.join(copies, ["grp", "salt"]).withColumn("near", _dot(F.col("qc"), F.col("cc"))).select(
+        "grp", "qblock", "cblock", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound")
     )
     if min_similarity is not None:
         pairs = pairs.filter(F.col("bound") >= min_similarity)
-    promising = F.row_number().over(Window.partitionBy("grp", "qblock").orderBy(F.col("bound").desc(), "cblock"))
+    promising = F.row_number().over(Window.partitionBy("grp", "qblock").orderBy(F.col("near").desc(), "cblock"))
     if probes is not None:
         pairs = pairs.withColumn("_n", promising).filter(F.col("_n") <= probes).drop("_n")
     elif refine:
@@ -245,13 +253,33 @@ def format_section() -> Column:
     return F.concat(F.lit("From: "), "source_file", title, F.lit("\n"), "chunk_text")
 
 
+def embed_with(
+    df: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]], out: str = "embedding", *,
+    max_chars: int = fv.EMBED_MAX_CHARS,
+) -> DataFrame:
+    """Unit-length vectors of a model function, called once per Arrow batch of texts.
+
+    The text is cut to the model's input limit.  A batch that fails gets null vectors, so the events
+    go on without retrieval.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def vectors(texts: pd.Series) -> pd.Series:
+        try:
+            matrix = _unit(np.asarray(model([t or "" for t in texts]), dtype=np.float64))
+            return pd.Series([list(v) if np.isfinite(v).all() else None for v in matrix])
+        except Exception:  # noqa: BLE001  (a failing model must not fail the event)
+            return pd.Series([None] * len(texts))
+
+    return df.withColumn(out, vectors(F.substring(F.col(column), 1, max_chars)))
+
+
 def embed_text(df: DataFrame, column: str, out: str = "embedding", *, dim: int = fv.EMBED_DIM,
-               max_chars: int | None = fv.EMBED_MAX_CHARS) -> DataFrame:
+               max_chars: int | None = None) -> DataFrame:
     """Unit-length hashed bag-of-words vector; null for texts without words.
 
-    The offline default.  A model's vectors can take its place: join a table of them, or apply a
-    ``mapInPandas`` function before retrieval.  ``max_chars`` is the model input limit of the
-    embedding step; None embeds the whole text.
+    The offline default, over the whole text unless ``max_chars`` is given.  A model's vectors can
+    take its place: join a table of them, or use :func:`embed_with`.
     """
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array

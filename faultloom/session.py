@@ -25,8 +25,12 @@ def local_session(cpus: int | str = 8, app: str = "faultloom") -> SparkSession:
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
     """A folder below the cluster's shared checkpoint directory.
 
-    The session's ``spark.checkpoint.dir`` is used when set.  Without it (tests on one machine) a
-    temporary folder stands in.
+    The session's ``spark.checkpoint.dir`` is used when set.  Without it a local session gets a
+    temporary folder; on a cluster that is an error, since other machines could not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}" if base else tempfile.mkdtemp(prefix=f"faultloom-{name}-")
+    if base:
+        return f"{base.rstrip('/')}/{name}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return tempfile.mkdtemp(prefix=f"faultloom-{name}-")
