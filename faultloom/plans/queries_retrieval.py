@@ -67,13 +67,13 @@ def _incident_hits(spark, sf_dir):
     errors = e.select(
         F.col("vec_id").alias("error_id"), workspace, "embedding",
         F.concat(F.lit("TYPE:"), v).alias("error_type"),
-        F.when(F.pmod("vec_id", F.lit(7)) != 0, F.concat(F.lit("cause "), v)).alias("root_cause"),
+        F.when(F.get("embedding", F.lit(0)) >= -0.15, F.concat(F.lit("cause "), v)).alias("root_cause"),
         F.concat(F.lit("fix "), v).alias("fix"),
     )
     return retrieval.similar_incidents(events, errors)
 
 
-def _section_hits(spark, sf_dir):
+def _section_hits(spark, sf_dir, **options):
     e = _vectors(spark, sf_dir)
     workspace = F.col("label").cast("string").alias("workspace_id")
     events = e.select(F.col("vec_id").alias("event_id"), workspace, "embedding")
@@ -84,16 +84,17 @@ def _section_hits(spark, sf_dir):
         F.when(F.pmod("vec_id", F.lit(3)) != 0, F.concat(F.lit("Title "), v)).alias("section_title"),
         F.concat(F.lit("text "), v).alias("chunk_text"),
     )
-    return retrieval.runbook_sections(events, chunks, k=3)
+    return retrieval.runbook_sections(events, chunks, k=3, **options)
 
 
+_HAS_CAUSE = "c.embedding[1] >= -0.15::FLOAT"
 _INCIDENT_TEXT = "'[TYPE:' || cid || '] Root cause: cause ' || cid || ' | Fix: fix ' || cid || ' (similarity=' || printf('%.2f', similarity) || ')'"
 _SECTION_TEXT = "'From: file_' || label || '.md' || CASE WHEN cid % 3 <> 0 THEN ' > Title ' || cid ELSE '' END || chr(10) || 'text ' || cid"
 
 
 @query(
     "incident_hits",
-    f"WITH {_hits('c.vec_id % 7 <> 0')}\nSELECT qid AS event_id, CAST(rank AS INTEGER) AS rank, {_INCIDENT_TEXT} AS hit FROM hits",
+    f"WITH {_hits(_HAS_CAUSE)}\nSELECT qid AS event_id, CAST(rank AS INTEGER) AS rank, {_INCIDENT_TEXT} AS hit FROM hits",
 )
 def incident_hits(spark, sf_dir):
     return _incident_hits(spark, sf_dir).select("event_id", "rank", retrieval.format_incident().alias("hit"))
@@ -109,11 +110,11 @@ def runbook_hits(spark, sf_dir):
 
 @query(
     "prompts",
-    f"""WITH {_hits('c.vec_id % 7 <> 0')},
-{_hits('true').replace('pairs', 'pairs2').replace('hits AS', 'hits2 AS')},
+    f"""WITH {_hits(_HAS_CAUSE)},
+{_hits(floor=0.25).replace('pairs', 'pairs2').replace('hits AS', 'hits2 AS')},
 inc AS (SELECT qid, string_agg('  • ' || {_INCIDENT_TEXT}, chr(10) ORDER BY rank) AS t FROM hits WHERE similarity >= 0.2 GROUP BY 1),
 sec AS (SELECT qid, string_agg({_SECTION_TEXT}, chr(10) || chr(10) || '---' || chr(10) ORDER BY rank) AS t
-  FROM hits2 WHERE rank <= 3 AND cid % 2 = 0 GROUP BY 1)
+  FROM hits2 WHERE rank <= 3 GROUP BY 1)
 SELECT vec_id AS event_id, CASE WHEN inc.t IS NULL AND sec.t IS NULL
   THEN {lit(prompts._ROLE + chr(10) * 2 + 'Error Log:' + chr(10) + '"')} || 'vector ' || vec_id || {lit('"' + chr(10) * 2 + 'Context:' + chr(10) + 'No additional context provided.' + chr(10) * 2 + prompts._ANSWER)}
   ELSE concat_ws(chr(10) || chr(10), '## Current error' || chr(10) || 'vector ' || vec_id || chr(10) || chr(10) || 'Context: No additional context provided.',
@@ -126,7 +127,7 @@ FROM embeddings LEFT JOIN inc ON inc.qid = vec_id LEFT JOIN sec ON sec.qid = vec
 def prompt_texts(spark, sf_dir):
     contexts = prompts.context_lists(
         _incident_hits(spark, sf_dir).filter(F.col("similarity") >= 0.2),
-        _section_hits(spark, sf_dir).filter(F.pmod("chunk_id", F.lit(2)) == 0),
+        _section_hits(spark, sf_dir, min_similarity=0.25, skip_self=True),
     )
     events = _vectors(spark, sf_dir).select(
         F.col("vec_id").alias("event_id"),
