@@ -69,7 +69,9 @@ def split_lines(c: Column) -> Column:
         shorter = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
         return F.when(F.element_at(parts, -1) == "", shorter).otherwise(parts)
 
-    return let(F.split(c, fv.LINE_BREAKS), trimmed)
+    # Splitting by a pattern compiles it for every row, splitting by one character does not.
+    parts = F.when(F.rlike(c, F.lit(fv.RARE_LINE_BREAKS)), F.split(c, fv.LINE_BREAKS)).otherwise(F.split(c, "\n"))
+    return let(parts, trimmed)
 
 
 def truncate_ellipsis(c: Column, limit: int) -> Column:

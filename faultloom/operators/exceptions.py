@@ -41,6 +41,15 @@ def severity_of(category: Column) -> Column:
     return tx.lookup({c: s for c, s, _, _ in fv.ERROR_CATEGORIES}, category, fv.DEFAULT_SEVERITY)
 
 
+def _no_traceback() -> Column:
+    return F.struct(
+        F.lit(False).alias("inside"),
+        F.lit("UnknownException").alias("cls"),
+        F.lit("unknown").alias("msg"),
+        F.array().cast("array<string>").alias("frames"),
+    )
+
+
 def _traceback(lines: Column) -> Column:
     """Frames, class and message of Python tracebacks, read line by line in order.
 
@@ -48,12 +57,6 @@ def _traceback(lines: Column) -> Column:
     traceback.  The last exception wins.
     """
     pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("next")))
-    start = F.struct(
-        F.lit(False).alias("inside"),
-        F.lit("UnknownException").alias("cls"),
-        F.lit("unknown").alias("msg"),
-        F.array().cast("array<string>").alias("frames"),
-    )
 
     def step(s: Column, p: Column) -> Column:
         line = p["line"]
@@ -94,7 +97,7 @@ def _traceback(lines: Column) -> Column:
             .otherwise(s)
         )
 
-    return F.aggregate(pairs, start, step)
+    return F.aggregate(pairs, _no_traceback(), step)
 
 
 _EMPTY = "array<string>"
@@ -116,8 +119,11 @@ def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, text) -> Co
 
 def _java_record(lines: Column, text: Column) -> Column:
     """Java trace: top exception, cause chain, root cause, user frames, task context."""
+    return tx.let(F.transform(lines, lambda x: tx.strip(x)), lambda s: _java_parts(lines, s, text))
+
+
+def _java_parts(lines: Column, stripped: Column, text: Column) -> Column:
     unknown = F.lit("UnknownException")
-    stripped = F.transform(lines, lambda x: tx.strip(x))
     exceptions = F.transform(
         F.filter(stripped, lambda x: _has(x, fv.JAVA_EXCEPTION)),
         lambda x: F.struct(
@@ -125,8 +131,9 @@ def _java_record(lines: Column, text: Column) -> Column:
             tx.strip(F.regexp_extract(x, fv.JAVA_EXCEPTION, 2)).alias("msg"),
         ),
     )
+    caused = F.when(F.contains(text, F.lit("Caused by:")), F.filter(lines, lambda x: _has(x, fv.CAUSED_BY)))
     causes = F.transform(
-        F.filter(lines, lambda x: _has(x, fv.CAUSED_BY)),
+        F.coalesce(caused, F.array().cast(_EMPTY)),
         lambda x: F.struct(
             _short_class(F.regexp_extract(x, fv.CAUSED_BY, 1)).alias("cls"),
             tx.strip(F.regexp_extract(x, fv.CAUSED_BY, 2)).alias("msg"),
@@ -174,10 +181,15 @@ def _java_record(lines: Column, text: Column) -> Column:
 
 def _python_record(lines: Column, text: Column) -> Column:
     """Python traceback or scheduler line: class, message, frames, task context."""
-    context = _first(F.filter(lines, lambda x: _has(x, fv.AIRFLOW_CONTEXT)))
+    context = F.when(
+        F.contains(text, F.lit("{taskinstance.py:")), _first(F.filter(lines, lambda x: _has(x, fv.AIRFLOW_CONTEXT)))
+    )
     task = F.substring(tx.strip(F.regexp_extract(context, fv.AIRFLOW_CONTEXT, 1)), 1, fv.TASK_CONTEXT_CHARS)
+    found = F.when(F.contains(text, F.lit("Traceback (most recent call last):")), _traceback(lines)).otherwise(
+        _no_traceback()
+    )
     return tx.let(
-        _traceback(lines),
+        found,
         lambda t: _record(
             "airflow", t["cls"], t["msg"], t["cls"], t["msg"], F.array().cast(_EMPTY), t["frames"], task, text,
         ),
