@@ -259,20 +259,28 @@ def exception_of_block(lines: Column) -> Column:
     return tx.let(F.array_join(lines, "\n"), record)
 
 
-def exception_of_message(message: Column) -> Column:
-    """Exception struct of a message: its first block, else the text before the first colon."""
+def exception_of_message(message: Column, *, full_traceback: bool = False) -> Column:
+    """Exception struct of a message: its first block, else the text before the first colon.
+
+    ``full_traceback`` reads a Python traceback over the whole message.  The block rule cuts one at
+    its code lines, so by default the class on the last line is often lost.
+    """
 
     def without_block(text: Column) -> Column:
         head = F.substring(tx.strip(F.substring_index(text, ":", 1)), 1, fv.GENERIC_CLASS_CHARS)
         cls = F.when(head == "", F.lit("UnknownError")).otherwise(head)
         return _plain_record(cls, text, text)
 
-    return tx.let(
+    by_block = tx.let(
         _first(text_blocks(message)),
         lambda block: F.when(block.isNotNull(), exception_of_block(block)).otherwise(
             without_block(F.coalesce(message, F.lit("")))
         ),
     )
+    if not full_traceback:
+        return by_block
+    traced = F.contains(message, F.lit("Traceback (most recent call last):")) & ~_is_java(message)
+    return F.when(traced, _python_record(tx.split_lines(message), message)).otherwise(by_block)
 
 
 FIELDS = [
@@ -298,6 +306,9 @@ def _described(e: Column) -> Column:
 
 
 _block_column = tx.remembered(lambda name: tx.let(exception_of_block(F.col(name)), _described))
+_traced_column = tx.remembered(
+    lambda name: tx.let(exception_of_message(F.col(name), full_traceback=True), _described)
+)
 _message_column = tx.remembered(lambda name: tx.let(exception_of_message(F.col(name)), _described))
 
 
@@ -311,12 +322,12 @@ def extract_exceptions(blocks: DataFrame, block: str = "block") -> DataFrame:
     return _with_fields(blocks, _block_column(block))
 
 
-def parse_errors(df: DataFrame, column: str = "message") -> DataFrame:
+def parse_errors(df: DataFrame, column: str = "message", *, full_traceback: bool = False) -> DataFrame:
     """Exception fields of the first block of each message; one output row per input row.
 
     Row-local, so it needs no shuffle and works on streams.
     """
-    return _with_fields(df, _message_column(column))
+    return _with_fields(df, (_traced_column if full_traceback else _message_column)(column))
 
 
 def parse_all_blocks(df: DataFrame, column: str = "message") -> DataFrame:

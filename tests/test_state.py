@@ -84,6 +84,13 @@ def test_quota_without_user_row_is_not_enforced(spark):
     assert [got[i] for i in range(8)] == [True, True, False, False, False, True, True, True]
 
 
+def test_usage_is_added(spark):
+    users = spark.createDataFrame([("a", 1), ("b", 2)], "workspace_id string, ai_calls_used long")
+    events = spark.createDataFrame([("a", True), ("a", False), ("a", True)], "workspace_id string, admitted boolean")
+    got = {r.workspace_id: r.ai_calls_used for r in quota.add_usage(users, quota.usage(events)).collect()}
+    assert got == {"a": 3, "b": 2}
+
+
 def test_ledger(spark):
     users = spark.createDataFrame(
         [("a", 5, 100, None), ("b", 7, 100, T0), ("c", 1, 100, None)],

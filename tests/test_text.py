@@ -124,6 +124,20 @@ def test_java_frames_are_filtered_and_capped(spark):
     assert row.user_frames == [f"com.acme.A{i}.run(A.scala:{i})" for i in range(10)]
 
 
+TRACE = (
+    'Traceback (most recent call last):\n  File "p.py", line 42, in transform\n    r = df.groupby(key)\n'
+    '  File "/x/site-packages/requests/api.py", line 1, in get\n    return 1\nKeyError: \'region\'\n'
+)
+
+
+def test_full_traceback_keeps_class_and_frames(spark):
+    df = spark.createDataFrame([(TRACE,), ("KeyError: 'x'",)], "message string")
+    rows = parse_errors(df, full_traceback=True).collect()
+    assert (rows[0].signature, rows[0].exception_message) == ("MISSING_KEY:KeyError", "'region'")
+    assert rows[0].user_frames == ["p.py:42 in transform() → r = df.groupby(key)"]
+    assert rows[1].signature == "MISSING_KEY:UnknownException"
+
+
 CONTINUES = re.compile(r'^\s+(at |\.{3}\s*\d+\s+more|Caused by:|Suppressed:|File "|    )|^Caused by:|^Traceback ')
 ANCHORS = re.compile("ERROR|EXCEPTION|CRITICAL|FATAL", re.I)
 
