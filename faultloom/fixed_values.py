@@ -118,6 +118,7 @@ LINE_ISO = (
 
 # --- error blocks and exceptions --------------------------------------------------------------------
 LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]"
+ANY_LINE_BREAK = r"[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 RARE_LINE_BREAKS = r"[\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"  # all but the line feed
 WHITESPACE = (
     " \t\n\r\u000b\f\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"

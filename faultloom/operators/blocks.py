@@ -51,9 +51,14 @@ def text_blocks(text: Column) -> Column:
         anchored = F.filter(bounded, lambda b: b["cls"] == ANCHOR)
         return F.transform(anchored, lambda b: F.slice(lines, b["start"] + 1, b["end"] - b["start"]))
 
-    return tx.let(
+    general = tx.let(
         tx.split_lines(F.coalesce(text, F.lit(""))), lambda lines: tx.let(solid(lines), lambda marks: cut(lines, marks))
     )
+    # Most messages are one line, which is a block or is not.
+    one_line = ~F.rlike(text, F.lit(fv.ANY_LINE_BREAK))
+    none = F.array().cast("array<array<string>>")
+    single = F.when(line_class(text) == ANCHOR, F.array(F.array(text))).otherwise(none)
+    return F.when(one_line, single).otherwise(general)
 
 
 def assign_blocks(
