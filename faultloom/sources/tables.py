@@ -7,6 +7,7 @@ current rows.  No file is ever rewritten in place, which any shared file system
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +52,12 @@ def append_changes(df: DataFrame, path: str, batch_id: int) -> None:
 def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All change sets with their batch id (an empty frame before the first batch)."""
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
 
 
 def current_rows(
