@@ -1,12 +1,18 @@
 """AI-call quota: admission, usage, percentages and the grant ledger."""
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from .positions import with_position
 
+# Send the functions of this module with the job: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def admit(events: DataFrame, users: DataFrame, *, seq: str = "seq", chunk: Column | None = None) -> DataFrame:
     """Mark each event ``admitted`` while its workspace's calls stay below the limit, in ``seq`` order.

@@ -6,17 +6,22 @@ vectors simply has more blocks.  Block centres and radii bound the best similari
 can reach; pairs that cannot matter are dropped before any vector is shuffled to them.
 """
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 
+# Send the functions of this module with the job: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 1024
 PAIR_SALTS = 16
 _CELL_BITS = 16

@@ -1,7 +1,11 @@
 """Nearest neighbours against brute force, chunking, embeddings, sources."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from faultloom.operators import retrieval, runbooks
@@ -134,6 +138,13 @@ def test_model_failure_gives_null_vectors(spark):
     assert good == pytest.approx([0.6, 0.8]) and bad is None
 
 
+def test_worker_functions_need_no_installed_package(tmp_path):
+    for fn in (retrieval._vectors, retrieval._top_in_block, retrieval._unit):
+        (tmp_path / "f").write_bytes(cloudpickle.dumps(fn))
+        code = "import pickle; pickle.load(open('f', 'rb'))"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_log_directory(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"2026-03-08T10:23:45Z ERROR bad \xff byte\n2026-03-08T10:23:46Z INFO fine\n")
     (tmp_path / "b.txt").write_text("26/03/09 22:02:23 ERROR M: lost\n")
