@@ -5,13 +5,15 @@ taken for every document; the fraction is an inclusion probability.  The cube me
 probabilities of three documents at a time along the null space of the two balancing constraints
 (words and documents), until one of them reaches 0 or 1, so both totals stay what they were.  A
 block of any length leaves at most two documents undecided; the undecided ones of all blocks of a
-source are balanced again in ever fewer blocks, and the last two are landed by rounding to the
-nearest words total.  Blocks run from long documents to short ones, so what is landed is short.
+source are balanced again in ever fewer blocks.  The last block keeps a handful of documents back:
+with the last two undecided ones they are the landing problem, solved by trying every choice.
 """
 
 import sys
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of one balancing block; it sets how many tasks share a source, not what is kept.
 BLOCK_ROWS = 4096
+#: Documents of a source's last block that are left to the landing problem, besides two undecided ones.
+LANDING = 12
 #: No document is taken more often than this.
 MOST_COPIES = 3
 
@@ -95,48 +99,54 @@ def flight(state: list, size: float, ident, p: float, toss: float) -> tuple[list
 
 
 def land(state: list) -> list:
-    """Decide the last units: the 0/1 choice whose words, then documents, are nearest to what is expected."""
+    """Decide the last units: of all 0/1 choices the one whose words and documents are nearest to what is expected."""
     if not state:
         return []
-    words = sum(p * s for p, s, _ in state)
-    rows = sum(p for p, _, _ in state)
-    choices = [[(m >> i) & 1 for i in range(len(state))] for m in range(1 << len(state))]
-    best = min(
-        choices,
-        key=lambda c: (abs(sum(x * u[1] for x, u in zip(c, state)) - words), abs(sum(c) - rows), c),
-    )
+    probs, sizes = np.array([(u[0], u[1]) for u in state], float).T
+    choices = (np.arange(1 << len(state))[:, None] >> np.arange(len(state))) & 1
+    off_words = np.abs(choices @ sizes - probs @ sizes) / max(sizes.mean(), 1.0)
+    off_rows = np.abs(choices.sum(axis=1) - probs.sum())
+    best = choices[int(np.argmin(np.round(off_words + 0.1 * off_rows, 9)))]
     return [(u[2], bool(x)) for x, u in zip(best, state)]
 
 
 def _balance(last: bool):
-    """Run the flight over sorted rows (group, block, order, ident..., size, p); constant memory however long a block is."""
+    """Run the flight over rows sorted by (grp, block, ordinal); constant memory however long a block is."""
+    names = ("grp", "ordinal", "tie", "size")
+
+    def toss(ordinal: int) -> float:
+        return (((ordinal * 0x9E3779B97F4A7C15) + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF) / 2**64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         state: list = []
+        back: deque = deque()
         current = None
+        out: list = []
 
-        def leave(out):
+        def leave() -> None:
             if last:
-                for ident, taken in land(state):
-                    out.append((*ident, 1.0 if taken else 0.0, True))
+                units = [*state, *((p, float(ident[-1]), ident) for ident, p in back)]
+                out.extend((*ident, 1.0 if taken else 0.0, True) for ident, taken in land(units))
             else:
-                for p, s, ident in state:
-                    out.append((*ident, p, False))
+                out.extend((*ident, p, False) for p, _, ident in state)
+            state.clear()
+            back.clear()
 
-        names = ("grp", "ordinal", "tie", "size")
         for batch in batches:
-            out: list = []
             cols = batch.to_pydict()
             for grp, block, ordinal, tie, size, p in zip(*(cols[n] for n in ("grp", "block", "ordinal", "tie", "size", "p"))):
                 if (grp, block) != current:
-                    leave(out)
-                    state, current = [], (grp, block)
-                toss = (((ordinal & 0xFFFFFFFFFFFF) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF) >> 11
-                state, decided = flight(state, float(size), (grp, ordinal, tie, size), p, toss / 2**53)
-                out.extend((*ident, 1.0 if taken else 0.0, True) for ident, taken in decided)
+                    leave()
+                    current = (grp, block)
+                back.append(((grp, ordinal, tie, size), p))
+                if last and len(back) <= LANDING:
+                    continue
+                ident, p = back.popleft()
+                state[:], decided = flight(state, float(ident[-1]), ident, p, toss(ident[1]))
+                out.extend((*i, 1.0 if taken else 0.0, True) for i, taken in decided)
             yield _columns(out, names)
-        out = []
-        leave(out)
+            out.clear()
+        leave()
         yield _columns(out, names)
 
     return run
@@ -164,7 +174,7 @@ def balanced(units: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> DataF
             rows_of(
                 dealt.select("grp", "block", "ordinal", "tie", "size", "p")
                 .repartition("grp", "block")
-                .sortWithinPartitions("grp", "block", F.desc("size"), "ordinal", "tie"),
+                .sortWithinPartitions("grp", "block", "ordinal", "tie", "size"),
                 _UNITS,
                 _balance(blocks == 1),
             ),
