@@ -3,6 +3,7 @@
 import re
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -62,6 +63,11 @@ def rows_of(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa
     return df.mapInArrow(run, spark_schema)
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from task to task (models, caches of bounded size)."""
+    return sys.modules.setdefault("_faultloom_worker", types.ModuleType("_faultloom_worker")).__dict__
+
+
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters, digits and underscores; a text that has none gives its whitespace pieces."""
     if not text:
