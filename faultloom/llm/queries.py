@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding, token_counts, token_files
+from . import line_dedup, mixing, quality, sharding, token_counts, token_files
 from .common import table
 
 QUERIES = {}
@@ -32,6 +32,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(quality.remainder("doc_id", 3) != 1)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (quality.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
