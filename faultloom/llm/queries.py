@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, token_counts, token_files
+from . import line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
 from .common import table
 
 QUERIES = {}
@@ -55,6 +55,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", "class_id", "copies", "n_links")
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
