@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
+from . import decontamination, line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
 from .common import table
 
 QUERIES = {}
@@ -61,6 +61,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "class_id", "copies", "n_links")
 
 
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
