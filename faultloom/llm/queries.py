@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
+from . import ann, decontamination, line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
 from .common import table
 
 QUERIES = {}
@@ -55,6 +55,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op6_ann")
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
