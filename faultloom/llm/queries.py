@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, mixing, ngram_join, quality, sharding, token_counts, token_files
+from . import ann, decontamination, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, token_files
 from .common import table
 
 QUERIES = {}
@@ -40,6 +40,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.remainder("doc_id", 5) == 1
+    training = docs.filter(~held_out)
+    counts = lm.count_tokens(training)
+    words = lm.vocabulary(counts)
+    scored = lm.score(docs, counts, words, lm.fit(training, words))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
