@@ -188,11 +188,16 @@ def balanced(units: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> DataF
         rows = 2 * blocks
 
 
+def _marks(seed: int = 11) -> list[Column]:
+    """Two hashes of a row's id and text: they order the draw and tell rows apart."""
+    return [F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"), F.xxhash64(F.lit(seed + 1), "text", "doc_id").alias("_tie")]
+
+
 def mix(df: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: int = MOST_COPIES, seed: int = 11) -> DataFrame:
     """How often each row of ``df(doc_id, source, text)`` is taken so that sources meet their targets.
 
-    Result: doc_id, source, size, source_size, target, copies, taken (copies x size), crc (of the
-    text).  Null texts have size 0; a null source is a source of its own, last in order.  Rows without
+    Result: doc_id, source, size, source_size, target, copies, taken (copies x size), and two hashes of
+    id and text.  Null texts have size 0; a null source is a source of its own, last in order.  Rows without
     words weigh nothing: they are taken as often as chance and the documents' balance give.  Repeated
     rows are units of their own: each is decided separately, equal rows in no set order.  An empty
     table gives an empty result.  The draw depends on ids and texts alone, so reruns agree under any
@@ -203,8 +208,7 @@ def mix(df: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: f
             F.col("doc_id"),
             F.col("source"),
             word_count().alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"),
-            F.xxhash64(F.lit(seed + 1), "text", "doc_id").alias("_tie"),
+            *_marks(seed),
         ),
         "mix",
     )
@@ -230,7 +234,7 @@ def mix(df: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: f
         .withColumn("whole", F.floor("ratio").cast("long"))
         .select(
             "grp", F.xxhash64("_hash", "_rank").alias("ordinal"), F.xxhash64("_tie", "_rank").alias("tie"),
-            "doc_id", "source", "size", "source_size", "target", "whole", (F.col("ratio") - F.col("whole")).alias("p"),
+            "_hash", "_tie", "doc_id", "source", "size", "source_size", "target", "whole", (F.col("ratio") - F.col("whole")).alias("p"),
         )
     )
     open_ = base.filter((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("grp", "ordinal", "tie", "size", "p")
@@ -239,5 +243,30 @@ def mix(df: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: f
     return (
         base.join(chosen.withColumnRenamed("p", "_p"), ["grp", "ordinal", "tie"], "left")
         .withColumn("copies", F.col("whole") + extra)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_hash", "_tie")
+    )
+
+
+def taken(df: DataFrame, *, seed: int = 11, **options) -> DataFrame:
+    """``df`` with every row repeated as often as ``mix`` takes it; rows not taken are absent.
+
+    Rows equal in id, source and text share the copies that were decided for them.
+    """
+    decided = mix(df, seed=seed, **options).groupBy("_hash", "_tie", "source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    decided = decided.withColumnRenamed("source", "_source")
+    marked = df.withColumns({"_hash": _marks(seed)[0], "_tie": _marks(seed)[1]})
+    nth = F.row_number().over(Window.partitionBy("_hash", "_tie", "source").orderBy(F.lit(0)))
+    joined = marked.alias("d").join(
+        decided.alias("m"),
+        (F.col("d._hash") == F.col("m._hash"))
+        & (F.col("d._tie") == F.col("m._tie"))
+        & F.col("d.source").eqNullSafe(F.col("m._source")),
+    ).select("d.*", "m._copies", "m._rows")
+    # Of n equal rows the first (copies mod n) give one more than the others.
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long")
+    return (
+        joined.withColumn("_share", share)
+        .filter("_share > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share").cast("int"))))
+        .drop("_hash", "_tie", "_copies", "_rows", "_share", "_copy")
     )
