@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words a worker remembers with their hash; beyond this they are hashed again each time.
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
+#: Bytes of one Arrow batch on its way to a worker, at most, where a table is written.
+BATCH_BYTES = 8 << 20
 #: Words of one shingle, and the similarity from which two texts count as near duplicates.
 SHINGLE_WORDS = 5
 NEAR = 0.8
@@ -43,10 +45,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost."""
-    folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The frame as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost.
+
+    Meanwhile Arrow batches are kept small, since a batch is held by the JVM and by its worker.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def rows_of(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]]) -> DataFrame:
@@ -59,6 +74,7 @@ def rows_of(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -221,9 +221,10 @@ def _verify(threshold: float):
                 if member:
                     members.append(row)
                     continue
-                if block is None:
+                if block is None and members:
                     open_block()
-                visit(row[0], row[2], row[3])
+                if block:
+                    visit(row[0], row[2], row[3])
                 if len(out) >= 10_000:
                     yield give()
             yield give()
