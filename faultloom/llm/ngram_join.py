@@ -241,7 +241,8 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
     least ``threshold`` (a text of fewer words is one n-gram; words are lower-cased runs of letters and
     digits, or whitespace pieces where there are none).  Result: doc_id, class_id (least id of all
     documents connected by links), copies (documents with the same n-gram set), n_links (other
-    documents linked), and _t1, _t2 (hashes of the text, which tell rows with equal ids apart).  Texts
+    documents linked), _t1, _t2 (hashes of the text, which tell rows with equal ids apart) and _group (a key
+    of the group itself, null for texts without words).  Texts
     without words, empty or null, are linked to nothing and keep their own id.  Repeated rows are copies
     of each other.  Null ids count as rows but are never the least id unless all are null.  An empty
     table gives an empty result; other columns are ignored.
@@ -305,7 +306,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
     labelled = labelled.withColumn("label", F.coalesce("label", "key"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
     table = labelled.join(least, "label").join(links, "key", "left").select(
-        "key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "key", "label", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return (
         signed.select("doc_id", "_t1", "_t2", "key")
@@ -317,7 +318,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             "_t1",
             "_t2",
-            F.col("key").isNull().alias("_wordless"),
+            F.col("label").alias("_group"),
         )
     )
 
@@ -328,10 +329,12 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     Texts without words all stay.
     """
     grouped = near_duplicates(df, **options)
-    stays = grouped.filter(F.col("_wordless") | F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = Window.partitionBy("class_id").orderBy("_t1", "_t2")
-    stays = stays.withColumn("_nth", F.row_number().over(first)).filter(F.col("_wordless") | (F.col("_nth") == 1))
-    wanted = written(stays.select("doc_id", "_t1", "_t2", "_wordless").distinct(), "kept")
+    first = Window.partitionBy("_group").orderBy("_t1", "_t2")
+    least = grouped.filter(F.col("_group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = least.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    wordless = grouped.filter(F.col("_group").isNull())
+    columns = ["doc_id", "_t1", "_t2", F.col("_group").isNull().alias("_wordless")]
+    wanted = written(least.select(*columns).unionByName(wordless.select(*columns).distinct()), "kept")
     same_id = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     marked = df.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(3), "text")})
     kept = (
