@@ -85,8 +85,9 @@ def truncate_run_id(c: Column, limit: int = fv.DISPLAY_RUN_ID_CHARS) -> Column:
     return F.coalesce(short, F.lit(""))
 
 
-def cap_raw_log(c: Column) -> Column:
-    return F.when(F.length(c) > 0, F.substring(c, 1, fv.RAW_LOG_MAX_CHARS))
+def cap_raw_log(c: Column, limit: int | None = None) -> Column:
+    """The raw log, empty as null; whole unless a ``limit`` in characters is given."""
+    return F.when(F.length(c) > 0, c if limit is None else F.substring(c, 1, limit))
 
 
 def key_hash(c: Column) -> Column:

@@ -140,16 +140,18 @@ def email_body(dashboard_url: str = "", product: str = PRODUCT) -> Column:
     )
 
 
-def dedup_key() -> Column:
-    return _join(F.col("pipeline_name"), ":", tx.truncate_ellipsis(F.col("error_type"), fv.ALERT_ERROR_CHARS))
+def dedup_key(*, compat: bool = False) -> Column:
+    """Pipeline and whole signature; ``compat`` cuts the signature, so signatures with one beginning share a key."""
+    error = F.col("error_type")
+    return _join(F.col("pipeline_name"), ":", tx.truncate_ellipsis(error, fv.ALERT_ERROR_CHARS) if compat else error)
 
 
-def pagerduty_payload(routing_key: str = "", source: str = PRODUCT) -> Column:
+def pagerduty_payload(routing_key: str = "", source: str = PRODUCT, *, compat: bool = False) -> Column:
     p = _parts()
     return _json(
         routing_key=routing_key,
         event_action="trigger",
-        dedup_key=dedup_key(),
+        dedup_key=dedup_key(compat=compat),
         payload=_obj(
             summary=_join("Pipeline ", p["pipeline"], " failed — ", p["error"]),
             severity=pager_severity(F.col("severity")),

@@ -5,6 +5,7 @@ There are two forms: inside one text value (no shuffle), and over rows that hold
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,7 +100,12 @@ def assign_blocks(
         .withColumn("_prior_state", F.last("_last", ignorenulls=True).over(before))
         .select(*piece, "_prior_anchors", "_prior_state")
     )
-    joined = local.join(carried, piece)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in piece]
+    joined = (
+        local.alias("l")
+        .join(carried.alias("r"), reduce(lambda a, b: a & b, same))
+        .select("l.*", "r._prior_anchors", "r._prior_state")
+    )
     open_state = F.coalesce("_state", "_prior_state")
     return (
         joined.filter((F.col("_cls") != OTHER) & (open_state == ANCHOR))

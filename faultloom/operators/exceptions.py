@@ -1,5 +1,6 @@
 """Exception structure, category and signature of error blocks."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,32 @@ from ..functions.rows import explode_rows
 from .blocks import text_blocks
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of an exception is kept; None keeps all of it."""
+
+    java_frames: int | None = None
+    python_frames: int | None = None
+    message: int | None = None
+    cls: int | None = None
+    task: int | None = None
+    summary: int | None = None
+    summary_causes: int | None = None
+    summary_frames: int | None = None
+
+
+WHOLE = Limits()
+#: The cuts of the original forms.
+COMPAT = Limits(
+    fv.JAVA_FRAMES_MAX, fv.PYTHON_FRAMES_MAX, fv.GENERIC_MESSAGE_CHARS, fv.GENERIC_CLASS_CHARS, fv.TASK_CONTEXT_CHARS,
+    fv.SUMMARY_MAX_CHARS, fv.SUMMARY_CAUSES, fv.SUMMARY_FRAMES,
+)
+
+
+def _cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
 def _has(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(pattern))
 
@@ -50,7 +77,7 @@ def _no_traceback() -> Column:
     )
 
 
-def _traceback(lines: Column) -> Column:
+def _traceback(lines: Column, limits: Limits) -> Column:
     """Frames, class and message of Python tracebacks, read line by line in order.
 
     A frame or exception line counts only after a traceback header; an exception line ends the
@@ -69,7 +96,9 @@ def _traceback(lines: Column) -> Column:
         )
         header = _has(line, fv.TRACEBACK_HEADER)
         is_frame = s["inside"] & _has(line, fv.PYTHON_FRAME)
-        wanted = ~_has(path, fv.LIBRARY_PATH) & (F.size(s["frames"]) < fv.PYTHON_FRAMES_MAX)
+        wanted = ~_has(path, fv.LIBRARY_PATH)
+        if limits.python_frames is not None:
+            wanted = wanted & (F.size(s["frames"]) < limits.python_frames)
         full = s["inside"] & _has(bare, fv.PYTHON_EXCEPTION)
         plain = s["inside"] & _has(bare, fv.PYTHON_EXCEPTION_BARE)
 
@@ -117,12 +146,12 @@ def _record(form, cls, msg, root_cls, root_msg, chain, frames, task, text) -> Co
     )
 
 
-def _java_record(lines: Column, text: Column) -> Column:
+def _java_record(lines: Column, text: Column, limits: Limits) -> Column:
     """Java trace: top exception, cause chain, root cause, user frames, task context."""
-    return tx.let(F.transform(lines, lambda x: tx.strip(x)), lambda s: _java_parts(lines, s, text))
+    return tx.let(F.transform(lines, lambda x: tx.strip(x)), lambda s: _java_parts(lines, s, text, limits))
 
 
-def _java_parts(lines: Column, stripped: Column, text: Column) -> Column:
+def _java_parts(lines: Column, stripped: Column, text: Column, limits: Limits) -> Column:
     unknown = F.lit("UnknownException")
     exceptions = F.transform(
         F.filter(stripped, lambda x: _has(x, fv.JAVA_EXCEPTION)),
@@ -143,9 +172,9 @@ def _java_parts(lines: Column, stripped: Column, text: Column) -> Column:
         _first(F.filter(stripped, lambda x: x != "")), F.lit("UnknownException: unknown")
     )
     user = F.filter(stripped, lambda x: F.startswith(x, F.lit("at ")) & ~_has(x, fv.FRAMEWORK_FRAME))
-    frames = F.slice(
-        F.transform(user, lambda x: F.substring(x, 4, 2_000_000_000)), 1, fv.JAVA_FRAMES_MAX
-    )
+    frames = F.transform(user, lambda x: F.substring(x, 4, 2_000_000_000))
+    if limits.java_frames is not None:
+        frames = F.slice(frames, 1, limits.java_frames)
     task = tx.strip(
         F.regexp_extract(_first(F.filter(lines, lambda x: _has(x, fv.TASK_CONTEXT))), fv.TASK_CONTEXT, 0)
     )
@@ -179,13 +208,13 @@ def _java_parts(lines: Column, stripped: Column, text: Column) -> Column:
     return tx.let(parts, lambda p: tx.let(root(p), lambda r: record(p, r)))
 
 
-def _python_record(lines: Column, text: Column) -> Column:
+def _python_record(lines: Column, text: Column, limits: Limits) -> Column:
     """Python traceback or scheduler line: class, message, frames, task context."""
     context = F.when(
         F.contains(text, F.lit("{taskinstance.py:")), _first(F.filter(lines, lambda x: _has(x, fv.AIRFLOW_CONTEXT)))
     )
-    task = F.substring(tx.strip(F.regexp_extract(context, fv.AIRFLOW_CONTEXT, 1)), 1, fv.TASK_CONTEXT_CHARS)
-    found = F.when(F.contains(text, F.lit("Traceback (most recent call last):")), _traceback(lines)).otherwise(
+    task = _cut(tx.strip(F.regexp_extract(context, fv.AIRFLOW_CONTEXT, 1)), limits.task)
+    found = F.when(F.contains(text, F.lit("Traceback (most recent call last):")), _traceback(lines, limits)).otherwise(
         _no_traceback()
     )
     return tx.let(
@@ -196,9 +225,9 @@ def _python_record(lines: Column, text: Column) -> Column:
     )
 
 
-def _plain_record(cls: Column, msg: Column, text: Column) -> Column:
+def _plain_record(cls: Column, msg: Column, text: Column, limits: Limits) -> Column:
     none = F.array().cast(_EMPTY)
-    message = F.substring(msg, 1, fv.GENERIC_MESSAGE_CHARS)
+    message = _cut(msg, limits.message)
     return _record(
         "generic", cls, message, cls, message, none, none, F.lit(None).cast("string"), text
     )
@@ -220,10 +249,14 @@ def _is_python(text: Column) -> Column:
     )
 
 
-def debug_context(e: Column, max_chars: int = fv.SUMMARY_MAX_CHARS) -> Column:
-    """Compact text of an exception struct: context, exception, causes, root cause, user frames."""
-    chain = e["causal_chain"]
-    last = F.slice(chain, F.greatest(F.size(chain) - fv.SUMMARY_CAUSES + 1, F.lit(1)), fv.SUMMARY_CAUSES)
+def debug_context(e: Column, limits: Limits = WHOLE) -> Column:
+    """Text of an exception struct: context, exception, causes, root cause, user frames."""
+    last, frames = e["causal_chain"], e["user_frames"]
+    if limits.summary_causes is not None:
+        kept = limits.summary_causes
+        last = F.slice(last, F.greatest(F.size(last) - kept + 1, F.lit(1)), kept)
+    if limits.summary_frames is not None:
+        frames = F.slice(frames, 1, limits.summary_frames)
 
     def listed(title: str, items: Column, mark: str) -> Column:
         body = F.array_join(F.transform(items, lambda x: F.concat(F.lit(mark), x)), "\n")
@@ -238,28 +271,28 @@ def debug_context(e: Column, max_chars: int = fv.SUMMARY_MAX_CHARS) -> Column:
             e["root_cause_class"] != e["exception_class"],
             F.concat(F.lit("Root cause: "), e["root_cause_class"], F.lit(": "), e["root_cause_message"]),
         ),
-        listed("User code frames:", F.slice(e["user_frames"], 1, fv.SUMMARY_FRAMES), "  "),
+        listed("User code frames:", frames, "  "),
     )
-    return F.substring(text, 1, max_chars)
+    return _cut(text, limits.summary)
 
 
-def exception_of_block(lines: Column) -> Column:
+def exception_of_block(lines: Column, limits: Limits = WHOLE) -> Column:
     """Exception struct of one block (an array of its lines)."""
 
     def record(text: Column) -> Column:
         generic = _plain_record(
-            F.lit("UnknownError"), _first(tx.split_lines(tx.strip(text))), text
+            F.lit("UnknownError"), _first(tx.split_lines(tx.strip(text))), text, limits
         )
         return (
-            F.when(_is_java(text), _java_record(lines, text))
-            .when(_is_python(text), _python_record(lines, text))
+            F.when(_is_java(text), _java_record(lines, text, limits))
+            .when(_is_python(text), _python_record(lines, text, limits))
             .otherwise(generic)
         )
 
     return tx.let(F.array_join(lines, "\n"), record)
 
 
-def exception_of_message(message: Column, *, full_traceback: bool = False) -> Column:
+def exception_of_message(message: Column, *, full_traceback: bool = False, limits: Limits = WHOLE) -> Column:
     """Exception struct of a message: its first block, else the text before the first colon.
 
     ``full_traceback`` reads a Python traceback over the whole message.  The block rule cuts one at
@@ -267,20 +300,20 @@ def exception_of_message(message: Column, *, full_traceback: bool = False) -> Co
     """
 
     def without_block(text: Column) -> Column:
-        head = F.substring(tx.strip(F.substring_index(text, ":", 1)), 1, fv.GENERIC_CLASS_CHARS)
+        head = _cut(tx.strip(F.substring_index(text, ":", 1)), limits.cls)
         cls = F.when(head == "", F.lit("UnknownError")).otherwise(head)
-        return _plain_record(cls, text, text)
+        return _plain_record(cls, text, text, limits)
 
     by_block = tx.let(
         _first(text_blocks(message)),
-        lambda block: F.when(block.isNotNull(), exception_of_block(block)).otherwise(
+        lambda block: F.when(block.isNotNull(), exception_of_block(block, limits)).otherwise(
             without_block(F.coalesce(message, F.lit("")))
         ),
     )
     if not full_traceback:
         return by_block
     traced = F.contains(message, F.lit("Traceback (most recent call last):")) & ~_is_java(message)
-    return F.when(traced, _python_record(tx.split_lines(message), message)).otherwise(by_block)
+    return F.when(traced, _python_record(tx.split_lines(message), message, limits)).otherwise(by_block)
 
 
 FIELDS = [
@@ -289,7 +322,7 @@ FIELDS = [
 ]
 
 
-def _described(e: Column) -> Column:
+def _described(e: Column, limits: Limits) -> Column:
     """The exception struct with category, severity, signature and summary; plain text has no category."""
 
     def full(category: Column) -> Column:
@@ -298,39 +331,59 @@ def _described(e: Column) -> Column:
             category.alias("category"),
             severity_of(category).alias("severity"),
             F.concat_ws(":", category, e["root_cause_class"]).alias("signature"),
-            debug_context(e).alias("summary"),
+            debug_context(e, limits).alias("summary"),
         )
 
     category = F.when(e["source_format"] == "generic", F.lit(fv.DEFAULT_CATEGORY)).otherwise(classify(e["raw_block"]))
     return tx.let(category, full)
 
 
-_block_column = tx.remembered(lambda name: tx.let(exception_of_block(F.col(name)), _described))
-_traced_column = tx.remembered(
-    lambda name: tx.let(exception_of_message(F.col(name), full_traceback=True), _described)
-)
-_message_column = tx.remembered(lambda name: tx.let(exception_of_message(F.col(name)), _described))
+def _described_by(exception, limits: Limits):
+    """Builds and remembers the described exception of a column."""
+    return tx.remembered(lambda name: tx.let(exception(F.col(name), limits), lambda e: _described(e, limits)))
+
+
+def _whole_traceback(c: Column, limits: Limits) -> Column:
+    return exception_of_message(c, full_traceback=True, limits=limits)
+
+
+def _by_block(c: Column, limits: Limits) -> Column:
+    return exception_of_message(c, limits=limits)
+
+
+_COLUMNS = {
+    (form, limits): _described_by(form, limits)
+    for form in (exception_of_block, _whole_traceback, _by_block)
+    for limits in (WHOLE, COMPAT)
+}
 
 
 def _with_fields(df: DataFrame, exception: Column) -> DataFrame:
+    """The fields as columns.  The struct comes out of a generator, so that it is computed once and a filter on a
+    field stays behind it instead of being copied into the expression."""
     kept = [c for c in df.columns if c not in (*FIELDS, "category", "severity", "signature", "summary")]
-    return df.select(*kept, exception.alias("_e")).select(*kept, "_e.*")
+    return explode_rows(df, kept, F.array(exception), "_e", "_one").select(*kept, "_e.*")
 
 
-def extract_exceptions(blocks: DataFrame, block: str = "block") -> DataFrame:
-    """Exception fields for a column of block lines; expressions only, no shuffle."""
-    return _with_fields(blocks, _block_column(block))
+def extract_exceptions(blocks: DataFrame, block: str = "block", *, compat: bool = False) -> DataFrame:
+    """Exception fields for a column of block lines; expressions only, no shuffle.
+
+    Frames, causes, messages and summaries are whole; ``compat`` cuts them as the original forms do.
+    """
+    return _with_fields(blocks, _COLUMNS[exception_of_block, COMPAT if compat else WHOLE](block))
 
 
-def parse_errors(df: DataFrame, column: str = "message", *, full_traceback: bool = False) -> DataFrame:
+def parse_errors(df: DataFrame, column: str = "message", *, full_traceback: bool = False, compat: bool = False) -> DataFrame:
     """Exception fields of the first block of each message; one output row per input row.
 
-    Row-local, so it needs no shuffle and works on streams.
+    Row-local, so it needs no shuffle and works on streams.  ``compat`` cuts long values (see
+    ``extract_exceptions``).
     """
-    return _with_fields(df, (_traced_column if full_traceback else _message_column)(column))
+    form = _whole_traceback if full_traceback else _by_block
+    return _with_fields(df, _COLUMNS[form, COMPAT if compat else WHOLE](column))
 
 
-def parse_all_blocks(df: DataFrame, column: str = "message") -> DataFrame:
+def parse_all_blocks(df: DataFrame, column: str = "message", *, compat: bool = False) -> DataFrame:
     """Exception fields of every block: one output row per block, with block_no from 0."""
     exploded = explode_rows(df, ["*"], text_blocks(F.col(column)), "_block", "block_no")
-    return extract_exceptions(exploded, "_block").drop("_block")
+    return extract_exceptions(exploded, "_block", compat=compat).drop("_block")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..functions.rows import explode_rows
 
 
 def normal_level(level: Column) -> Column:
@@ -78,7 +79,9 @@ def parse_lines(
     time) and sets ``ts_inferred``.
     """
     now = F.current_timestamp() if ingest_ts is None else ingest_ts
-    parsed = lines.withColumn("_line", parsed_line(F.col(line))).filter(F.col("_line").isNotNull())
+    # Out of a generator the parse runs once, and filters on its fields stay behind it.
+    parsed = explode_rows(lines, ["*"], F.array(parsed_line(F.col(line))), "_line", "_one").drop("_one")
+    parsed = parsed.filter(F.col("_line").isNotNull())
     timed = parsed.withColumn("_ts", parse_timestamp(F.col("_line.stamp"), compat=compat))
     return (
         timed.withColumns(

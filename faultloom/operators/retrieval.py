@@ -260,23 +260,30 @@ def format_section() -> Column:
 
 def embed_with(
     df: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]], out: str = "embedding", *,
-    max_chars: int = fv.EMBED_MAX_CHARS,
+    max_chars: int | None = None, failure: str | None = None,
 ) -> DataFrame:
     """Unit-length vectors of a model function, called once per Arrow batch of texts.
 
-    The text is cut to the model's input limit.  A batch that fails gets null vectors, so the events
-    go on without retrieval.
+    The whole text goes to the model unless ``max_chars`` states its input limit.  A batch that fails
+    gets null vectors, so the events go on without retrieval; a column named by ``failure`` then holds
+    the reason, so failures can be counted.
     """
+    found = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("failure", T.StringType())])
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(found)
+    def vectors(texts: pd.Series) -> pd.DataFrame:
         try:
             matrix = _unit(np.asarray(model([t or "" for t in texts]), dtype=np.float64))
-            return pd.Series([list(v) if np.isfinite(v).all() else None for v in matrix])
-        except Exception:  # noqa: BLE001  (a failing model must not fail the event)
-            return pd.Series([None] * len(texts))
+            rows = [(list(v), None) if np.isfinite(v).all() else (None, "no finite vector") for v in matrix]
+        except Exception as error:  # noqa: BLE001  (a failing model must not fail the event)
+            rows = [(None, f"{type(error).__name__}: {error}")] * len(texts)
+        return pd.DataFrame(rows, columns=["vector", "failure"])
 
-    return df.withColumn(out, vectors(F.substring(F.col(column), 1, max_chars)))
+    text = F.col(column) if max_chars is None else F.substring(F.col(column), 1, max_chars)
+    answered = df.withColumn("_answer", vectors(text)).withColumn(out, F.col("_answer.vector"))
+    if failure:
+        answered = answered.withColumn(failure, F.col("_answer.failure"))
+    return answered.drop("_answer")
 
 
 def embed_text(df: DataFrame, column: str, out: str = "embedding", *, dim: int = fv.EMBED_DIM,

@@ -92,7 +92,8 @@ def pipeline_state(runs: DataFrame, events: DataFrame | None = None, *, seq: str
     seen = events.groupBy("workspace_id", F.col("job_id").alias("pipeline_name")).agg(
         F.max("ingest_ts").alias("last_run")
     )
-    return status.drop("last_run").join(seen, keys)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return status.drop("last_run").alias("l").join(seen.alias("r"), same[0] & same[1]).select("l.*", "r.last_run")
 
 
 ERROR_KEYS = ["workspace_id", "pipeline_name", "error_type"]

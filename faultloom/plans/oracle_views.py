@@ -125,7 +125,7 @@ analysed AS (
 ),
 errors AS (
   SELECT workspace_id, job_id AS pipeline_name, signature AS error_type, root_cause, fix,
-    ts AS detected_at, left(clean, 10000) AS raw_log, severity, category, run_id, seq
+    ts AS detected_at, clean AS raw_log, severity, category, run_id, seq
   FROM analysed
   QUALIFY row_number() OVER (PARTITION BY workspace_id, job_id, signature ORDER BY seq DESC) = 1
 )"""

@@ -19,17 +19,22 @@ class Ingested:
     rejects: DataFrame | None = None
 
 
-def ingest(events: DataFrame, api_keys: DataFrame | None = None, *, key: str = "api_key", seq: str = "seq") -> Ingested:
+def ingest(
+    events: DataFrame, api_keys: DataFrame | None = None, *, key: str = "api_key", seq: str = "seq", global_runs: bool = False
+) -> Ingested:
     """Stamp the tenant, record runs, derive pipeline status and publish scrubbed ERROR events.
 
-    ``events`` carry workspace_id (or an API key), job_id, run_id, level, ts, message and ``seq``.
+    ``events`` carry workspace_id (or an API key), job_id, run_id, level, ts, message and ``seq``; with
+    ``ingest_ts`` a pipeline's last run is its last arrival.  ``global_runs`` ignores the workspace in
+    the run key.
     """
     rejects = None
     if api_keys is not None:
         events, rejects = state.stamp_tenants(events, api_keys, key)
     events = events.withColumn("level", lines.normal_level(F.col("level")))
-    runs = state.pipeline_runs(events, seq=seq)
-    return Ingested(runs, state.pipeline_state(runs, seq=seq), publish(events, seq=seq), rejects)
+    runs = state.pipeline_runs(events, seq=seq, global_runs=global_runs)
+    arrivals = events if "ingest_ts" in events.columns else None
+    return Ingested(runs, state.pipeline_state(runs, arrivals, seq=seq), publish(events, seq=seq), rejects)
 
 
 def publish(events: DataFrame, *, seq: str = "seq") -> DataFrame:
@@ -46,14 +51,17 @@ def analyse(
     rules: DataFrame | None = None,
     seq: str = "seq",
     chunk: Column | None = None,
+    redacted: bool = False,
+    compat: bool = False,
 ) -> DataFrame:
     """Redact, parse, admit by quota and choose a root cause for each queue record.
 
-    ``ai`` is a struct column (root_cause, suggested_fix, confidence_score) from an external step;
+    ``redacted`` says that the messages come from :func:`publish`, which has redacted them.  ``compat``
+    cuts long exceptions.  ``ai`` is a struct column (root_cause, suggested_fix, confidence_score) from an external step;
     without it every event counts as not analysed and the rules decide.
     """
-    clean = scrub.scrub(queue, "message")
-    parsed = parse_errors(clean, "message")
+    clean = queue if redacted else scrub.scrub(queue, "message")
+    parsed = parse_errors(clean, "message", compat=compat)
     fallback = F.struct(
         F.lit(fv.AI_UNAVAILABLE_CAUSE).alias("root_cause"),
         F.lit(fv.AI_UNAVAILABLE_FIX).alias("suggested_fix"),
@@ -67,8 +75,10 @@ def analyse(
     return hypotheses.pick_top(hypotheses.with_hypotheses(rows, rules=rules))
 
 
-def error_rows(analysed: DataFrame, *, seq: str = "seq", embedding: str | None = None) -> DataFrame:
-    """Analysed events as rows of the error table."""
+def error_rows(
+    analysed: DataFrame, *, seq: str = "seq", embedding: str | None = None, raw_log_chars: int | None = None
+) -> DataFrame:
+    """Analysed events as rows of the error table; the raw log is whole unless ``raw_log_chars`` limits it."""
     return analysed.select(
         "workspace_id",
         F.col("job_id").alias("pipeline_name"),
@@ -76,7 +86,7 @@ def error_rows(analysed: DataFrame, *, seq: str = "seq", embedding: str | None =
         F.col("final_root_cause").alias("root_cause"),
         F.col("final_fix").alias("fix"),
         F.col("ts").alias("detected_at"),
-        tx.cap_raw_log(F.col("message")).alias("raw_log"),
+        tx.cap_raw_log(F.col("message"), raw_log_chars).alias("raw_log"),
         "severity",
         "category",
         "run_id",
@@ -85,9 +95,14 @@ def error_rows(analysed: DataFrame, *, seq: str = "seq", embedding: str | None =
     )
 
 
-def process_events(queue: DataFrame, **options) -> DataFrame:
-    """The error table that the queue records give: one row per workspace, pipeline and signature."""
-    return state.upsert_errors(error_rows(analyse(queue, **options)))
+def process_events(queue: DataFrame, *, embedding: str | None = None, raw_log_chars: int | None = None, **options) -> DataFrame:
+    """The error table that the queue records give: one row per workspace, pipeline and signature.
+
+    ``embedding`` names a column of vectors to keep (an event without one keeps the older vector).
+    """
+    seq = options.get("seq", "seq")
+    rows = error_rows(analyse(queue, **options), seq=seq, embedding=embedding, raw_log_chars=raw_log_chars)
+    return state.upsert_errors(rows, seq=seq, embedding=embedding)
 
 
 def with_context(
@@ -122,7 +137,7 @@ def alert_rows(analysed: DataFrame, *, seq: str = "seq") -> DataFrame:
 
 def incident_summary(events: DataFrame, *, seq: str = "seq") -> DataFrame:
     """Per workspace and pipeline: the distinct signatures, severity, occurrences, last time and best fix."""
-    analysed = analyse(publish(events, seq=seq), seq=seq)
+    analysed = analyse(publish(events, seq=seq), seq=seq, redacted=True)
     return analysed.groupBy(
         "workspace_id",
         F.col("job_id").alias("pipeline_name"),

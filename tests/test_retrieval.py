@@ -136,6 +136,17 @@ def test_model_failure_gives_null_vectors(spark):
     good = retrieval.embed_with(spark.createDataFrame([("ok",)], "t string"), "t", model).first().embedding
     bad = retrieval.embed_with(spark.createDataFrame([("poison",)], "t string"), "t", model).first().embedding
     assert good == pytest.approx([0.6, 0.8]) and bad is None
+    why = retrieval.embed_with(spark.createDataFrame([("poison",)], "t string"), "t", model, failure="why").first()
+    assert why.embedding is None and "model down" in why.why
+
+
+def test_model_gets_whole_texts(spark):
+    def model(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("x" * 5000,)], "t string")
+    whole, cut = (retrieval.embed_with(df, "t", model, max_chars=n).first().embedding for n in (None, 2000))
+    assert whole[1] / whole[0] == pytest.approx(1 / 5000, rel=1e-3) and cut[1] / cut[0] == pytest.approx(1 / 2000, rel=1e-3)
 
 
 def test_worker_functions_need_no_installed_package(tmp_path):

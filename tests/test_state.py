@@ -165,12 +165,47 @@ def test_alert_truncation(spark):
         "pipeline_name string, run_id string, error_type string, root_cause string, fix string, severity string, detected timestamp",
     )
     row = df.select(
-        alerts.dedup_key().alias("k"), alerts.severity_color(F.col("severity")).alias("c"), alerts.slack_payload().alias("s")
+        alerts.dedup_key(compat=True).alias("k"), alerts.dedup_key().alias("whole"), alerts.severity_color(F.col("severity")).alias("c"), alerts.slack_payload().alias("s")
     ).first()
-    assert row.k == "p:" + "e" * 119 + "…" and row.c == "CC0000"
+    assert row.k == "p:" + "e" * 119 + "…" and row.whole == "p:" + "e" * 130 and row.c == "CC0000"
     assert "r" * 40 + "…" in row.s and "c" * 599 + "…" in row.s
 
 
+def test_signatures_with_one_beginning_are_different_alerts(spark):
+    rows = [(i, "w", "p", "r", "e" * 130 + str(i % 2), "c", "f", "ERROR", T0) for i in range(4)]
+    df = spark.createDataFrame(
+        rows, "seq long, workspace_id string, pipeline_name string, run_id string, error_type string, root_cause string, fix string, severity string, detected timestamp"
+    )
+    assert sorted(r.seq for r in alerts.dedup_alerts(df).collect()) == [0, 1]
+
+
+def test_null_workspace_keeps_its_state(spark):
+    events = spark.createDataFrame(
+        [(None, "p", "r1", "ERROR", 1), ("w", "p", "r2", "INFO", 2)], "workspace_id string, job_id string, run_id string, level string, seq long"
+    ).withColumns({"ts": F.lit(T0), "ingest_ts": F.lit(T0)})
+    rows = state.pipeline_state(state.pipeline_runs(events), events).collect()
+    assert {(r.workspace_id, r.status) for r in rows} == {(None, "Failed"), ("w", "Success")}
+
+
+def test_error_table_keeps_whole_logs_and_embeddings(spark):
+    long = "boom: " + "x" * 20_000
+    queue = spark.createDataFrame(
+        [("w", "p", "r1", long, 1, [1.0, 0.0]), ("w", "p", "r2", long, 2, None)],
+        "workspace_id string, job_id string, run_id string, message string, seq long, embedding array<double>",
+    ).withColumn("ts", F.lit(T0))
+    row = pl.process_events(queue, embedding="embedding").first()
+    assert row.raw_log == long and row.embedding == [1.0, 0.0] and row.run_id == "r2"
+    assert len(pl.process_events(queue, raw_log_chars=10_000).first().raw_log) == 10_000
+
+
+def test_lines_without_source_form_blocks(spark):
+    from faultloom.operators import blocks
+
+    rows = [(None, i, x) for i, x in enumerate(["java.lang.RuntimeException: x", "\tat a.B.c(B.java:1)", "done"])]
+    found = blocks.assign_blocks(spark.createDataFrame(rows, "path string, n long, line string"), source=["path"], order="n", chunk=F.floor(F.col("n") / 2))
+    assert sorted(r.n for r in found.collect()) == [0, 1]
+
+
 def test_change_sets_are_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("w", "p", "e", 1, "x")], "workspace_id string, pipeline_name string, error_type string, seq long, fix string")

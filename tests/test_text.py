@@ -112,16 +112,46 @@ def test_signature(spark, message, signature, severity):
     assert (row.signature, row.severity) == (signature, severity)
 
 
-def test_long_message_has_bounded_summary(spark):
-    rows = [("org.x.SparkException: " + "x" * 5000 + "\n\tat a.B.c(B.scala:1)",)]
-    assert len(parse_errors(spark.createDataFrame(rows, "message string")).first().summary) == 1000
+def test_long_message_has_whole_summary(spark):
+    message = spark.createDataFrame([("org.x.SparkException: " + "x" * 5000 + "\n\tat a.B.c(B.scala:1)",)], "message string")
+    assert "x" * 5000 in parse_errors(message).first().summary
+    assert len(parse_errors(message, compat=True).first().summary) == 1000
 
 
-def test_java_frames_are_filtered_and_capped(spark):
+def test_java_frames_are_filtered(spark):
     frames = "".join(f"\n\tat com.acme.A{i}.run(A.scala:{i})" for i in range(15))
     text = "a.BoomException: b\n\tat org.apache.spark.X.y(X.scala:1)" + frames
-    row = parse_errors(spark.createDataFrame([(text,)], "message string")).first()
-    assert row.user_frames == [f"com.acme.A{i}.run(A.scala:{i})" for i in range(10)]
+    message = spark.createDataFrame([(text,)], "message string")
+    assert parse_errors(message).first().user_frames == [f"com.acme.A{i}.run(A.scala:{i})" for i in range(15)]
+    assert parse_errors(message, compat=True).first().user_frames == [f"com.acme.A{i}.run(A.scala:{i})" for i in range(10)]
+
+
+def test_plain_text_is_whole(spark):
+    message = spark.createDataFrame([("c" * 300 + ": " + "m" * 900,)], "message string")
+    row, cut = parse_errors(message).first(), parse_errors(message, compat=True).first()
+    assert row.exception_class == "c" * 300 and row.exception_message.endswith("m" * 900)
+    assert cut.exception_class == "c" * 80 and len(cut.exception_message) == 200
+
+
+@pytest.mark.parametrize("column, value", [("signature", "OOM:X"), ("category", "OOM"), ("severity", "high"), ("source_format", "airflow")])
+def test_filters_do_not_copy_the_parse(spark, column, value):
+    from pyspark.sql import functions as F
+
+    parsed = parse_errors(spark.range(10).select(F.concat(F.lit("x: "), F.col("id")).alias("message")))
+
+    def tests_in_plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+
+    assert tests_in_plan(parsed.filter(F.col(column) == value)) <= tests_in_plan(parsed)
+
+
+def test_lines_are_parsed_once(spark):
+    from faultloom.operators import lines
+
+    source = spark.range(10).selectExpr("concat('x', id) AS line")
+    parsed = lines.errors_only(lines.parse_lines(source))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 10
 
 
 TRACE = (
