@@ -8,26 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from .positions import with_position
+from .positions import with_sum_before
 
 # Send the functions of this module with the job: executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def admit(events: DataFrame, users: DataFrame, *, seq: str = "seq", chunk: Column | None = None) -> DataFrame:
+def admit(
+    events: DataFrame, users: DataFrame, *, seq: str = "seq", chunk: Column | None = None, billable: Column | None = None
+) -> DataFrame:
     """Mark each event ``admitted`` while its workspace's calls stay below the limit, in ``seq`` order.
 
-    ``users`` has workspace_id, ai_calls_used, ai_calls_limit.  Workspaces without a user row are
+    Only ``billable`` events use up calls (by default all do): a call that gave no result is not
+    counted, so the events after it are still admitted.  ``users`` has workspace_id, ai_calls_used, ai_calls_limit.  Workspaces without a user row are
     not limited.  A usage row is looked up per event, positions are computed per (workspace, piece),
     so one hot workspace does not end up in one task.
     """
     limits = users.select(
         F.col("workspace_id").alias("_ws"), (F.col("ai_calls_limit") - F.col("ai_calls_used")).alias("_left")
     )
-    ranked = with_position(events, ["workspace_id"], seq, chunk=chunk, out="_position")
-    joined = ranked.join(limits, ranked["workspace_id"] == limits["_ws"], "left")
-    allowed = F.col("_left").isNull() | (F.col("_position") <= F.col("_left"))
-    return joined.withColumn("admitted", allowed).drop("_ws", "_left", "_position")
+    calls = F.lit(1) if billable is None else F.coalesce(billable.cast("long"), F.lit(0))
+    counted = with_sum_before(events, ["workspace_id"], seq, calls, chunk=chunk, out="_before")
+    joined = counted.join(limits, counted["workspace_id"] == limits["_ws"], "left")
+    allowed = F.col("_left").isNull() | (F.col("_before") < F.col("_left"))
+    return joined.withColumn("admitted", allowed).drop("_ws", "_left", "_before")
 
 
 def usage(admitted: DataFrame, *, billable: Column | None = None) -> DataFrame:

@@ -90,6 +90,12 @@ def chunk_runbooks(
     )
 
 
+def short_chunks(files: DataFrame, *, min_chars: int = fv.CHUNK_MIN_CHARS, keys: tuple[str, ...] = ("workspace_id", "source_file"), **options) -> DataFrame:
+    """Per file: how many pieces :func:`chunk_runbooks` leaves out because they are shorter than ``min_chars``."""
+    pieces = chunk_runbooks(files, keys=keys, min_chars=0, **options)
+    return pieces.groupBy(*keys).agg(F.count_if(F.length("chunk_text") < min_chars).alias("chunks_short"))
+
+
 def section_rows(
     files: DataFrame, *, text: str = "markdown_text", keys: tuple[str, ...] = ("workspace_id", "source_file")
 ) -> DataFrame:

@@ -71,7 +71,8 @@ def analyse(
     if users is None:
         rows = rows.withColumn("admitted", F.lit(True))
     else:
-        rows = hypotheses.quota_substitute(quota.admit(rows, users, seq=seq, chunk=chunk))
+        billable = hypotheses.usable_ai(F.col("ai.root_cause"))
+        rows = hypotheses.quota_substitute(quota.admit(rows, users, seq=seq, chunk=chunk, billable=billable))
     return hypotheses.pick_top(hypotheses.with_hypotheses(rows, rules=rules))
 
 
@@ -173,12 +174,23 @@ def ingest_runbooks(files: DataFrame, *, embed: bool = True, **options) -> DataF
     return retrieval.embed_text(chunks, "chunk_text") if embed else chunks
 
 
-def ingest_report(chunks: DataFrame) -> DataFrame:
-    """Per file: chunks stored and chunks without an embedding."""
-    return chunks.groupBy("workspace_id", "source_file").agg(
+def ingest_report(chunks: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """Per file: chunks stored and chunks without an embedding; with ``runbooks.short_chunks`` also those left out."""
+    keys = ["workspace_id", "source_file"]
+    report = chunks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("chunks_stored"),
         F.count_if(F.col("embedding").isNull()).alias("chunks_failed"),
     )
+    if short is None:
+        return report
+    return short.join(report, keys, "left").fillna(0, ["chunks_stored", "chunks_failed"])
+
+
+def replace_runbooks(current: DataFrame, files: DataFrame, **options) -> DataFrame:
+    """The chunk table after ``files`` were ingested: their new chunks in place of all their old ones."""
+    new = ingest_runbooks(files, **options)
+    keys = ["workspace_id", "source_file"]
+    return state.delete_by_key(current, files, keys).unionByName(new.select(current.columns))
 
 
 def collect_logs(log_lines: DataFrame, job_id: Column, *, workspace_id: str = "default") -> DataFrame:

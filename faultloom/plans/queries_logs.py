@@ -1,16 +1,19 @@
 """Queries over log text: redaction, line parsing, payloads, blocks, exceptions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import blocks, lines, reports, scrub
 from ..operators.exceptions import parse_all_blocks, parse_errors
 from ..operators.positions import chunk_of
-from ..sources import payloads
+from ..session import checkpoint_folder
+from ..sources import logs, payloads
 from ..sources.tables import read_table, spread
 from . import pipelines as pl
 from . import testviews as tv
-from .oracle_views import ERRORS, LOG_EVENTS, RULES, with_views
+from .oracle_views import ERRORS, LOG_EVENTS, MARKERS, RULES, SEVERITY, lit, with_views
 from .oracle_views import stamp as sql_stamp
 from .registry import query, stamp
 
@@ -138,6 +141,36 @@ def agent_events(spark, sf_dir):
     return events.select("seq", "source", "workspace_id", "job_id", "run_id", "level", "timestamp", "message")
 
 
+@query(
+    "log_scan",
+    f"""WITH {_LINES}
+SELECT level, message, {sql_stamp('t')} AS ts, 'scan' AS job_id, 'w' AS workspace_id
+FROM parsed WHERE level = 'ERROR'""",
+)
+def log_scan(spark, sf_dir):
+    """The raw lines written as log files to the shared folder, scanned and collected."""
+    folder = f"{checkpoint_folder(spark, 'logs')}/{uuid.uuid4().hex}"
+    tv.log_lines(spark, sf_dir).select("line").write.text(folder)
+    events = pl.collect_logs(logs.read_log_lines(spark, folder), F.lit("scan"), workspace_id="w")
+    return events.select("level", "message", stamp(tx.utc_ntz(F.col("ts"))).alias("ts"), "job_id", "workspace_id")
+
+
+def _marked() -> str:
+    rows = ", ".join(f"({i}, {lit(c)}, {lit(SEVERITY[c])})" for i, c in enumerate(MARKERS))
+    return f"""SELECT event_id AS seq, category, severity, category || ':JobException' AS signature
+FROM events JOIN (VALUES {rows}) AS c(slot, category, severity) ON slot = event_id % {len(MARKERS)}"""
+
+
+@query("all_categories", _marked())
+def all_categories(spark, sf_dir):
+    """Each event with a trace that holds one category's marker, category after category."""
+    marks = F.array(*[F.lit(m) for m in MARKERS.values()])
+    mark = F.element_at(marks, F.pmod("event_id", F.lit(len(MARKERS))).cast("int") + 1)
+    trace = F.concat(F.lit("org.acme.JobException: "), mark, F.lit(" at row "), F.col("event_id").cast("string"), F.lit("\n\tat com.acme.Job.run(Job.scala:5)"))
+    events = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), trace.alias("message"))
+    return parse_errors(events).select("seq", "category", "severity", "signature")
+
+
 @query(
     "published_errors",
     with_views(LOG_EVENTS, select="SELECT seq, workspace_id, job_id, run_id, clean AS message FROM log_events WHERE level = 'ERROR'"),

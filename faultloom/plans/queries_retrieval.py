@@ -249,6 +249,27 @@ def replace_chunks(spark, sf_dir):
     return replaced.select("workspace_id", "source_file", "section_no", F.length("body").cast("long").alias("n"))
 
 
+@query(
+    "replace_runbooks",
+    f"""WITH RECURSIVE {_PACK}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
+SELECT workspace_id, source_file, CAST(chunk_index AS INTEGER) AS chunk_index,
+  CASE WHEN source_file IN (SELECT 'doc_' || doc_id || '.md' FROM good) THEN 'new ' || chunk_text ELSE chunk_text END AS chunk_text
+FROM chunks""",
+)
+def replace_runbooks(spark, sf_dir):
+    """The whole chunk table after the files that the labels rate good came in again, changed and embedded."""
+    files = tv.markdown_files(spark, sf_dir)
+    current = pl.ingest_runbooks(files)
+    good = read_table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file")
+    )
+    renewed = pl.ingest_runbooks(files.join(good, "source_file", "left_semi"))
+    renewed = renewed.withColumn("chunk_text", F.concat(F.lit("new "), "chunk_text"))
+    keys = ["workspace_id", "source_file"]
+    replaced = state.replace_by_key(current, renewed.select(current.columns), keys)
+    return replaced.select(*keys, "chunk_index", "chunk_text")
+
+
 @query(
     "delete_chunks",
     f"""WITH {_MARKDOWN}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)

@@ -186,6 +186,25 @@ def quota_admission(spark, sf_dir):
     return admitted.select("seq", "workspace_id", "admitted")
 
 
+_BILLED = """
+quota AS (SELECT CAST(c_custkey AS VARCHAR) AS ws, 100 - (c_custkey * 7) % 120 AS remaining FROM customer),
+billed AS (
+  SELECT seq, workspace_id, remaining IS NULL OR coalesce(sum(CASE WHEN seq % 5 IN (3, 4) THEN 1 ELSE 0 END) OVER (
+    PARTITION BY workspace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < remaining AS admitted
+  FROM log_events LEFT JOIN quota ON ws = workspace_id
+)"""
+
+
+@query("quota_billed", with_views(LOG_EVENTS, _BILLED, select="SELECT seq, workspace_id, admitted FROM billed"))
+def quota_billed(spark, sf_dir):
+    """Admission where only calls that gave a result use up the quota."""
+    admitted = quota.admit(
+        tv.log_events(spark, sf_dir).select("seq", "workspace_id"), quota_users(spark, sf_dir), chunk=chunk_of("seq", 2_000),
+        billable=F.pmod("seq", F.lit(5)).isin(3, 4),
+    )
+    return admitted.select("seq", "workspace_id", "admitted")
+
+
 @query(
     "quota_usage",
     with_views(LOG_EVENTS, _ADMIT, select="""

@@ -43,6 +43,33 @@ def stream_errors(spark, sf_dir):
     )
 
 
+@query(
+    "stream_quota",
+    with_views(LOG_EVENTS, """
+quota AS (SELECT CAST(c_custkey AS VARCHAR) AS ws, 100 - (c_custkey * 7) % 120 AS remaining FROM customer),
+errors_only AS (
+  SELECT seq, workspace_id, seq % 5 IN (3, 4) AS billable, remaining,
+    coalesce(sum(CASE WHEN seq % 5 IN (3, 4) THEN 1 ELSE 0 END) OVER (
+      PARTITION BY workspace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM log_events LEFT JOIN quota ON ws = workspace_id WHERE level = 'ERROR'
+)""", select="""
+SELECT workspace_id, count(*) FILTER (billable AND (remaining IS NULL OR before < remaining)) AS ai_calls
+FROM errors_only GROUP BY 1"""),
+)
+def stream_quota(spark, sf_dir):
+    """Calls billed by a stream of several batches: the same as in one batch."""
+    from .queries_state import quota_users
+
+    answered = F.pmod("seq", F.lit(5)).isin(3, 4)
+    ai = F.when(answered, F.struct(F.lit("a cause").alias("root_cause"), F.lit("a fix").alias("suggested_fix"), F.lit(0.9).alias("confidence_score")))
+    users = quota_users(spark, sf_dir)
+    root = _replay(
+        spark, sf_dir, "quota", pl.publish,
+        lambda root: streams.error_changes(f"{root}/errors", users=users, usage_path=f"{root}/usage", ai=ai),
+    )
+    return spark.read.parquet(f"{root}/usage").groupBy("workspace_id").agg(F.sum("ai_calls").alias("ai_calls"))
+
+
 @query(
     "stream_run_status",
     with_views(LOG_EVENTS, RUNS, select=f"""

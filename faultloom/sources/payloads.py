@@ -92,10 +92,16 @@ def from_generic(df: DataFrame, now: Column) -> DataFrame:
 
 def from_parsed_lines(
     parsed: DataFrame, job_id: Column, *, source: str = "agent", workspace_id: str = "default",
-    identity: tuple[str, ...] = ("path", "split_start", "row_no"), keep: tuple[str, ...] = ("ts", "ts_inferred"),
+    identity: tuple[str, ...] = ("path", "nth"), keep: tuple[str, ...] = ("ts", "ts_inferred"),
 ) -> DataFrame:
-    """Events of parsed log lines; the run id is derived from where the line stands."""
+    """Events of parsed log lines; the run id is derived from the line and where it stands.
+
+    The default identity is the file, the line's own text and which of the file's equal lines it is, so
+    neither other files nor the split size change a run id.
+    """
     where = [F.col(c) for c in identity if c in parsed.columns]
+    if "line" in parsed.columns and "nth" in identity:
+        where.append(F.col("line"))
     return _event(
         parsed.withColumn("_run", tx.derived_run_id(job_id, *where, F.col("message"))),
         list(keep),

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import alerts, reports, state
+from ..operators import alerts, hypotheses, quota, reports, state
 from ..operators.exceptions import parse_errors
 from ..plans import pipelines as pl
 from ..sources import payloads
-from ..sources.tables import append_changes
+from ..sources.tables import BATCH, append_changes, read_changes
 
 
 def read_events(
@@ -54,9 +54,9 @@ def dedup_runs(events: DataFrame, horizon: str = "2 days") -> DataFrame:
 
 
 def dedup_alerts(alert_rows: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """One alert per workspace and dedup key within the horizon."""
-    keyed = alert_rows.withColumn("dedup_key", alerts.dedup_key())
-    return keyed.withWatermark("detected", horizon).dropDuplicatesWithinWatermark(["workspace_id", "dedup_key"])
+    """One alert per workspace, dedup key and tumbling window of ``horizon``: the rule of the batch form."""
+    keyed = alert_rows.withColumn("dedup_key", alerts.dedup_key()).withColumn("window_start", F.window("detected", horizon)["start"])
+    return keyed.withWatermark("detected", horizon).dropDuplicatesWithinWatermark(["workspace_id", "dedup_key", "window_start"])
 
 
 def incident_windows(events: DataFrame, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
@@ -114,10 +114,34 @@ def json_changes(root: str, ingest_ts: Column) -> Callable[[DataFrame, int], Non
     return write
 
 
-def error_changes(path: str, **options) -> Callable[[DataFrame, int], None]:
-    """Batch writer: the batch's error rows, already reduced to one per key, as a change set."""
+USAGE = T.StructType([T.StructField("workspace_id", T.StringType()), T.StructField("ai_calls", T.LongType())])
+
+
+def error_changes(
+    path: str, *, users: DataFrame | None = None, usage_path: str | None = None, embedding: str | None = None,
+    raw_log_chars: int | None = None, **options,
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer: the batch's error rows, already reduced to one per key, as a change set.
+
+    With ``users`` and ``usage_path`` the quota goes on from batch to batch: calls that gave a result
+    are kept as change sets, and the batches before count against the limits.  A replayed batch reads
+    the same earlier sets and replaces its own.
+    """
+    seq = options.get("seq", "seq")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_changes(pl.process_events(batch, **options), path, batch_id)
+        spark, limits = batch.sparkSession, users
+        if users is not None and usage_path:
+            earlier = read_changes(spark, usage_path, USAGE).filter(F.col(BATCH) < batch_id)
+            limits = quota.add_usage(users, earlier.groupBy("workspace_id").agg(F.sum("ai_calls").alias("ai_calls")))
+        analysed = pl.analyse(batch, users=limits, **options).persist()
+        try:
+            rows = pl.error_rows(analysed, seq=seq, embedding=embedding, raw_log_chars=raw_log_chars)
+            append_changes(state.upsert_errors(rows, seq=seq, embedding=embedding), path, batch_id)
+            if users is not None and usage_path:
+                billed = quota.usage(analysed, billable=hypotheses.usable_ai(F.col("ai.root_cause")))
+                append_changes(billed, usage_path, batch_id)
+        finally:
+            analysed.unpersist()
 
     return write

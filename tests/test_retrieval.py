@@ -200,3 +200,38 @@ def test_rows_with_missing_keys(spark):
 
     df = tables.rows_to_frame(spark, [{"pipeline": "p", "error": "SCHEMA_X"}, {}], DASHBOARD_ERROR)
     assert [tuple(r) for r in df.collect()] == [("p", "SCHEMA_X", "", "", ""), ("", "", "", "", "")]
+
+
+def test_line_ids_do_not_change_with_other_files_or_splits(spark, tmp_path):
+    line = "2026-01-01 10:00:0{} ERROR boom {}"
+    (tmp_path / "b.log").write_text("\n".join(line.format(i % 10, i % 3) for i in range(400)) + "\n")
+
+    def ids():
+        events = pl.collect_logs(logs.read_log_lines(spark, str(tmp_path)), F.lit("job"))
+        return sorted(r.run_id for r in events.filter(F.col("message").startswith("boom")).collect())
+
+    before = ids()
+    assert len(set(before)) == 400
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert ids() == before
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "a.log").write_text("2026-01-01 10:00:00 ERROR other\n" * 50)
+    assert ids() == before
+
+
+def test_short_chunks_are_counted(spark):
+    text = "## A\n\nshort\n\n## B\n\n" + "long enough to be kept as a chunk of its own\n"
+    files = spark.createDataFrame([("w", "f.md", text)], "workspace_id string, source_file string, markdown_text string")
+    report = pl.ingest_report(pl.ingest_runbooks(files), runbooks.short_chunks(files)).first()
+    assert (report.chunks_stored, report.chunks_failed, report.chunks_short) == (1, 0, 1)
+
+
+def test_new_files_replace_their_old_chunks(spark):
+    schema = "workspace_id string, source_file string, markdown_text string"
+    body = "## T\n\n" + "words that make a chunk long enough {}\n"
+    old = spark.createDataFrame([("w", "a.md", body.format(1)), ("w", "b.md", body.format(2)), (None, "a.md", body.format(3))], schema)
+    new = spark.createDataFrame([("w", "a.md", body.format(9))], schema)
+    rows = pl.replace_runbooks(pl.ingest_runbooks(old), new).collect()
+    assert sorted((str(r.workspace_id), r.source_file, r.chunk_text[-1]) for r in rows) == [("None", "a.md", "3"), ("w", "a.md", "9"), ("w", "b.md", "2")]

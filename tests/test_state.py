@@ -222,3 +222,41 @@ def test_newest_set_per_key(spark):
     rows = [("w", "f", 0, 0), ("w", "f", 1, 0), ("w", "f", 0, 1), ("w", "g", 0, 0)]
     df = spark.createDataFrame(rows, "workspace_id string, source_file string, chunk_index int, batch_id long")
     assert tables.latest_sets(df, ["workspace_id", "source_file"]).count() == 2
+
+
+def test_failed_calls_use_no_quota(spark):
+    events = spark.createDataFrame([(i, "w", i % 3 == 0) for i in range(12)], "seq long, workspace_id string, paid boolean")
+    users = spark.createDataFrame([("w", 0, 2)], "workspace_id string, ai_calls_used long, ai_calls_limit long")
+    rows = quota.admit(events, users, chunk=chunk_of("seq", 5), billable=F.col("paid")).orderBy("seq").collect()
+    # The second paid call is number 3; everything up to it is admitted.
+    assert [r.admitted for r in rows] == [i <= 3 for i in range(12)]
+
+
+def test_quota_goes_on_from_batch_to_batch(spark, tmp_path):
+    from faultloom.streaming import streams
+
+    users = spark.createDataFrame([("w", 0, 1)], "workspace_id string, ai_calls_used long, ai_calls_limit long")
+    write = streams.error_changes(
+        f"{tmp_path}/errors", users=users, usage_path=f"{tmp_path}/usage",
+        ai=F.struct(F.lit("c").alias("root_cause"), F.lit("f").alias("suggested_fix"), F.lit(0.9).alias("confidence_score")),
+    )
+    batch = lambda i: spark.createDataFrame([("w", "p", f"r{i}", f"boom{i}", i)], "workspace_id string, job_id string, run_id string, message string, seq long").withColumn("ts", F.lit(T0))
+    for i in (0, 1, 1, 0):  # with replays
+        write(batch(i), i)
+    used = spark.read.parquet(f"{tmp_path}/usage").groupBy().sum("ai_calls").first()[0]
+    assert used == 1
+
+
+def test_lists_come_in_order(spark):
+    from faultloom.operators import reports
+
+    rows = [(f"w{i % 3}", f"p{i % 7}", f"e{i}", at(i * 37 % 60) if i % 9 else None) for i in range(60)]
+    errors = spark.createDataFrame(rows, "workspace_id string, pipeline_name string, error_type string, detected_at timestamp").repartition(5)
+    newest = [r.detected_at for r in reports.sort_errors(errors).collect()]
+    timed = [t for t in newest if t]
+    assert timed == sorted(timed, reverse=True) and newest[: len(timed)] == timed
+    names = [(r.pipeline_name, r.workspace_id, r.error_type) for r in reports.sort_errors(errors, "pipeline").collect()]
+    assert names == sorted(names)
+    assert [r.detected_at for r in reports.recent_errors(errors).collect()] == timed[:4]
+    runs = errors.select(F.col("error_type").alias("run_id"), F.col("detected_at").alias("created_at"))
+    assert [r.created_at for r in reports.sort_runs(runs).collect()] == newest
