@@ -227,21 +227,32 @@ def knn(
     )
 
 
-def similar_incidents(events: DataFrame, errors: DataFrame, *, event_id: str = "event_id", **options) -> DataFrame:
+def similar_incidents(
+    events: DataFrame, errors: DataFrame, *, event_id: str = "event_id",
+    min_similarity: float | None = fv.RETRIEVAL_MIN_SIMILARITY, **options,
+) -> DataFrame:
     """Past errors of the same workspace nearest to each event (needs embedding and root_cause).
 
+    Hits below ``min_similarity`` are left out, and with them most block pairs; None keeps all.
+
     ``errors`` carries ``error_id``.  Returns event id, rank, similarity, error_type, root_cause, fix.
     """
     corpus = errors.filter(F.col("embedding").isNotNull() & F.col("root_cause").isNotNull())
-    hits = knn(events, corpus, group="workspace_id", query_id=event_id, corpus_id="error_id", **options)
+    hits = knn(events, corpus, group="workspace_id", query_id=event_id, corpus_id="error_id", min_similarity=min_similarity, **options)
     detail = corpus.select("workspace_id", "error_id", "error_type", "root_cause", "fix")
     return hits.join(detail, ["workspace_id", "error_id"])
 
 
-def runbook_sections(events: DataFrame, chunks: DataFrame, *, event_id: str = "event_id", **options) -> DataFrame:
-    """Runbook chunks of the same workspace nearest to each event; ``chunks`` carries ``chunk_id``."""
+def runbook_sections(
+    events: DataFrame, chunks: DataFrame, *, event_id: str = "event_id",
+    min_similarity: float | None = fv.RETRIEVAL_MIN_SIMILARITY, **options,
+) -> DataFrame:
+    """Runbook chunks of the same workspace nearest to each event; ``chunks`` carries ``chunk_id``.
+
+    The threshold is that of :func:`similar_incidents`.
+    """
     corpus = chunks.filter(F.col("embedding").isNotNull())
-    hits = knn(events, corpus, group="workspace_id", query_id=event_id, corpus_id="chunk_id", **options)
+    hits = knn(events, corpus, group="workspace_id", query_id=event_id, corpus_id="chunk_id", min_similarity=min_similarity, **options)
     detail = corpus.select("workspace_id", "chunk_id", "source_file", "section_title", "chunk_text")
     return hits.join(detail, ["workspace_id", "chunk_id"])
 

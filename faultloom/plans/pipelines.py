@@ -1,5 +1,6 @@
 """The composite pipelines, each one lazy plan over the operators."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,14 @@ def analyse(
     without it every event counts as not analysed and the rules decide.
     """
     clean = queue if redacted else scrub.scrub(queue, "message")
-    parsed = parse_errors(clean, "message", compat=compat)
+    return decide(parse_errors(clean, "message", compat=compat), ai=ai, users=users, rules=rules, seq=seq, chunk=chunk)
+
+
+def decide(
+    parsed: DataFrame, *, ai: Column | None = None, users: DataFrame | None = None, rules: DataFrame | None = None,
+    seq: str = "seq", chunk: Column | None = None,
+) -> DataFrame:
+    """Admit parsed events by quota and choose their root cause (see :func:`analyse`)."""
     fallback = F.struct(
         F.lit(fv.AI_UNAVAILABLE_CAUSE).alias("root_cause"),
         F.lit(fv.AI_UNAVAILABLE_FIX).alias("suggested_fix"),
@@ -122,6 +130,45 @@ def with_context(
     return prompts.with_prompts(described, context, event_id)
 
 
+@dataclass
+class Processed:
+    """What one batch of queue records gives: analysed events with their prompts, error rows to upsert, and alerts."""
+
+    analysed: DataFrame
+    errors: DataFrame
+    alerts: DataFrame
+
+
+def process_with_context(
+    queue: DataFrame,
+    errors: DataFrame,
+    chunks: DataFrame,
+    *,
+    answer: Callable[[Column], Column] | None = None,
+    users: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    seq: str = "seq",
+    chunk: Column | None = None,
+    embedding: str = "embedding",
+    width: str = "1 hour",
+    redacted: bool = False,
+    **retrieval_options,
+) -> Processed:
+    """The whole way of an event: redact, embed, parse, retrieve, prompt, answer, rank, upsert, alert.
+
+    ``errors`` (with error_id) and ``chunks`` (with chunk_id) are the stored tables with embeddings.
+    ``answer`` maps the prompt column to an AI result struct; without it the rules decide.  Events that
+    bring an ``embedding`` column keep it, others get the offline one.
+    """
+    clean = queue if redacted else scrub.scrub(queue, "message")
+    embedded = clean if embedding in clean.columns else retrieval.embed_text(clean, "message", embedding)
+    prompted = with_context(parse_errors(embedded, "message"), errors, chunks, event_id=seq, **retrieval_options)
+    ai = None if answer is None else answer(F.col("prompt"))
+    analysed = decide(prompted, ai=ai, users=users, rules=rules, seq=seq, chunk=chunk)
+    rows = state.upsert_errors(error_rows(analysed, seq=seq, embedding=embedding), seq=seq, embedding=embedding)
+    return Processed(analysed, rows, alerts.dedup_alerts(alert_rows(analysed, seq=seq), width, order=seq))
+
+
 def alert_rows(analysed: DataFrame, *, seq: str = "seq") -> DataFrame:
     return analysed.select(
         seq,

@@ -70,7 +70,7 @@ def _incident_hits(spark, sf_dir):
         F.when(F.get("embedding", F.lit(0)) >= -0.15, F.concat(F.lit("cause "), v)).alias("root_cause"),
         F.concat(F.lit("fix "), v).alias("fix"),
     )
-    return retrieval.similar_incidents(events, errors)
+    return retrieval.similar_incidents(events, errors, min_similarity=None)
 
 
 def _section_hits(spark, sf_dir, **options):
@@ -84,7 +84,7 @@ def _section_hits(spark, sf_dir, **options):
         F.when(F.pmod("vec_id", F.lit(3)) != 0, F.concat(F.lit("Title "), v)).alias("section_title"),
         F.concat(F.lit("text "), v).alias("chunk_text"),
     )
-    return retrieval.runbook_sections(events, chunks, k=3, **options)
+    return retrieval.runbook_sections(events, chunks, k=3, **{"min_similarity": None, **options})
 
 
 _HAS_CAUSE = "c.embedding[1] >= -0.15::FLOAT"

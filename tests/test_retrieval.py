@@ -235,3 +235,33 @@ def test_new_files_replace_their_old_chunks(spark):
     new = spark.createDataFrame([("w", "a.md", body.format(9))], schema)
     rows = pl.replace_runbooks(pl.ingest_runbooks(old), new).collect()
     assert sorted((str(r.workspace_id), r.source_file, r.chunk_text[-1]) for r in rows) == [("None", "a.md", "3"), ("w", "a.md", "9"), ("w", "b.md", "2")]
+
+
+def test_events_go_the_whole_way(spark):
+    import datetime as dt
+
+    seen = "db pool exhausted while loading orders: java.lang.OutOfMemoryError: Java heap space"
+    queue = spark.createDataFrame(
+        [(1, "w", "p", "r1", seen), (2, "w", "p", "r2", "mail bob@corp.example.org: KeyError x"), (3, "v", "p", "r3", seen)],
+        "seq long, workspace_id string, job_id string, run_id string, message string",
+    ).withColumn("ts", F.lit(dt.datetime(2026, 1, 1)))
+    past = spark.createDataFrame(
+        [("w", 7, "OOM:X", "heap too small", "raise the heap", seen), ("w", 8, "Y", None, "f", seen)],
+        "workspace_id string, error_id long, error_type string, root_cause string, fix string, message string",
+    )
+    chunks = spark.createDataFrame([("w", 5, "a.md", "Memory", seen)], "workspace_id string, chunk_id long, source_file string, section_title string, chunk_text string")
+    answered = lambda prompt: F.struct(
+        F.concat(F.lit("seen "), F.length(prompt).cast("string")).alias("root_cause"), F.lit("do it").alias("suggested_fix"), F.lit(0.95).alias("confidence_score")
+    )
+    done = pl.process_with_context(
+        queue, retrieval.embed_text(past, "message"), retrieval.embed_text(chunks, "chunk_text"), answer=answered
+    )
+    analysed = {r.seq: r for r in done.analysed.collect()}
+    assert "heap too small" in analysed[1].prompt and "a.md" in analysed[1].prompt
+    assert "heap too small" not in analysed[2].prompt and "heap too small" not in analysed[3].prompt
+    assert "bob@corp" not in analysed[2].prompt
+    errors = done.errors.collect()
+    assert len(errors) == 2 and all(r.embedding is not None and r.root_cause.startswith("seen ") for r in errors)
+    assert done.alerts.count() == 2
+    rules = pl.process_with_context(queue, retrieval.embed_text(past, "message"), retrieval.embed_text(chunks, "chunk_text"))
+    assert not any(r.root_cause.startswith("seen ") for r in rules.errors.collect())
