@@ -281,7 +281,8 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
         .withColumn("member", (F.col("home") == F.col("own_home")) & (F.col("block") == block_of("blocks")))
         .select("key", "home", "block", "member")
     )
-    reps = homes.select(F.col("rep").alias("doc_id")).distinct()
+    # The ids' number grows with the documents, so they are never broadcast: texts and ids meet by a shuffle at every size.
+    reps = homes.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     docs = df.select("doc_id", "text")
     texts = docs.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
     sets = (
