@@ -209,3 +209,39 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NEAR, siz
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def oracle(threshold: float = NEAR, size: int = SHINGLE_WORDS) -> str:
+    """Every run of an item's length that shares a shingle with it, by exact weighted similarity.
+
+    Items are taken to have at least ``size`` words, and ids to be unique.
+    """
+    words_of = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+    return f"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, {words_of} AS w FROM documents UNION ALL
+  SELECT 'i', item_id, {words_of} FROM benchmark
+),
+grams AS (
+  SELECT kind, id, pos, array_to_string(w[pos + 1 : pos + {size}], ' ') AS gram, len(w) - {size - 1} AS n
+  FROM (SELECT *, unnest(range(0, len(w) - {size - 1})) AS pos FROM texts)
+),
+items AS (SELECT id AS item_id, gram, n AS m, count(*) AS weight FROM grams WHERE kind = 'i' GROUP BY ALL),
+hits AS (
+  SELECT g.id AS doc_id, item_id, pos, gram, weight, m, n, least(m, n) AS run
+  FROM grams g JOIN items USING (gram) WHERE kind = 'd'
+),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, m, run, unnest(range(greatest(0, pos - run + 1), least(pos, n - run) + 1)) AS start FROM hits
+),
+shared AS (
+  SELECT s.doc_id, s.item_id, s.m, s.run, s.start, h.gram, least(count(*), any_value(h.weight)) AS c
+  FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.pos BETWEEN s.start AND s.start + s.run - 1
+  GROUP BY ALL
+),
+alike AS (
+  SELECT doc_id, item_id, start, run, CAST(sum(c) AS DOUBLE) / (run + m - sum(c)) AS similarity FROM shared GROUP BY doc_id, item_id, m, run, start
+)
+SELECT doc_id, item_id, similarity, start AS first_word, run + {size - 1} AS n_words FROM alike WHERE similarity >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

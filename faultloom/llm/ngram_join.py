@@ -345,3 +345,40 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     )
     nth = F.row_number().over(Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.lit(0)))
     return kept.withColumn("_nth", nth).filter(F.col("_wordless") | (F.col("_nth") == 1)).drop("_nth", "_t1", "_t2", "_wordless")
+
+
+#: Words of a text in SQL, as ``common.words`` gives them.
+SQL_WORDS = r"""
+worded AS (
+  SELECT *, CASE WHEN len(w) > 0 THEN w ELSE list_filter(regexp_split_to_array(low, '\s+'), lambda x: x <> '') END AS words
+  FROM (SELECT *, regexp_extract_all(low, '[\p{L}\p{N}_]+') AS w FROM (SELECT *, lower(coalesce(text, '')) AS low FROM documents))
+)"""
+
+
+def oracle(threshold: float = NEAR, size: int = SHINGLE_WORDS) -> str:
+    """All pairs by shared n-grams, exact similarities, and the closure of the links (ids are taken to be unique)."""
+    return f"""
+WITH RECURSIVE {SQL_WORDS},
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + {size} - 1], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {size} + 1, least(len(words), 1)) + 1)) AS i FROM worded)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b, c = x.n AND c = y.n AS equal FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE c / (x.n + y.n - c) >= {threshold}
+),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY 1),
+degree AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (equal) AS equal FROM links GROUP BY 1)
+SELECT doc_id, class_id, 1 + coalesce(equal, 0) AS copies, coalesce(n_links, 0) AS n_links
+FROM class LEFT JOIN degree USING (doc_id)
+"""

@@ -72,13 +72,13 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-@query("op7_ngram_join")
+@query("op7_ngram_join", ngram_join.oracle())
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", "class_id", "copies", "n_links")
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", decontamination.oracle())
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +89,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op10_sharding")
+@query("op10_sharding", sharding.oracle())
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))

@@ -128,3 +128,50 @@ def place(df: DataFrame, shards: int = 8, *, tree: Node | None = None, grown: No
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+def sql_descend(key: str, node: Node) -> str:
+    """The shard number of a key as SQL."""
+    children = [c for c in node.children if c.weight > 0]
+    if not node.children:
+        return str(node.shard)
+    if len(children) == 1:
+        return sql_descend(key, children[0])
+    draws = ", ".join(
+        f"{{d: -ln((('0x' || substr(md5({key} || '/{c.name}'), 1, 13))::BIGINT + 1) / {2**52}.0::DOUBLE) / {c.weight}, i: {i}}}"
+        for i, c in enumerate(children)
+    )
+    cases = " ".join(f"WHEN {i} THEN {sql_descend(key, c)}" for i, c in enumerate(children))
+    return f"CASE list_min([{draws}]).i {cases} END"
+
+
+#: crc32 of a text's UTF-8 bytes in SQL: the byte table is built from its rule, the bytes are folded one by one.
+SQL_CRC = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(i))
+),
+summed AS (
+  SELECT documents.*, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table
+)"""
+
+
+def oracle(shards: int = 8) -> str:
+    """The same in SQL; logarithms of two engines may differ in the last bit, which no two draws here are near."""
+    key = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    return f"""
+WITH {SQL_CRC},
+placed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, text_crc32,
+    {sql_descend(key, tree_of(shards))} AS shard, {sql_descend(key, tree_of(shards + 1))} AS grown_shard
+  FROM summed
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM placed
+"""
