@@ -162,7 +162,7 @@ class Block:
 
     def _find(self, key: bytes) -> bytes:
         root = self.root
-        while root.setdefault(key, key) != key:
+        while root[key] != key:
             root[key] = root[root[key]]
             key = root[key]
         return key
@@ -173,7 +173,7 @@ class Block:
             self.root[max(a, b)] = min(a, b)
 
     def forest(self) -> list[tuple[bytes, bytes]]:
-        """Every node that hangs on another, with its root."""
+        """Every member that hangs on another, with its root."""
         return [(k, r) for k in self.root if (r := self._find(k)) != k]
 
 
@@ -184,18 +184,25 @@ def _verify(threshold: float):
         current, members, block, last = None, [], None, None
         out: list[tuple] = []
 
-        def visit(key, bands, grams):
+        def visit(key, bands, grams, member):
             near = block.links(key, bands, grams, threshold)
-            for i in near:
-                block.join(key, block.keys[i])
             out.append((key, int(block.copies[near].sum()), None))
+            if len(near):
+                # Members are joined here; a visitor hangs on one of them, so nothing grows with the visitors.
+                first = block.keys[near[0]]
+                for i in near[1:]:
+                    block.join(first, block.keys[i])
+                if member:
+                    block.join(key, first)
+                else:
+                    out.append((key, 0, first))
 
         def open_block():
             nonlocal block, members
             block, held = Block(members), members
             members = []
             for key, _, bands, grams in held:
-                visit(key, bands, grams)
+                visit(key, bands, grams, True)
 
         def close_block():
             if members:
@@ -224,7 +231,7 @@ def _verify(threshold: float):
                 if block is None and members:
                     open_block()
                 if block:
-                    visit(row[0], row[2], row[3])
+                    visit(row[0], row[2], row[3], False)
                 if len(out) >= 10_000:
                     yield give()
             yield give()
