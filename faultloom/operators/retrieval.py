@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 1024
 PAIR_SALTS = 16
+# A corpus block is sent to at most so many tasks, which share the query blocks that visit it.
+VISIT_SLICES = 16
 _CELL_BITS = 16
 _PLANE_SEED = 7
 _DIGITS = 12  # similarities are rounded here so that equal vectors tie and ids decide
@@ -117,12 +119,28 @@ def _top_in_block(sims: np.ndarray, k: int) -> np.ndarray:
 
 
 def _compare(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, floor: float | None, skip_self: bool) -> DataFrame:
-    """Top k hits of every query in every listed pair of blocks."""
-    work = pairs.join(q.select("grp", "qblock", F.col("items").alias("qs")), ["grp", "qblock"]).join(
-        c.select("grp", "cblock", F.col("items").alias("cs")), ["grp", "cblock"]
-    ).select("grp", "qs", "cs")
+    """Top k hits of every query in every listed pair of blocks.
+
+    A corpus block travels once per slice of its query blocks, not once per pair: rows are sorted so that a
+    task reads the block and then the query blocks that visit it.  Slices keep a block that many queries
+    visit from becoming one task.
+    """
     qid = q.schema["items"].dataType.elementType["id"].dataType
     cid = c.schema["items"].dataType.elementType["id"].dataType
+    packed = T.ArrayType(q.schema["items"].dataType.elementType)
+    sliced = pairs.select("grp", "qblock", "cblock", F.pmod(F.xxhash64("qblock"), F.lit(VISIT_SLICES)).alias("slice"))
+    place = ["grp", "cblock", "slice"]
+    empty_q, empty_c = F.lit(None).cast(packed), F.lit(None).cast(c.schema["items"].dataType)
+    homes = (
+        sliced.select(*place).distinct()
+        .join(c.select("grp", "cblock", F.col("items").alias("cs")), ["grp", "cblock"])
+        .select(*place, F.lit(0).alias("role"), empty_q.alias("qs"), "cs")
+    )
+    visits = (
+        sliced.join(q.select("grp", "qblock", F.col("items").alias("qs")), ["grp", "qblock"])
+        .select(*place, F.lit(1).alias("role"), "qs", empty_c.alias("cs"))
+    )
+    work = homes.unionByName(visits).repartition(*place).sortWithinPartitions(*place, "role").select("grp", "role", "qs", "cs")
     schema = T.StructType(
         [
             T.StructField("grp", q.schema["grp"].dataType),
@@ -133,15 +151,18 @@ def _compare(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, floor: float
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c_ids = c_vecs = at = None
         for batch in batches:
-            for grp, qs, cs in zip(batch.column("grp"), batch.column("qs"), batch.column("cs")):
+            for grp, role, qs, cs in zip(*(batch.column(n) for n in ("grp", "role", "qs", "cs"))):
+                if role.as_py() == 0:
+                    c_ids, c_vecs = _vectors(cs.values)
+                    order = pa.compute.sort_indices(c_ids)
+                    c_ids, c_vecs = c_ids.take(order), c_vecs[order.to_numpy()]
+                    at = {v: j for j, v in enumerate(c_ids.to_pylist())} if skip_self else None
+                    continue
                 q_ids, q_vecs = _vectors(qs.values)
-                c_ids, c_vecs = _vectors(cs.values)
-                order = pa.compute.sort_indices(c_ids)
-                c_ids, c_vecs = c_ids.take(order), c_vecs[order.to_numpy()]
                 sims = np.round(q_vecs @ c_vecs.T, _DIGITS)
                 if skip_self:
-                    at = {v: j for j, v in enumerate(c_ids.to_pylist())}
                     for i, v in enumerate(q_ids.to_pylist()):
                         if v in at:
                             sims[i, at[v]] = -np.inf

@@ -59,6 +59,40 @@ def knn_approx(spark, sf_dir):
     return _knn(spark, sf_dir, probes=2, block_rows=16)
 
 
+#: Share of the exact hits that the approximate search must find with two probes on these vectors, which have no clusters.
+APPROX_RECALL = 0.25
+
+
+@query(
+    "knn_approx_checked",
+    f"""WITH {_hits()}
+SELECT count(DISTINCT qid) AS n_queries, true AS ranks_dense, true AS similarities_exact, true AS recall_reached FROM hits""",
+)
+def knn_approx_checked(spark, sf_dir):
+    """The approximate hits against the vectors themselves and against the exact hits."""
+    approx, exact = _knn(spark, sf_dir, probes=2, block_rows=16), _knn(spark, sf_dir)
+    e = _vectors(spark, sf_dir)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    q, c = F.col("q.embedding"), F.col("c.embedding")
+    cosine = dot(q, c) / F.sqrt(dot(q, q) * dot(c, c))
+    hits = (
+        approx.alias("h")
+        .join(e.alias("q"), F.col("h.query_vec_id") == F.col("q.vec_id"))
+        .join(e.alias("c"), F.col("h.vec_id") == F.col("c.vec_id"))
+        .join(exact.alias("x"), (F.col("h.query_vec_id") == F.col("x.query_vec_id")) & (F.col("h.vec_id") == F.col("x.vec_id")), "left")
+    )
+    found = hits.agg(
+        F.countDistinct("h.query_vec_id").alias("n_queries"),
+        F.bool_and(F.col("h.rank").between(1, 5)).alias("ranks_dense"),
+        F.bool_and(F.abs(F.col("h.similarity") - cosine) < 1e-5).alias("similarities_exact"),
+        F.count("x.vec_id").alias("both"),
+    )
+    wanted = exact.agg(F.count(F.lit(1)).alias("all"))
+    return found.crossJoin(wanted).select(
+        "n_queries", "ranks_dense", "similarities_exact", (F.col("both") >= F.col("all") * APPROX_RECALL).alias("recall_reached")
+    )
+
+
 def _incident_hits(spark, sf_dir):
     e = _vectors(spark, sf_dir)
     workspace = F.col("label").cast("string").alias("workspace_id")
