@@ -69,3 +69,8 @@ def school_join(students: DataFrame, schools: DataFrame, teachers: DataFrame) ->
     No broadcast hint: Spark broadcasts the dimension tables while they are below its threshold.
     """
     return students.join(schools, "school_id").join(teachers, "school_id")
+
+
+def join_sample(joined: DataFrame, n: int = 10) -> DataFrame:
+    """The first n joined students by id (one top-n per task, then one merge)."""
+    return joined.orderBy("student_id").limit(n)

@@ -55,6 +55,11 @@ def recent_errors(errors: DataFrame, n: int = 4) -> DataFrame:
     return sort_errors(errors.filter(F.col("detected_at").isNotNull())).limit(n)
 
 
+def first_pipelines(pipelines: DataFrame, n: int = 6) -> DataFrame:
+    """The first n pipeline cards by name (and workspace), as the start page shows them."""
+    return pipelines.orderBy("pipeline_name", "workspace_id").limit(n)
+
+
 def recent_signups(users: DataFrame, n: int = 10) -> DataFrame:
     return users.orderBy(F.col("created_at").desc_nulls_last(), F.col("id")).limit(n)
 

@@ -323,6 +323,19 @@ def school_join(spark, sf_dir):
     return _schools(spark, sf_dir)
 
 
+@query("school_join_sample", with_views(_SCHOOLS, select="SELECT * FROM joined ORDER BY student_id LIMIT 10"))
+def school_join_sample(spark, sf_dir):
+    return jobs.join_sample(_schools(spark, sf_dir))
+
+
+@query(
+    "first_pipelines",
+    with_views(LOG_EVENTS, RUNS, select="SELECT workspace_id, pipeline_name, status FROM pipelines ORDER BY pipeline_name, workspace_id LIMIT 6"),
+)
+def first_pipelines(spark, sf_dir):
+    return reports.first_pipelines(_pipelines(spark, sf_dir)).select("workspace_id", "pipeline_name", "status")
+
+
 @query("school_join_count", with_views(_SCHOOLS, select="SELECT count(*) AS total FROM joined"))
 def school_join_count(spark, sf_dir):
     return _schools(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))
