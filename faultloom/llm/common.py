@@ -129,6 +129,26 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mixed(out + np.uint64(size))
 
 
+def frequent(counts: DataFrame, word: str, count: str, *, rows: int, word_bytes: int, size: int) -> pa.Table:
+    """The most frequent words of ``counts`` on the driver: at most ``rows``, each at most ``word_bytes`` long, ``size`` bytes in all.
+
+    A histogram of counts, whose length does not depend on the data, gives the least count for which
+    all words fit; nothing is sorted across the cluster.  Words are ordered by falling count.
+    """
+    short = counts.filter(F.octet_length(word) <= word_bytes)
+    c = F.col(count)
+    level = F.when(c < 1024, c).otherwise(F.lit(1024) + F.floor(64 * F.log2(c / 1024))).cast("long")
+    histogram = short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(word)).alias("bytes"))
+    least, taken, used = None, 0, 0
+    for row in sorted(histogram.collect(), key=lambda r: -r["level"]):
+        taken, used = taken + row["n"], used + row["bytes"]
+        if taken > rows or used > size:
+            break
+        least = row["level"]
+    chosen = short.filter(level >= (least if least is not None else 1 << 62)).select(word, count, *[x for x in counts.columns if x not in (word, count)])
+    return chosen.toArrow().sort_by([(count, "descending"), (word, "ascending")])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, rows_of, worker_memory, written
+from .common import frequent, mixed, rows_of, worker_memory, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -316,19 +316,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The bounded head of the counts, and the mass of each ending class over all other tokens."""
-    head = (
-        counts.filter((F.octet_length("token") <= HEAD_TOKEN_BYTES))
-        .orderBy(F.desc("c"), "token")
-        .limit(HEAD_TOKENS)
-        .toArrow()
-    )
-    tokens, numbers, used = [], [], 0
-    for token, c in zip(head.column("token").to_pylist(), head.column("c").to_pylist()):
-        used += len(token)
-        if used > HEAD_BYTES:
-            break
-        tokens.append(token)
-        numbers.append(c)
+    head = frequent(counts, "token", "c", rows=HEAD_TOKENS, word_bytes=HEAD_TOKEN_BYTES, size=HEAD_BYTES)
+    tokens, numbers = head.column("token").to_pylist(), head.column("c").to_pylist()
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         mass, total, distinct = np.zeros(ENDINGS), np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)

@@ -17,7 +17,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, written
+from .common import frequent, rows_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,20 +97,8 @@ def vocabulary(df: DataFrame, path: str) -> DataFrame:
 
 def head_of(vocab: DataFrame) -> dict[str, int]:
     """The most frequent pre-tokens with their counts, within the bounds above."""
-    rows = (
-        vocab.filter(F.octet_length("pretoken") <= HEAD_WORD_BYTES)
-        .orderBy(F.desc("n"), "pretoken")
-        .limit(HEAD_ROWS)
-        .select("pretoken", "pieces")
-        .toArrow()
-    )
-    head, used = {}, 0
-    for word, pieces in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        used += len(word.encode())
-        if used > HEAD_BYTES:
-            break
-        head[word] = pieces
-    return head
+    rows = frequent(vocab, "pretoken", "n", rows=HEAD_ROWS, word_bytes=HEAD_WORD_BYTES, size=HEAD_BYTES)
+    return dict(zip(rows.column("pretoken").to_pylist(), rows.column("pieces").to_pylist()))
 
 
 def count_tokens(df: DataFrame, path: str, *, limit: int = 4096) -> DataFrame:

@@ -218,3 +218,16 @@ def test_empty_tables(empty):
     assert sharding.place(empty).count() == 0
     assert mixing.mix(empty).count() == 0
     assert mixing.taken(empty).count() == 0
+
+
+def test_frequent_words_are_the_top_by_count(spark):
+    from faultloom.llm.common import frequent
+
+    rows = [(f"w{i}", 1 + (i * 7919) % 5000) for i in range(6000)] + [("x" * 100, 10**9), ("big", 10**7)]
+    counts = spark.createDataFrame(rows, "word string, n long").repartition(5)
+    got = frequent(counts, "word", "n", rows=500, word_bytes=64, size=1 << 20)
+    words_, numbers = got.column("word").to_pylist(), got.column("n").to_pylist()
+    assert words_[0] == "big" and numbers == sorted(numbers, reverse=True) and 300 < len(words_) <= 500
+    assert set(words_) == {w for w, n in rows if len(w) <= 64 and n >= numbers[-1]}
+    assert frequent(counts, "word", "n", rows=500, word_bytes=64, size=300).num_rows < 90
+    assert frequent(counts.filter("n < 0"), "word", "n", rows=5, word_bytes=64, size=300).num_rows == 0
