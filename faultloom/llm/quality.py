@@ -146,40 +146,51 @@ def remainder(ident: str, modulus: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, <label> 0 or 1)``.
 
-    The sample is the ``rows`` labelled ids of least hash, as far as their texts fit into ``size``
-    bytes.  Null ids and labels are left out; of an id labelled both ways the majority counts, ties as
-    1.  Without labels every document scores 0.5.
+    The sample is one text for each of the ``rows`` labelled ids of least hash that have a document, as
+    far as the texts fit into ``size`` bytes; one that does not fit is passed over.  Of an id with
+    several texts that of least hash counts, copies once.  Null ids and labels are left out; of an id
+    labelled both ways the majority counts, ties as 1.  Without labels every document scores 0.5.
     """
     voted = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id")
         .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
     )
-    chosen = voted.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(rows)
-    picked = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "_order", "_label", F.octet_length(F.coalesce("text", F.lit(""))).alias("_bytes"), "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    length = F.octet_length("text").alias("_bytes")
+    # One row per id before ids are joined, ordered or collected: copies of an id never leave their map task.
+    least = texts.filter(length <= size).groupBy("doc_id").agg(F.min(F.struct("_hash", length)).alias("_least"))
+    held = (
+        least.join(voted, "doc_id")
+        .select("doc_id", F.xxhash64("doc_id").alias("_order"), "_least._hash", "_label", "_least._bytes")
+        .orderBy("_order", "doc_id")
+        .limit(rows)
     )
-    held = sorted(picked.select("_order", "doc_id", "_bytes").collect())
     total, wanted = 0, []
-    for row in held:
-        total += row["_bytes"]
-        if total <= size and len(wanted) < rows:
-            wanted.append(row["doc_id"])
-    few = docs.sparkSession.createDataFrame([(i,) for i in wanted], docs.select("doc_id").schema)
+    for *row, length_of in held.collect():
+        if total + length_of <= size:
+            total += length_of
+            wanted.append(tuple(row))
+    few = docs.sparkSession.createDataFrame(wanted, held.drop("_bytes").schema)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen = set()
         for batch in batches:
-            found = [document_features(t) for t in batch.column("text").to_pylist()]
+            ids = batch.column("doc_id").to_pylist()
+            new = [i for i, d in enumerate(ids) if not (d in seen or seen.add(d))]
+            part = batch.take(pa.array(new, pa.int64()))
+            found = [document_features(t) for t in part.column("text").to_pylist()]
             yield {
-                "order": batch.column("_order"),
-                "label": batch.column("_label"),
+                "doc_id": part.column("doc_id"),
+                "order": part.column("_order"),
+                "label": part.column("_label"),
                 "buckets": [b.tobytes() for b, _ in found],
                 "shares": [s.tobytes() for _, s in found],
             }
 
-    sample = rows_of(picked.join(F.broadcast(few), "doc_id"), "order long, label int, buckets binary, shares binary", extract).collect()
+    ident = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {ident}, order long, label int, buckets binary, shares binary"
+    sample = rows_of(texts.join(F.broadcast(few), ["doc_id", "_hash"]), schema, extract).dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: (r["order"], r["buckets"], r["shares"]))
     examples = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in sample]
     if not examples:

@@ -274,6 +274,23 @@ def test_classifier_on_held_out_rows(spark):
     assert all(abs(again[i] - r["score"]) < 1e-6 for i, r in got.items() if i is not None and i < 10_000)
 
 
+def test_sample_holds_each_labelled_id_once(spark, monkeypatch):
+    ids = [r[0] for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "good words here " * 3 if i % 2 else "bad spam spam " * 3) for i in ids]
+    huge = [(ids[0], "x " * 5000)]  # the first id by hash: above the bound of 4000 bytes
+    copies = [(ids[1], "good words again")] * 3000 + [(ids[1], f"text {n}") for n in range(500)]
+    docs = frame(spark, [row(*d) for d in huge + rows[2:] + copies]).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(i, 1) for i in range(1000, 1200)], "doc_id long, quality int")
+    taken = []
+    learn = quality.train
+    monkeypatch.setattr(quality, "train", lambda examples: taken.append(len(examples)) or learn(examples))
+    model = quality.fit(docs, labels, size=4000)
+    assert taken == [59]
+    assert {r["score"] for r in quality.score(docs.limit(10), model).collect()} != {0.5}
+    quality.fit(docs, labels, rows=30, size=4000)
+    assert taken == [59, 30]
+
+
 def test_features_do_not_depend_on_company():
     tokens = ["the", "naïve", "a", "日本語", "x" * 300]
     owner, bucket = quality.features(tokens)
