@@ -208,32 +208,35 @@ def knn(
 ) -> DataFrame:
     """Up to k nearest corpus rows per query within ``group``: (group, query_id, corpus_id, similarity, rank).
 
-    Exact unless ``probes`` is given.  ``min_similarity`` applies before the top-k (same result) and
-    prunes block pairs.  ``refine`` first searches each query block's most promising corpus block and
-    then skips the pairs that cannot beat that result: worth it for large clustered corpora, where
-    most pairs fall away.  ``probes`` searches only that many corpus blocks per query block, which is
-    the approximate search.  Null and zero vectors have no cosine and take no part.
+    ``min_similarity`` applies before the top-k (same result) and prunes block pairs.  ``refine`` first
+    searches each query block's most promising corpus block and then skips the pairs that cannot beat
+    that result: worth it for large clustered corpora, where most pairs fall away.  ``probes`` does the
+    same after that many blocks: blocks are added until the bound shows that the top k are held, so no
+    hit is lost at any size.  Null and zero vectors have no cosine and take no part.
     """
-    q = _blocks(queries, group, query_id, query_vector, block_rows).withColumnRenamed("block", "qblock")
-    c = _blocks(corpus, group, corpus_id, corpus_vector, block_rows).withColumnRenamed("block", "cblock")
-    q_meta = q.select("grp", "qblock", F.col("centre").alias("qc"), F.col("radius").alias("qr"))
-    c_meta = c.select("grp", "cblock", F.col("centre").alias("cc"), F.col("radius").alias("cr"))
-    # Block pairs per group: the query side is salted and the (small) corpus side copied to every
-    # salt, so the pairs of one large group are formed in many tasks.
-    salted = q_meta.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(PAIR_SALTS)).cast("int"))
-    copies = c_meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
-    pairs = salted.join(copies, ["grp", "salt"]).withColumn("near", _dot(F.col("qc"), F.col("cc"))).select(
-        "grp", "qblock", "cblock", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound")
-    )
-    if min_similarity is not None:
-        pairs = pairs.filter(F.col("bound") >= min_similarity)
+    def packed(rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        q = _blocks(queries, group, query_id, query_vector, rows).withColumnRenamed("block", "qblock")
+        c = _blocks(corpus, group, corpus_id, corpus_vector, rows).withColumnRenamed("block", "cblock")
+        q_meta = q.select("grp", "qblock", F.col("centre").alias("qc"), F.col("radius").alias("qr"))
+        c_meta = c.select("grp", "cblock", F.col("centre").alias("cc"), F.col("radius").alias("cr"))
+        # Block pairs per group: the query side is salted and the (small) corpus side copied to every
+        # salt, so the pairs of one large group are formed in many tasks.
+        salted = q_meta.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(PAIR_SALTS)).cast("int"))
+        copies = c_meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+        pairs = salted.join(copies, ["grp", "salt"]).withColumn("near", _dot(F.col("qc"), F.col("cc"))).select(
+            "grp", "qblock", "cblock", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound")
+        )
+        return q, c, pairs if min_similarity is None else pairs.filter(F.col("bound") >= min_similarity)
+
+    q, c, pairs = packed(block_rows)
     promising = F.row_number().over(Window.partitionBy("grp", "qblock").orderBy(F.col("near").desc(), "cblock"))
-    if probes is not None:
-        pairs = pairs.withColumn("_n", promising).filter(F.col("_n") <= probes).drop("_n")
-    elif refine:
-        seeds = pairs.withColumn("_n", promising).filter(F.col("_n") == 1).drop("_n")
+    if refine or probes is not None:
+        seeds = pairs.withColumn("_n", promising).filter(F.col("_n") <= (1 if probes is None else probes)).drop("_n")
         hits = _best(_compare(seeds, q, c, k, None, skip_self), k)
         worst = hits.filter(F.col("rank") == k).select(F.col("grp").alias("g"), F.col("qid").alias("i"), "similarity")
+        if probes is not None and block_rows < BLOCK_ROWS:
+            # Where bounds drop little, small blocks would travel once per pair: the rest goes in large ones.
+            q, c, pairs = packed(BLOCK_ROWS)
         members = q.select("grp", "qblock", F.explode("items.id").alias("i"))
         cut = (
             members.join(worst, (members["grp"] == worst["g"]) & (members["i"] == worst["i"]), "left")

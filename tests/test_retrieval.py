@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,22 @@ def test_probing_finds_most_neighbours(spark, vectors):
     assert 0.9 < near / exact <= 1.0
 
 
+def test_two_probes_hold_recall_as_groups_grow(spark):
+    """Vectors without clusters, the hardest case for blocks: two probes of 16 rows are 5% or less of these groups."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "small" if i < 600 else "large", v.tolist()) for i, v in enumerate(rng.standard_normal((2100, 16)))]
+    df = spark.createDataFrame(rows, "id int, grp string, embedding array<float>")
+    near = retrieval.knn(df, df, group="grp", query_id="id", corpus_id="id", skip_self=True, k=5, probes=2, block_rows=16)
+    got = Counter((r.grp, r.query_id, r.id) for r in near.collect())
+    for name, low, high in (("small", 0, 600), ("large", 600, 2100)):
+        unit = np.array([r[2] for r in rows[low:high]])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        sims = unit @ unit.T - 3 * np.eye(high - low)
+        best = np.argsort(-sims, axis=1)[:, :5] + low
+        found = sum((name, low + i, int(j)) in got for i, row in enumerate(best) for j in row)
+        assert found >= 0.9 * best.size
+
+
 def test_incidents_need_a_cause_and_the_same_workspace(spark):
     errors = spark.createDataFrame(
         [(1, "a", "T1", "c", "f", [1.0, 0.0]), (2, "a", "T2", None, "f", [1.0, 0.0]), (3, "b", "T3", "c", "f", [1.0, 0.0])],
