@@ -19,24 +19,34 @@ def _line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
 
 
-def windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, _key, pos, w1, w2): every window of lines with its 128-bit hash; pos counts from 1."""
+def windows(df: DataFrame, window: int = WINDOW, *, short_texts: bool = False) -> DataFrame:
+    """(doc_id, _key, pos, w1, w2): every window of lines with its 128-bit hash; pos counts from 1.
+
+    With ``short_texts`` a text of fewer lines has one window of all its lines, marked by their number.
+    """
     lines = F.split("text", "\n", -1)
     hashed = (
         df.filter(F.col("text").isNotNull())
         .select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_key"), _line_hashes(lines).alias("_h"))
-        .filter(F.size("_h") >= window)
-        .withColumn("_count", F.size("_h") - (window - 1))
     )
+    short = hashed.filter(F.size("_h") < window).select(
+        "doc_id",
+        "_key",
+        F.lit(1).alias("pos"),
+        F.xxhash64(F.size("_h"), "_h.a").alias("w1"),
+        F.xxhash64(F.lit(7), F.size("_h"), "_h.b").alias("w2"),
+    )
+    hashed = hashed.filter(F.size("_h") >= window).withColumn("_count", F.size("_h") - (window - 1))
     runs = F.arrays_zip(*[F.slice("_h", i + 1, F.col("_count")).alias(f"l{i}") for i in range(window)])
     each = hashed.select("doc_id", "_key", F.posexplode(runs).alias("_p", "_run"))
-    return each.select(
+    found = each.select(
         "doc_id",
         "_key",
         (F.col("_p") + 1).alias("pos"),
         F.xxhash64(*[F.col(f"_run.l{i}.a") for i in range(window)]).alias("w1"),
         F.xxhash64(F.lit(7), *[F.col(f"_run.l{i}.b") for i in range(window)]).alias("w2"),
     )
+    return found.unionByName(short) if short_texts else found
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -65,16 +75,17 @@ def _kept(lines: Column, starts: Column, window: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), between))
 
 
-def dedup_lines(df: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, *, window: int = WINDOW, short_texts: bool = False) -> DataFrame:
     """Each document of ``df(doc_id, text)`` without the lines that later window occurrences cover.
 
     Result: doc_id, n_lines, n_removed, text (the kept lines, joined by newlines).  A text with fewer
-    lines than a window has none and stays; a null text stays null with 0 lines; an empty text is one
+    lines than a window has none and stays, as in the SQL; with ``short_texts`` all its lines are one
+    window, and later copies lose them.  A null text stays null with 0 lines; an empty text is one
     empty line.  Rows equal in id and text count as one document and all get its result.  Null ids
     come first in order.  Other columns are ignored.  An empty table gives an empty result.
     """
     docs = df.select("doc_id", "text")
-    starts = covered(written(windows(docs, window), "line_windows"))
+    starts = covered(written(windows(docs, window, short_texts=short_texts), "line_windows"))
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     joined = (
         keyed.alias("d")

@@ -73,6 +73,14 @@ def test_no_line_vanishes(spark):
     assert kept >= {x for d in docs if d[1] is not None for x in d[1].split("\n")}
 
 
+def test_line_dedup_of_short_texts(spark):
+    docs = [(1, "p\nq"), (2, "p\nq"), (3, "p"), (4, "p\nr"), (5, "p\nq\nr"), (6, "p"), (7, None), (8, "p\nq\nr")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, [row(*d) for d in docs]), short_texts=True).collect()}
+    assert got == {
+        1: (2, 0, "p\nq"), 2: (2, 2, ""), 3: (1, 0, "p"), 4: (2, 0, "p\nr"), 5: (3, 0, "p\nq\nr"), 6: (1, 1, ""), 7: (0, 0, None), 8: (3, 3, ""),
+    }
+
+
 def test_line_dedup_runs_no_python(messy):
     plan = line_dedup.dedup_lines(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
