@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, token_files
+from . import ann, cover_tree, decontamination, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, token_files, vector_codes
 from .common import table
 
 QUERIES = {}
@@ -92,3 +92,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding", sharding.oracle())
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_codes", vector_codes.oracle())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_near_dedup", cover_tree.oracle())
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
