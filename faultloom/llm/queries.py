@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cover_tree, decontamination, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, token_files, vector_codes
+from . import ann, cover_tree, decontamination, hard_negatives, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, token_files, vector_codes
 from .common import table
 
 QUERIES = {}
@@ -94,6 +94,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+@query("op11_hard_negatives", hard_negatives.oracle())
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, lambda ident: ident % 50 == 0)
+
+
 @query("op12_vector_codes", vector_codes.oracle())
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
