@@ -36,7 +36,8 @@ PIECE_LENGTH = 64
 #: Index rows passed on at once.
 FLUSH = 5_000
 
-_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+# Without İ, whose lower case is a letter and a combining mark, which joins the mark that follows.
+_LATIN = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
 # A run of Latin letters that white space or another ASCII character ends, or else all up to white space.
 _PIECE = re.compile(rf"{_LATIN}++(?=[\x00-@\[-`{{-\x7f]|\Z)|[^ \t-\r]+")
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]|İ")
@@ -224,7 +225,7 @@ def write_tokens(df: DataFrame, tokenizer: str, *, end_id: int = 2, length: int
 
     The index, one row per document: part (file number), doc_id, place (its first id in the file),
     n_tokens (with the end id).  Files ascend by doc_id, null ids first; repeated ids stay separate
-    documents in text order.  A null text is empty: its only id is the end id.  How many files there
+    documents in order of text hash.  A null text is empty: its only id is the end id.  How many files there
     are follows ``spark.sql.shuffle.partitions``.
     """
     folder = folder or shared_folder(df.sparkSession, "tokens")
@@ -253,7 +254,9 @@ def write_tokens(df: DataFrame, tokenizer: str, *, end_id: int = 2, length: int
         if writer:
             writer.close()
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # One id may hold a third of all rows: the hash of the text lets its rows go to several ranges.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = df.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     index = written(rows_of(ordered, f"part int, doc_id {ident}, place long, n_tokens long", write), "token_index")
     return index, folder
 

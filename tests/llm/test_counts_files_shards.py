@@ -88,6 +88,36 @@ def test_encoder_equals_library_for_odd_texts():
     assert [list(np.frombuffer(b, "<u4")) for b in encoder.encode(odd)] == [library_ids(t)[:-1] for t in odd]
 
 
+def test_encoder_equals_library_at_the_end_of_latin_words():
+    """Every letter that the encoder cuts off at an ASCII mark, and İ, before every mark; and random mixtures."""
+    import random
+    import re
+
+    encoder = token_files.WordEncoder(WORDS)
+    letters = [chr(c) for c in range(0x250) if re.match(f"{token_files._LATIN}|İ", chr(c))]
+    marks = [chr(c) for c in range(128) if not chr(c).isalnum()]
+    texts = ["TÜRKİYE CUMHURİYETİ, ANKARA", "BELEDİYESİ.", "Sİ<b>"]
+    texts += [f"ab{a}{m}x {a}{m} {a.upper()}{a}{m}{m}" for a in letters for m in marks]
+    rng = random.Random(1)
+    pool = letters + marks * 3 + [" "] * 40 + list("0123456789日本語ﬁ\u0307\u0301") + ["<|", "|>", "İ", "İ"]
+    texts += ["".join(rng.choices(pool, k=rng.randrange(1, 40))) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, encoder.encode(texts), want) if a != b] == []
+
+
+def test_one_id_in_many_rows_goes_to_many_files(spark):
+    rows = [(7, f"text number {i}") for i in range(400)] + [(i, "other") for i in range(100, 500)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges would be put together again
+    spark.conf.set(setting, "false")
+    try:
+        index, folder = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), WORDS)
+    finally:
+        spark.conf.unset(setting)
+    assert index.filter("doc_id = 7").select("part").distinct().count() > 2
+    got = token_files.read_tokens(index, folder)
+    assert [r["doc_id"] for r in got.orderBy("start").collect()] == sorted(i for i, _ in rows)
+
+
 def test_sharding_law(messy):
     got = sharding.place(messy).collect()
     assert len(got) == len(messy_rows())
