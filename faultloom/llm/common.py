@@ -79,9 +79,15 @@ def rows_of(df: DataFrame, schema: T.StructType | str, fn: Callable[[Iterator[pa
     return df.mapInArrow(run, spark_schema)
 
 
-def worker_memory() -> dict:
-    """What a Python worker keeps from task to task (models, caches of bounded size)."""
-    return sys.modules.setdefault("_faultloom_worker", types.ModuleType("_faultloom_worker")).__dict__
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps from task to task for ``owner`` (models, caches of bounded size).
+
+    A worker serves one operator after the other; what the one before kept is dropped.
+    """
+    kept = sys.modules.setdefault("_faultloom_worker", types.ModuleType("_faultloom_worker")).__dict__
+    if kept.get("owner") != owner:
+        kept["owner"], kept["memory"] = owner, {}
+    return kept["memory"]
 
 
 def words(text: str | None) -> list[str]:

@@ -61,7 +61,10 @@ def popcount(values: np.ndarray) -> np.ndarray:
 
 
 class Length:
-    """Items of one length: their fingerprints and the block index."""
+    """Items of one length: their fingerprints and the block index.
+
+    A block's table has one row per value and one bit per item: set where the item's block is near the value.
+    """
 
     def __init__(self, grams: list[np.ndarray], items: list[int]):
         self.items = items
@@ -69,25 +72,29 @@ class Length:
         self.bags = [Counter(g.tolist()) for g in grams]
         self.prints = np.concatenate([fingerprints(sign_sums(g)[-1:]) for g in grams])
         groups = -(-len(items) // 64)
-        self.index = [np.zeros((groups, 1 << bits), np.uint64) for bits in BLOCK_BITS]
+        self.index = [np.zeros((1 << bits, groups), np.uint64) for bits in BLOCK_BITS]
         for table, bits, values in zip(self.index, BLOCK_BITS, block_values(self.prints)):
             flips = [0, *(sum(1 << i for i in c) for n in range(1, RADIUS // len(BLOCK_BITS) + 1) for c in combinations(range(bits), n))]
             near = np.array(flips, np.int64)
             for i, value in enumerate(values):
-                table[i // 64, value ^ near] |= np.uint64(1 << (i % 64))
+                table[value ^ near, i // 64] |= np.uint64(1 << (i % 64))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item position) pairs within the radius."""
-        values = block_values(prints)
         pairs = []
-        for group in range(len(self.index[0])):
-            mask = np.zeros(len(prints), np.uint64)
-            for table, value in zip(self.index, values):
-                mask |= table[group][value]
-            for i in range(64 * group, min(len(self.items), 64 * group + 64)):
-                window = np.flatnonzero((mask >> np.uint64(i % 64)) & np.uint64(1))
-                window = window[popcount(prints[window] ^ self.prints[i]) <= RADIUS]
-                pairs.append((window, np.full(len(window), i)))
+        at_once = max(1, (1 << 20) // self.index[0].shape[1])  # keeps the masks at 8 MiB
+        for low in range(0, len(prints), at_once):
+            part = prints[low : low + at_once]
+            mask = np.zeros((len(part), self.index[0].shape[1]), np.uint64)
+            for table, value in zip(self.index, block_values(part)):
+                mask |= table[value]
+            # Only words of the mask that have a bit are looked into.
+            window, group = np.nonzero(mask)
+            bits = np.unpackbits(mask[window, group].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            which, bit = np.nonzero(bits)
+            window, item = window[which], 64 * group[which] + bit
+            near = popcount(part[window] ^ self.prints[item]) <= RADIUS
+            pairs.append((low + window[near], item[near]))
         return np.concatenate([w for w, _ in pairs]), np.concatenate([i for _, i in pairs])
 
 
@@ -114,6 +121,25 @@ class Items:
                 for gram in g.tolist():
                     entry["where"][gram].add(len(g))
 
+    def plain(self) -> tuple:
+        """Built-in values and arrays only: what workers unpickle must not need this package."""
+        sizes = [
+            (size, e["filter"], [(n, x.__dict__ | {"bags": [dict(b) for b in x.bags]}) for n, x in e["lengths"].items()], dict(e["where"]))
+            for size, e in self.sizes.items()
+        ]
+        return self.idents, sizes
+
+    @classmethod
+    def from_plain(cls, plain: tuple) -> "Items":
+        out = cls.__new__(cls)
+        out.idents, out.sizes = plain[0], {}
+        for size, filter_, lengths, where in plain[1]:
+            entry = out.sizes[size] = {"filter": filter_, "lengths": {}, "where": where}
+            for n, fields in lengths:
+                entry["lengths"][n] = Length.__new__(Length)
+                entry["lengths"][n].__dict__.update(fields)
+        return out
+
     def matches(self, hashed: np.ndarray, threshold: float) -> list[tuple]:
         """(item, similarity, first word, words) for the most similar run of each item that reaches the threshold; the first of equals."""
         best: dict[int, tuple] = {}
@@ -165,7 +191,7 @@ def packs(benchmark: DataFrame, size: int = SHINGLE_WORDS, most: int = PACK_WORD
 
 
 def _hashes() -> WordHashes:
-    return worker_memory().setdefault("word_hashes", WordHashes())
+    return worker_memory("words").setdefault("word_hashes", WordHashes())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NEAR, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -181,10 +207,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NE
     schema = f"doc_id {ident}, item_id {item}, similarity double, first_word long, n_words long"
     found = None
     for items in packs(benchmark, size):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(items.plain())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[dict]:
-            items, hashes = sent.value, _hashes()
+            items, hashes = Items.from_plain(sent.value), _hashes()
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -199,10 +225,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NE
 def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NEAR, size: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item (see ``contaminated``); all columns stay."""
     for items in packs(benchmark, size):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(items.plain())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hashes = sent.value, _hashes()
+            items, hashes = Items.from_plain(sent.value), _hashes()
             for batch in batches:
                 keep = [not items.matches(hashes.of(words(t)), threshold) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))

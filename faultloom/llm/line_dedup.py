@@ -2,7 +2,7 @@
 
 Every run of three consecutive lines is hashed.  Of each window that occurs more than once the first
 occurrence (least document id, then text hash, then line) stays; the lines that later occurrences
-cover are removed, overlapping occurrences being merged.  Every removed line has an equal line at an
+cover are removed, overlapping occurrences being merged.  A text of fewer lines is one window.  Every removed line has an equal line at an
 earlier place, so at least one copy of every line remains somewhere.
 """
 
@@ -19,10 +19,10 @@ def _line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
 
 
-def windows(df: DataFrame, window: int = WINDOW, *, short_texts: bool = False) -> DataFrame:
+def windows(df: DataFrame, window: int = WINDOW, *, short_texts: bool = True) -> DataFrame:
     """(doc_id, _key, pos, w1, w2): every window of lines with its 128-bit hash; pos counts from 1.
 
-    With ``short_texts`` a text of fewer lines has one window of all its lines, marked by their number.
+    A text of fewer lines has one window of all its lines, marked by their number, unless ``short_texts`` is off.
     """
     lines = F.split("text", "\n", -1)
     hashed = (
@@ -75,12 +75,12 @@ def _kept(lines: Column, starts: Column, window: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), between))
 
 
-def dedup_lines(df: DataFrame, *, window: int = WINDOW, short_texts: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, *, window: int = WINDOW, short_texts: bool = True) -> DataFrame:
     """Each document of ``df(doc_id, text)`` without the lines that later window occurrences cover.
 
-    Result: doc_id, n_lines, n_removed, text (the kept lines, joined by newlines).  A text with fewer
-    lines than a window has none and stays, as in the SQL; with ``short_texts`` all its lines are one
-    window, and later copies lose them.  A null text stays null with 0 lines; an empty text is one
+    Result: doc_id, n_lines, n_removed, text (the kept lines, joined by newlines).  The lines of a text
+    that has fewer than a window are one window, so later copies of it lose them all; without ``short_texts`` such
+    texts stay as they are.  A null text stays null with 0 lines; an empty text is one
     empty line.  Rows equal in id and text count as one document and all get its result.  Null ids
     come first in order.  Other columns are ignored.  An empty table gives an empty result.
     """
@@ -133,8 +133,14 @@ ranked AS (
          row_number() OVER (PARTITION BY {keys} ORDER BY doc_id NULLS FIRST, md5(text), pos) AS nth
   FROM runs WHERE l{window - 1} IS NOT NULL
 ),
+short AS (
+  SELECT doc_id, text, len(string_split(text, chr(10))) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS FIRST) AS nth
+  FROM docs WHERE len(string_split(text, chr(10))) < {window}
+),
 gone AS (
   SELECT DISTINCT doc_id, text, unnest(generate_series(pos, pos + {window - 1})) AS pos FROM ranked WHERE nth > 1
+  UNION ALL
+  SELECT doc_id, text, unnest(generate_series(1, n)) FROM short WHERE nth > 1
 ),
 cut AS (
   SELECT l.doc_id, l.text, count(*) AS n_lines, count(g.pos) AS n_removed,

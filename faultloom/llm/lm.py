@@ -6,8 +6,9 @@ fill classes of equal size, and a softmax inside the class picks one of them; ev
 belongs to a class by the letters it ends in and has its smoothed share of that class.  Both
 softmaxes are log-linear in hashed features: the word before, the two words before together, and
 single words further back (skips).  Weights start at the unigram distribution and are trained over
-every training document: in each round the tasks take gradient steps on their part from common
-weights, and their changes are averaged per weight row by how often each row was used.
+every training document: the documents are dealt into parts by hash, in each round gradient steps are
+taken on some of the parts from common weights, and the changes are averaged per weight row by how
+often each part used it.  Rows, parts and rounds follow the number of training tokens.
 
 The unigram base needs the count of every token.  The most frequent tokens, a table of bounded size,
 are looked up where the text is read; the others are joined to their counts by a shuffle.
@@ -35,9 +36,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CLASSES = 32
 CLASS_WORDS = 32
 ENDINGS = 16
-#: Bits of the feature hash; the weights are 2**BITS rows.
-BITS = 15
+#: Fewest bits of the feature hash (the weights are 2**bits rows; see ``feature_bits``) and fewest rounds (see ``fit``).
+BITS = 12
 ROUNDS = 3
+#: Tokens, about, that are learned from one after the other before changes are averaged.
+PART_TOKENS = 1 << 21
 RATE = 0.1
 STEP_TOKENS = 8192
 #: The frequent tokens sent to every task: at most so many, each at most so long, together at most so many bytes.
@@ -100,16 +103,19 @@ class Vocabulary:
     def top(self) -> int:
         return min(CLASSES * CLASS_WORDS, len(self.tokens))
 
+    def plain(self) -> tuple:
+        """What workers unpickle must not need this package."""
+        return self.tokens, self.counts, self.total, self.distinct, self.ending_mass, self.name
+
     def log_norm(self) -> float:
         return math.log10(self.total + 0.5 * (self.distinct + 1))
 
     def tables(self) -> dict:
         """Per frequent token: context hash, target and log10(count + 0.5); a worker makes them once."""
-        memory = worker_memory()
-        if memory.get("lm_name") != self.name:
+        memory = worker_memory(f"lm {self.name}")
+        if "lm" not in memory:
             hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in self.tokens], np.uint64)
             target = np.array([i if i < self.top else CLASSES * CLASS_WORDS + ending(t) for i, t in enumerate(self.tokens)], np.int32)
-            memory["lm_name"] = self.name
             memory["lm"] = {
                 "index": Index(zip(self.tokens, range(len(self.tokens)))),
                 "hash": np.append(hashes, np.uint64(0)),
@@ -204,6 +210,13 @@ def summed_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, n
 class Weights:
     """Both weight tables with the running squares of their rows' gradients and how often rows were used."""
 
+    @classmethod
+    def of(cls, fields: dict) -> "Weights":
+        """From the fields of other weights, which are plain arrays."""
+        out = cls.__new__(cls)
+        out.__dict__.update(fields)
+        return out
+
     def __init__(self, vocabulary: Vocabulary, bits: int = BITS):
         self.bits = bits
         n_classes = CLASSES + ENDINGS
@@ -268,6 +281,15 @@ class Weights:
         )
 
 
+def feature_bits(tokens: int) -> int:
+    """Bits of the feature hash for so many training tokens: rows grow with their square root (15 bits at 60 million).
+
+    The weights are held whole by the driver and every task, about 350 bytes a row, so they may not
+    grow as fast as the corpus.
+    """
+    return max(BITS, int(math.log2(max(1, tokens)) / 2 + 2.1))
+
+
 def _changes(start: Weights, now: Weights) -> Iterator[tuple[int, bytes]]:
     """Per block of rows: changes times use, and use, of both tables, as one array that can be summed."""
     for block, low in enumerate(range(0, 1 << start.bits, BLOCK_ROWS)):
@@ -285,17 +307,18 @@ def _changes(start: Weights, now: Weights) -> Iterator[tuple[int, bytes]]:
         yield block, np.concatenate(parts, axis=1).astype(np.float32).tobytes()
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Sums of the arrays of each block; a task holds at most one array per block."""
-    sums: dict[int, np.ndarray] = {}
+def _added(batches: Iterator[pa.RecordBatch], by_salt: bool = False) -> Iterator[dict]:
+    """Sums of the arrays of each block in order of the rows; a task holds at most one array per block."""
+    sums: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for block, change in zip(batch.column("block").to_pylist(), batch.column("change").to_pylist()):
+        for block, salt, change in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "change"))):
             array = np.frombuffer(change, np.float32)
-            if block in sums:
-                sums[block] += array
+            key = (block, salt if by_salt else 0)
+            if key in sums:
+                sums[key] += array
             else:
-                sums[block] = array.copy()
-    yield {"block": list(sums), "salt": [0] * len(sums), "change": [a.tobytes() for a in sums.values()]}
+                sums[key] = array.copy()
+    yield {"block": [b for b, _ in sums], "salt": [s for _, s in sums], "part": [0] * len(sums), "change": [a.tobytes() for a in sums.values()]}
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -347,38 +370,63 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(tokens, np.array(numbers, np.int64), sum(r[2] for r in grouped), sum(r[3] for r in grouped), mass)
 
 
-def fit(docs: DataFrame, words: Vocabulary, *, rounds: int = ROUNDS, bits: int = BITS, rate: float = RATE, ident: str = "doc_id") -> Weights:
-    """Train on every row of ``docs(doc_id, text)``: each round takes one slice of the documents by hash of id and text.
+def fit(
+    docs: DataFrame, words: Vocabulary, *, rounds: int | None = None, bits: int | None = None, rate: float = RATE, ident: str = "doc_id",
+    part_tokens: int = PART_TOKENS,
+) -> Weights:
+    """Train on every row of ``docs(doc_id, text)``, dealt by hash of id and text into parts of about ``part_tokens`` tokens.
 
-    What the tasks send back is proportional to their number; it is added in two steps, so what one
-    task holds, and what the driver gets, is the size of the weights.
+    Each round takes one slice of the parts; every part is learned from alone, in order of the hash, and
+    the changes are added in order of the parts, so the weights do not depend on cores or file splits.  There are
+    three rounds, or half the root of the number of parts if that is more.  What the parts send back is
+    proportional to their number; it is added in two steps, so what one task holds, and what the driver gets,
+    is the size of the weights.
     """
     spark = docs.sparkSession
-    weights = Weights(words, bits)
-    tasks = max(1, docs.rdd.getNumPartitions() // rounds, min(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
-    salts = max(1, math.isqrt(tasks))
-    vocabulary_sent = spark.sparkContext.broadcast(words)
-    schema = "block int, salt int, change binary"
+    weights = Weights(words, feature_bits(words.total) if bits is None else bits)
+    parts = max(1, -(-words.total // part_tokens))
+    rounds = rounds or max(ROUNDS, math.isqrt(parts) // 2)
+    parts = max(parts, rounds)
+    salts = max(1, math.isqrt(parts // rounds))
+    vocabulary_sent = spark.sparkContext.broadcast(words.plain())
+    schema = "block int, salt int, part int, change binary"
+    hashed = docs.select("text", F.xxhash64(ident, "text").alias("hash")).withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(weights)
+        sent = spark.sparkContext.broadcast(weights.__dict__)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, pace=rate / (1 + turn)) -> Iterator[dict]:
-            start, tables = sent.value, vocabulary_sent.value.tables()
-            now = Weights.__new__(Weights)
-            now.__dict__.update(start.__dict__)
-            now.tables, now.squares = [t.copy() for t in start.tables], [s.copy() for s in start.squares]
-            now.used = [np.zeros_like(u) for u in start.used]
+            start, tables = Weights.of(sent.value), Vocabulary(*vocabulary_sent.value).tables()
+            part, now, waiting = None, None, []
+
+            def step() -> None:
+                now.learn(Coded(waiting, tables), pace)
+                waiting.clear()
+
+            def finish() -> Iterator[dict]:
+                if waiting:
+                    step()
+                for block, change in _changes(start, now):
+                    yield {"block": [block], "salt": [part % salts], "part": [part], "change": [change]}
+
             for batch in batches:
-                for low in range(0, batch.num_rows, 256):
-                    now.learn(Coded(batch.column(0).slice(low, 256).to_pylist(), tables), pace)
-            salt = TaskContext.get().partitionId() % salts
-            for block, change in _changes(start, now):
-                yield {"block": [block], "salt": [salt], "change": [change]}
-
-        part = docs.filter(F.pmod(F.xxhash64(ident, "text"), F.lit(rounds)) == turn).select("text").coalesce(tasks)
-        changes = rows_of(part, schema, learn)
-        once = rows_of(changes.repartition("block", "salt"), schema, _added)
-        for row in written(rows_of(once.repartition("block"), schema, _added), "weights").collect():
+                for text, own in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
+                    if own != part:
+                        if part is not None:
+                            yield from finish()
+                        part, now = own, Weights.of(sent.value)
+                        now.tables, now.squares = [t.copy() for t in start.tables], [s.copy() for s in start.squares]
+                        now.used = [np.zeros_like(u) for u in start.used]
+                    waiting.append(text)
+                    if len(waiting) == 256:
+                        step()
+            if part is not None:
+                yield from finish()
+
+        # A few partitions for each part, so that few tasks get more than one.
+        dealt = hashed.filter(F.pmod("part", F.lit(rounds)) == turn).repartition(3 * -(-parts // rounds), "part").sortWithinPartitions("part", "hash")
+        changes = rows_of(dealt.select("text", "part"), schema, learn)
+        once = rows_of(changes.repartition("block", "salt").sortWithinPartitions("block", "salt", "part"), schema, lambda batches: _added(batches, True))
+        for row in written(rows_of(once.repartition("block").sortWithinPartitions("block", "salt"), schema, _added), "weights").collect():
             rows = slice(row["block"] * BLOCK_ROWS, (row["block"] + 1) * BLOCK_ROWS)
             change = np.frombuffer(row["change"], np.float32).reshape(BLOCK_ROWS, -1)
             low = 0
@@ -402,10 +450,10 @@ def score(df: DataFrame, counts: DataFrame, words: Vocabulary, weights: Weights)
     """
     spark = df.sparkSession
     ident = df.schema["doc_id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((words, weights))
+    sent = spark.sparkContext.broadcast((words.plain(), weights.__dict__))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        words, weights = sent.value
+        words, weights = Vocabulary(*sent.value[0]), Weights.of(sent.value[1])
         tables, log_mass = words.tables(), np.log10(words.ending_mass)
         frequent = CLASSES * CLASS_WORDS
         number = TaskContext.get().partitionId() << 33

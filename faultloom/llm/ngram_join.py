@@ -79,7 +79,7 @@ class MinHash:
 
 
 def _hashes() -> WordHashes:
-    return worker_memory().setdefault("word_hashes", WordHashes())
+    return worker_memory("words").setdefault("word_hashes", WordHashes())
 
 
 def _row_mark() -> list[Column]:
@@ -149,15 +149,14 @@ class Block:
         self.starts = np.append(starts, len(flat))
         self.root = {k: k for k in self.keys}
 
-    def links(self, key: bytes, bands: np.ndarray, grams: np.ndarray, threshold: float) -> np.ndarray:
-        """Members other than the visitor that share a band with it and reach the threshold."""
+    def links(self, key: bytes, grams: np.ndarray, threshold: float) -> np.ndarray:
+        """Members other than the visitor that reach the threshold."""
         place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         place = place[self.grams[place] == grams]
         first, count = self.starts[place], self.starts[place + 1] - self.starts[place]
         index = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         common = np.bincount(self.owners[index], minlength=len(self.keys))
         near = np.flatnonzero(common / (len(grams) + self.sizes - common) >= threshold)
-        near = near[(self.bands[near] == bands).any(axis=1)]
         return np.array([i for i in near if self.keys[i] != key], np.int64)
 
     def _find(self, key: bytes) -> bytes:
@@ -178,15 +177,20 @@ class Block:
 
 
 def _verify(threshold: float):
-    """Rows sorted by (home, block, members first, key) to (key, links, other): link counts of visits, and forest edges."""
+    """Rows sorted by (home, block, members first, key) to (key, links, other, mine, theirs): link counts of visits, forest edges, and links without a shared band with both sides' copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         current, members, block, last = None, [], None, None
         out: list[tuple] = []
 
-        def visit(key, bands, grams, member):
-            near = block.links(key, bands, grams, threshold)
-            out.append((key, int(block.copies[near].sum()), None))
+        def visit(key, copies, bands, grams, member):
+            near = block.links(key, grams, threshold)
+            banded = (block.bands[near] == bands).any(axis=1)
+            out.append((key, int(block.copies[near[banded]].sum()), None, None, None))
+            # Classes that share a band visit each other; others may meet from one side only, so such links go out as pairs.
+            for i in near[~banded]:
+                sides = sorted([(key, copies), (block.keys[i], int(block.copies[i]))])
+                out.append((sides[0][0], 0, sides[1][0], sides[0][1], sides[1][1]))
             if len(near):
                 # Members are joined here; a visitor hangs on one of them, so nothing grows with the visitors.
                 first = block.keys[near[0]]
@@ -195,25 +199,25 @@ def _verify(threshold: float):
                 if member:
                     block.join(key, first)
                 else:
-                    out.append((key, 0, first))
+                    out.append((key, 0, first, None, None))
 
         def open_block():
             nonlocal block, members
             block, held = Block(members), members
             members = []
-            for key, _, bands, grams in held:
-                visit(key, bands, grams, True)
+            for row in held:
+                visit(*row, True)
 
         def close_block():
             if members:
                 open_block()
             if block:
-                out.extend((a, 0, b) for a, b in block.forest())
+                out.extend((a, 0, b, None, None) for a, b in block.forest())
 
         def give():
-            rows = list(zip(*out)) or [[], [], []]
+            rows = list(zip(*out)) or [[]] * 5
             out.clear()
-            return dict(zip(("key", "links", "other"), rows))
+            return dict(zip(("key", "links", "other", "mine", "theirs"), rows))
 
         for batch in batches:
             cols = [batch.column(n) for n in ("home", "block", "member", "key", "copies", "bands", "set")]
@@ -231,7 +235,7 @@ def _verify(threshold: float):
                 if block is None and members:
                     open_block()
                 if block:
-                    visit(row[0], row[2], row[3], False)
+                    visit(*row, False)
                 if len(out) >= 10_000:
                     yield give()
             yield give()
@@ -300,6 +304,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
             (F.col("s.key") == F.col("h.key")) & F.col("s.doc_id").eqNullSafe(F.col("h.rep")),
         )
         .select("s.key", "h.copies", "h.bands", "s.set")
+        .dropDuplicates(["key"])  # rows repeated under one id bring one set
     )
     dealt = (
         visits.join(sets, "key")
@@ -307,8 +312,14 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
         .sortWithinPartitions("home", "block", F.desc("member"), "key")
         .select("home", "block", "member", "key", "copies", "bands", "set")
     )
-    found = written(rows_of(dealt, "key binary, links long, other binary", _verify(threshold)), "links")
-    links = found.filter(F.col("other").isNull()).groupBy("key").agg(F.sum("links").alias("links"))
+    found = written(rows_of(dealt, "key binary, links long, other binary, mine long, theirs long", _verify(threshold)), "links")
+    apart = found.filter(F.col("mine").isNotNull()).select("key", "other", "mine", "theirs").distinct()
+    links = (
+        found.filter(F.col("other").isNull()).select("key", "links")
+        .unionByName(apart.select("key", F.col("theirs").alias("links")))
+        .unionByName(apart.select(F.col("other").alias("key"), F.col("mine").alias("links")))
+        .groupBy("key").agg(F.sum("links").alias("links"))
+    )
     label = components(found.filter(F.col("other").isNotNull()), "key", "other")
     labelled = classes.select("key", "rep", "copies").join(label.withColumnRenamed("node", "key"), "key", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "key"))

@@ -204,19 +204,18 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     Null texts score as empty ones; existing columns of these names are replaced; an empty table gives
     an empty result.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # A tuple: what workers unpickle must not need this package.
+    sent = df.sparkSession.sparkContext.broadcast((model.weights, model.constant, model.name))
     kept = df.drop("score", "predicted")
     schema = widened(kept, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        memory = worker_memory()
-        if memory.get("quality_name") != model.name:
-            memory["quality_name"], memory["quality"] = model.name, {}
+        model = Model(*sent.value)
+        memory = worker_memory(f"quality {model.name}")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                scores = model.scores(part.column("text").to_pylist(), memory["quality"])
+                scores = model.scores(part.column("text").to_pylist(), memory)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
 
     return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -239,7 +239,7 @@ def write_tokens(df: DataFrame, tokenizer: str, *, end_id: int = 2, length: int
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 if writer is None:
-                    memory = worker_memory()
+                    memory = worker_memory("token_files")
                     encoder = memory.setdefault(("encoder", tokenizer), None) or WordEncoder(tokenizer)
                     memory["encoder", tokenizer] = encoder
                     writer = SequenceWriter(file_of(folder, part), id_type(encoder.library.get_vocab_size()), length, end_id)

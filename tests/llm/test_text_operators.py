@@ -29,6 +29,10 @@ def line_brute(docs):
     seen, gone = set(), defaultdict(set)
     for d in order:
         lines = d[1].split("\n")
+        if len(lines) < 3:
+            if d[1] in seen:
+                gone[d].update(range(len(lines)))
+            seen.add(d[1])
         for i in range(len(lines) - 2):
             window = tuple(lines[i : i + 3])
             if window in seen:
@@ -75,7 +79,9 @@ def test_no_line_vanishes(spark):
 
 def test_line_dedup_of_short_texts(spark):
     docs = [(1, "p\nq"), (2, "p\nq"), (3, "p"), (4, "p\nr"), (5, "p\nq\nr"), (6, "p"), (7, None), (8, "p\nq\nr")]
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, [row(*d) for d in docs]), short_texts=True).collect()}
+    whole = line_dedup.dedup_lines(frame(spark, [row(*d) for d in docs]), short_texts=False).collect()
+    assert {r["doc_id"] for r in whole if r["n_removed"]} == {8}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, [row(*d) for d in docs])).collect()}
     assert got == {
         1: (2, 0, "p\nq"), 2: (2, 2, ""), 3: (1, 0, "p"), 4: (2, 0, "p\nr"), 5: (3, 0, "p\nq\nr"), 6: (1, 1, ""), 7: (0, 0, None), 8: (3, 3, ""),
     }
@@ -140,6 +146,31 @@ def test_join_equals_brute_force(spark, monkeypatch, block_grams):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == join_brute(docs)
 
 
+def test_repeated_ids_and_near_copies_equal_brute_force(spark):
+    rng = random.Random(4)
+    base = prose(5, 200).split()
+    docs = [(1, " ".join(base))] * 300
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(len(copy))] = f"n{i}"
+        docs.append((10 + i, " ".join(copy)))
+    got = ngram_join.near_duplicates(frame(spark, [row(*d) for d in docs]).repartition(5)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == join_brute(docs)
+
+
+def test_links_without_a_shared_band_count_on_both_sides(spark):
+    """With few bands many members of a group share none; verified links count all the same, once for each side."""
+    docs = [d for d in near_docs() if d[0] is not None and 1000 <= d[0] < 3000]
+    got = ngram_join.near_duplicates(frame(spark, [row(*d) for d in docs]).repartition(3), recall=0.6).collect()
+    want = {(i, c): n for (i, c, n), _ in join_brute(docs).items()}
+    most = max(len([r for r in got if r["class_id"] == c]) for c in {r["class_id"] for r in got})
+    assert most > 40 and sum(r["n_links"] for r in got) % 2 == 0
+    full = {i: n for (i, _), n in want.items()}
+    assert all(r["n_links"] <= full[r["doc_id"]] for r in got)
+    assert sum(r["n_links"] for r in got) > 0.9 * sum(full.values())
+
+
 def test_one_of_each_group_stays(spark):
     docs = near_docs()
     df = frame(spark, [row(*d) for d in docs])
@@ -425,3 +456,34 @@ def test_pipeline_stages(spark):
             assert docs.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0 or name == "mixing"
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4]
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = []
+    for parts in (2, 7):
+        dealt = docs.repartition(parts)
+        counts = lm.count_tokens(dealt)
+        vocabulary = lm.vocabulary(counts)
+        weights = lm.fit(dealt, vocabulary, part_tokens=3000)
+        scores.append({r["doc_id"]: r["score"] for r in lm.score(dealt, counts, vocabulary, weights).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-6
+
+
+def test_lm_grows_with_the_corpus():
+    sizes = [lm.feature_bits(n) for n in (0, 10**5, 10**7, 6 * 10**7, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[3] >= 14 and sizes[-1] > sizes[-2] > sizes[3]
+
+
+def test_block_index_finds_every_near_item():
+    """The masks give exactly the pairs within the radius that agree in a block, whatever the number of items."""
+    rng = np.random.default_rng(3)
+    grams = [rng.integers(0, 1 << 63, 12, dtype=np.int64).astype(np.uint64) for _ in range(700)]
+    length = decontamination.Length(grams, list(range(700)))
+    prints = length.prints[rng.integers(0, 700, 300)].copy()
+    for _ in range(9):
+        prints ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    windows, items = length.near(prints)
+    want = {(w, i) for w in range(300) for i in range(700) if bin(int(prints[w] ^ length.prints[i])).count("1") <= decontamination.RADIUS}
+    assert set(zip(windows.tolist(), items.tolist())) == want and len(windows) == len(want)
