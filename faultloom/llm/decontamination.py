@@ -223,7 +223,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = NEAR, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item (see ``contaminated``); all columns stay."""
+    """``docs`` without the rows that contain a benchmark item (see ``contaminated``).
+
+    All columns stay, whatever their names.  Null and empty texts contain nothing and stay, repeated rows stay or go
+    together, and an empty table on either side leaves ``docs`` as it is.
+    """
     for items in packs(benchmark, size):
         sent = docs.sparkSession.sparkContext.broadcast(items.plain())
 

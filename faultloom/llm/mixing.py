@@ -250,11 +250,13 @@ def mix(df: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: f
 def taken(df: DataFrame, *, seed: int = 11, **options) -> DataFrame:
     """``df`` with every row repeated as often as ``mix`` takes it; rows not taken are absent.
 
-    Rows equal in id, source and text share the copies that were decided for them.
+    Rows equal in id, source and text share the copies that were decided for them.  All columns stay, whatever their
+    names.  Nulls and empty tables are treated as in ``mix``.
     """
     decided = mix(df, seed=seed, **options).groupBy("_hash", "_tie", "source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     decided = decided.withColumnRenamed("source", "_source")
-    marked = df.withColumns({"_hash": _marks(seed)[0], "_tie": _marks(seed)[1]})
+    # The row travels as one struct, so its columns may have any names.
+    marked = df.select(F.struct("*").alias("_row"), "source", *_marks(seed))
     nth = F.row_number().over(Window.partitionBy("_hash", "_tie", "source").orderBy(F.lit(0)))
     joined = marked.alias("d").join(
         decided.alias("m"),
@@ -268,5 +270,5 @@ def taken(df: DataFrame, *, seed: int = 11, **options) -> DataFrame:
         joined.withColumn("_share", share)
         .filter("_share > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share").cast("int"))))
-        .drop("_hash", "_tie", "_copies", "_rows", "_share", "_copy")
+        .select("_row.*")
     )

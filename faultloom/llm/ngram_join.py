@@ -345,7 +345,8 @@ def near_duplicates(df: DataFrame, *, threshold: float = NEAR, size: int = SHING
 def keep_one(df: DataFrame, **options) -> DataFrame:
     """``df`` with one document of each near-duplicate group: the one of least id, of equal ids the one of least text hash.
 
-    Texts without words all stay.
+    Texts without words, null ones included, all stay, and so do all columns, whatever their names; an empty table gives
+    an empty one.
     """
     grouped = near_duplicates(df, **options)
     first = Window.partitionBy("_group").orderBy("_t1", "_t2")
@@ -355,14 +356,15 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     columns = ["doc_id", "_t1", "_t2", F.col("_group").isNull().alias("_wordless")]
     wanted = written(least.select(*columns).unionByName(wordless.select(*columns).distinct()), "kept")
     same_id = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    marked = df.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(3), "text")})
+    # The row travels as one struct, so its columns may have any names.
+    marked = df.select(F.struct("*").alias("_row"), "doc_id", *_row_mark())
     kept = (
         marked.alias("d")
         .join(wanted.alias("k"), same_id & (F.col("d._t1") == F.col("k._t1")) & (F.col("d._t2") == F.col("k._t2")))
         .select("d.*", "k._wordless")
     )
     nth = F.row_number().over(Window.partitionBy("doc_id", "_t1", "_t2").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).filter(F.col("_wordless") | (F.col("_nth") == 1)).drop("_nth", "_t1", "_t2", "_wordless")
+    return kept.withColumn("_nth", nth).filter(F.col("_wordless") | (F.col("_nth") == 1)).select("_row.*")
 
 
 #: Words of a text in SQL, as ``common.words`` gives them.

@@ -12,7 +12,7 @@ from fixtures import SCHEMA, messy_rows, prose, row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultloom.llm import decontamination, graphs, line_dedup, lm, ngram_join, quality
+from faultloom.llm import decontamination, graphs, line_dedup, lm, mixing, ngram_join, quality
 from faultloom.llm.common import SHINGLE_WORDS, words
 
 
@@ -440,6 +440,20 @@ def test_empty_tables(empty, messy, spark):
     assert lm_score(messy, empty).count() == messy.count()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "predicted", "row", "_t1", "_t2", "_nth", "_wordless", "_hash", "_tie", "_copies", "_rows", "_share", "_copy", "_row", "d"]
+    docs = [(i, prose(i, 40 + i), "ab"[i % 2]) for i in range(30)] + [(3, prose(3, 43), "b"), (40, None, None), (41, "", "a")]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame([(*d, *[f"{n} {d[0]}" for n in names]) for d in docs], schema).repartition(3)
+    for kept in (
+        corpus_pipeline.keep_quality(spark, df, "/root/testdata/sf0.001"), ngram_join.keep_one(df), mixing.taken(df),
+        decontamination.clean(df, spark.createDataFrame([(1, prose(7, 47))], "item_id long, text string")),
+    ):
+        assert kept.schema.names == df.schema.names
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
