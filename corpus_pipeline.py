@@ -14,9 +14,13 @@ from faultloom.llm.queries import tokenizer_file
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, learned from the labels of the input documents."""
+    """Documents that the quality classifier accepts, learned from the labels of the input documents.
+
+    A null text scores as an empty one.  The row travels as one struct, so columns named like the scores stay.
+    """
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("predicted") == 1).select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return quality.score(rows, model).filter(F.col("predicted") == 1).select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
