@@ -240,12 +240,14 @@ def replace_runbooks(current: DataFrame, files: DataFrame, **options) -> DataFra
     return state.delete_by_key(current, files, keys).unionByName(new.select(current.columns))
 
 
-def collect_logs(log_lines: DataFrame, job_id: Column, *, workspace_id: str = "default") -> DataFrame:
-    """Events of the ERROR lines of a log directory (batch or stream)."""
+def collect_logs(
+    log_lines: DataFrame, job_id: Column, *, workspace_id: str = "default", identity: tuple[str, ...] = ("path", "nth")
+) -> DataFrame:
+    """Events of the ERROR lines of a log directory (batch or stream); ``identity`` names a line, (path, offset) for growing files."""
     from ..sources.payloads import from_parsed_lines
 
     parsed = lines.errors_only(lines.parse_lines(log_lines))
-    return from_parsed_lines(parsed, job_id, workspace_id=workspace_id)
+    return from_parsed_lines(parsed, job_id, workspace_id=workspace_id, identity=identity)
 
 
 def student_analytics(students: DataFrame, grades: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

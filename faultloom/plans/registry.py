@@ -27,4 +27,4 @@ def stamp(c: Column | str) -> Column:
 
 
 def load_all() -> None:
-    from . import queries_alerts, queries_logs, queries_reports, queries_retrieval, queries_state, queries_streams  # noqa: F401
+    from . import queries_alerts, queries_logs, queries_reports, queries_retrieval, queries_state, queries_streams, queries_tail  # noqa: F401
