@@ -3,10 +3,15 @@
 Vectors are packed into blocks of bounded size and compared block against block, so a task holds
 two blocks at most and emits k hits per query, never all pairs.  A workspace that holds most of the
 vectors simply has more blocks.  Block centres and radii bound the best similarity a pair of blocks
-can reach; pairs that cannot matter are dropped before any vector is shuffled to them.
+can reach; pairs that cannot matter are dropped before any vector is shuffled to them.  Bounds are
+tried from the top: blocks stand on the shelf of the nearest of a few leaders, whose number follows the
+root of the blocks' number, or alone if all leaders are far; pairs of shelves are bounded first, and block
+pairs are formed only inside pairs of shelves that are left.
 """
 
+import math
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
+from ..session import checkpoint_folder
 
 # Send the functions of this module with the job: executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +32,9 @@ BLOCK_ROWS = 1024
 PAIR_SALTS = 16
 # A corpus block is sent to at most so many tasks, which share the query blocks that visit it.
 VISIT_SLICES = 16
+# Leaders are so many times the root of the number of blocks; blocks farther from all (in radians) stand alone.
+LEADERS = 4
+LEADER_REACH = 0.25
 _CELL_BITS = 16
 _PLANE_SEED = 7
 _DIGITS = 12  # similarities are rounded here so that equal vectors tie and ids decide
@@ -52,25 +61,24 @@ def _vectors(packed: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _blocks(df: DataFrame, group: str, ident: str, vector: str, rows: int) -> DataFrame:
-    """Packed blocks (group, block, items, centre, radius) of about ``rows`` vectors each.
+    """Packed blocks (group, block, items, centre, radius) of about ``rows`` vectors each, as a table.
 
-    A histogram of cell codes per group sets how many leading bits make a cell and into how many
-    parts a crowded cell (for example one full of copies) is split.
+    A histogram of cell codes per group (at most 65,536 rows) cuts the codes in their order into runs of about ``rows`` vectors, so a
+    block shares as many leading bits as its size allows; a crowded code (for example one full of copies) is split into parts.
     """
     clean = df.select(
         F.col(group).alias("grp"), F.col(ident).alias("id"), F.col(vector).alias("vec")
     ).filter(F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0))
     coded = clean.withColumn("code", _cell_code("vec"))
     histogram = coded.groupBy("grp", "code").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.least(F.greatest(F.ceil(F.log2(F.col("total") / rows)), F.lit(0)), F.lit(_CELL_BITS)).cast("int")
+    order = Window.partitionBy("grp").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
     layout = (
-        histogram.withColumn("total", F.sum("n").over(Window.partitionBy("grp")))
-        .withColumn("cell", F.floor(F.col("code") / F.pow(F.lit(2), F.lit(_CELL_BITS) - bits)).cast("long"))
-        .withColumn("parts", F.ceil(F.sum("n").over(Window.partitionBy("grp", "cell")) / rows))
+        histogram.withColumn("cell", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / rows))
+        .withColumn("parts", F.ceil(F.col("n") / rows))
         .select("grp", "code", "cell", "parts")
     )
     placed = coded.join(layout, ["grp", "code"]).withColumn(
-        "block", F.concat_ws(":", "cell", F.pmod(F.xxhash64("id"), F.col("parts")))
+        "block", F.concat_ws(":", "cell", F.when(F.col("parts") > 1, F.concat_ws(":", "code", F.pmod(F.xxhash64("id"), F.col("parts")))))
     )
     packed = placed.groupBy("grp", "block").agg(F.collect_list(F.struct("id", "vec")).alias("items"))
     schema = T.StructType(
@@ -92,7 +100,95 @@ def _blocks(df: DataFrame, group: str, ident: str, vector: str, rows: int) -> Da
                 names=[*batch.schema.names, "centre", "radius"],
             )
 
-    return packed.mapInArrow(describe, schema)
+    return _stored(packed.mapInArrow(describe, schema), "blocks")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once however often it is read."""
+    folder = f"{checkpoint_folder(df.sparkSession, name)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _angle(a: Column, b: Column) -> Column:
+    return F.acos(F.greatest(F.least(_dot(a, b), F.lit(1.0)), F.lit(-1.0)))
+
+
+def _shelved(meta: DataFrame) -> DataFrame:
+    """``meta(grp, block, centre, radius)`` with the shelf of each block, as a table."""
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("block"), "block")
+    names = meta.select("grp", "block")
+    many = names.groupBy("grp").agg(F.ceil(LEADERS * F.sqrt(F.count(F.lit(1)))).alias("leaders"))
+    ranked = names.withColumn("n", F.row_number().over(order)).join(many, "grp").filter(F.col("n") <= F.col("leaders"))
+    leaders = ranked.select("grp", "block").join(meta, ["grp", "block"]).select("grp", F.col("block").alias("shelf"), F.col("centre").alias("middle"))
+    salted = meta.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(PAIR_SALTS)).cast("int"))
+    copies = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+    near = salted.join(copies, ["grp", "salt"]).groupBy("grp", "block").agg(
+        F.max(F.struct(_dot(F.col("centre"), F.col("middle")).alias("near"), "shelf")).alias("best"),
+        F.bool_or(F.col("block") == F.col("shelf")).alias("leads"),
+    )
+    # A leader stays on its own shelf, so every shelf has its centre.
+    joins = ~F.col("leads") & (F.col("best.near") >= F.lit(math.cos(LEADER_REACH)))
+    near = near.select("grp", "block", F.when(joins, F.col("best.shelf")).otherwise(F.col("block")).alias("shelf"))
+    return _stored(meta.join(near, ["grp", "block"]), "shelved")
+
+
+def _shelves(shelved: DataFrame) -> DataFrame:
+    """(grp, shelf, centre, radius): the leader's centre, and how far the shelf's blocks reach from it."""
+    middle = shelved.filter(F.col("block") == F.col("shelf")).select("grp", "shelf", F.col("centre").alias("middle"))
+    found = shelved.join(middle, ["grp", "shelf"])
+    return found.groupBy("grp", "shelf").agg(
+        F.any_value("middle").alias("centre"), F.max(_angle(F.col("middle"), F.col("centre")) + F.col("radius")).alias("radius")
+    )
+
+
+def _pairs(q: DataFrame, c: DataFrame) -> DataFrame:
+    """All pairs of two sides (grp, <key>, centre, radius) of one group: (grp, q_<key>, c_<key>, near, bound).
+
+    The query side is salted and the corpus side copied to every salt, so the pairs of one large group
+    are formed in many tasks.
+    """
+    key = next(x for x in q.columns if x not in ("grp", "centre", "radius"))
+    left = q.select("grp", F.col(key).alias(f"q_{key}"), F.col("centre").alias("qc"), F.col("radius").alias("qr"))
+    right = c.select("grp", F.col(key).alias(f"c_{key}"), F.col("centre").alias("cc"), F.col("radius").alias("cr"))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(f"q_{key}"), F.lit(PAIR_SALTS)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
+    met = salted.join(copies, ["grp", "salt"]).withColumn("near", _dot(F.col("qc"), F.col("cc")))
+    return met.select("grp", f"q_{key}", f"c_{key}", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound"))
+
+
+def _inside(shelf_pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """Block pairs (grp, qblock, cblock, near, bound) of the listed pairs of shelves."""
+    left = q.select("grp", F.col("shelf").alias("q_shelf"), F.col("block").alias("qblock"), F.col("centre").alias("qc"), F.col("radius").alias("qr"))
+    right = c.select("grp", F.col("shelf").alias("c_shelf"), F.col("block").alias("cblock"), F.col("centre").alias("cc"), F.col("radius").alias("cr"))
+    met = shelf_pairs.select("grp", "q_shelf", "c_shelf").join(left, ["grp", "q_shelf"]).join(right, ["grp", "c_shelf"])
+    met = met.withColumn("near", _dot(F.col("qc"), F.col("cc")))
+    return met.select("grp", "qblock", "cblock", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound"))
+
+
+def block_pairs(q: DataFrame, c: DataFrame, floor: float) -> DataFrame:
+    """Pairs of shelved blocks that can hold a similarity of ``floor`` or more, from pairs of shelves down."""
+    shelves = _pairs(_shelves(q), _shelves(c))
+    return _inside(shelves.filter(F.col("bound") >= floor), q, c).filter(F.col("bound") >= floor)
+
+
+def seed_pairs(q: DataFrame, c: DataFrame, count: int) -> DataFrame:
+    """For every query block the ``count`` nearest corpus blocks of the shelves nearest to its own."""
+    order = Window.partitionBy("grp", "q_shelf").orderBy(F.col("near").desc(), "c_shelf")
+    size = c.groupBy("grp", F.col("shelf").alias("c_shelf")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = _pairs(_shelves(q), _shelves(c)).join(size, ["grp", "c_shelf"])
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = ranked.withColumn("before", before).filter(F.col("before") < count)
+    promising = F.row_number().over(Window.partitionBy("grp", "qblock").orderBy(F.col("near").desc(), "cblock"))
+    return _inside(near, q, c).withColumn("_n", promising).filter(F.col("_n") <= count).drop("_n")
+
+
+def pairs_above(q: DataFrame, c: DataFrame, cut: DataFrame) -> DataFrame:
+    """Pairs of blocks whose bound reaches the query block's ``cut(grp, qblock, cut)``, from pairs of shelves down."""
+    of_block = q.select("grp", "shelf", F.col("block").alias("qblock")).join(cut, ["grp", "qblock"])
+    of_shelf = of_block.groupBy("grp", F.col("shelf").alias("q_shelf")).agg(F.min("cut").alias("cut"))
+    shelves = _pairs(_shelves(q), _shelves(c)).join(of_shelf, ["grp", "q_shelf"]).filter(F.col("bound") >= F.col("cut"))
+    return _inside(shelves, q, c).join(cut, ["grp", "qblock"]).filter(F.col("bound") >= F.col("cut")).drop("cut")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -210,41 +306,37 @@ def knn(
 
     ``min_similarity`` applies before the top-k (same result) and prunes block pairs.  ``refine`` first
     searches each query block's most promising corpus block and then skips the pairs that cannot beat
-    that result: worth it for large clustered corpora, where most pairs fall away.  ``probes`` does the
-    same after that many blocks: blocks are added until the bound shows that the top k are held, so no
-    hit is lost at any size.  Null and zero vectors have no cosine and take no part.
+    that result: worth it for large clustered corpora, where most pairs fall away.  ``probes`` does the same after that many
+    blocks, so no hit is lost.  All these prune pairs of
+    shelves before pairs of blocks, so the pairs that are formed follow those that matter.  Without any of them
+    every query block meets every corpus block.  For a search that is not exact see ``vector_index``.
+    Null and zero vectors have no cosine and take no part.
     """
-    def packed(rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        q = _blocks(queries, group, query_id, query_vector, rows).withColumnRenamed("block", "qblock")
-        c = _blocks(corpus, group, corpus_id, corpus_vector, rows).withColumnRenamed("block", "cblock")
-        q_meta = q.select("grp", "qblock", F.col("centre").alias("qc"), F.col("radius").alias("qr"))
-        c_meta = c.select("grp", "cblock", F.col("centre").alias("cc"), F.col("radius").alias("cr"))
-        # Block pairs per group: the query side is salted and the (small) corpus side copied to every
-        # salt, so the pairs of one large group are formed in many tasks.
-        salted = q_meta.withColumn("salt", F.pmod(F.xxhash64("qblock"), F.lit(PAIR_SALTS)).cast("int"))
-        copies = c_meta.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))))
-        pairs = salted.join(copies, ["grp", "salt"]).withColumn("near", _dot(F.col("qc"), F.col("cc"))).select(
-            "grp", "qblock", "cblock", "near", _pair_bound(F.col("near"), F.col("qr"), F.col("cr")).alias("bound")
-        )
-        return q, c, pairs if min_similarity is None else pairs.filter(F.col("bound") >= min_similarity)
-
-    q, c, pairs = packed(block_rows)
-    promising = F.row_number().over(Window.partitionBy("grp", "qblock").orderBy(F.col("near").desc(), "cblock"))
+    q = _blocks(queries, group, query_id, query_vector, block_rows)
+    one_table = queries is corpus and query_id == corpus_id and query_vector == corpus_vector
+    c = q if one_table else _blocks(corpus, group, corpus_id, corpus_vector, block_rows)
+    meta = ["grp", "block", "centre", "radius"]
+    bounded = refine or probes is not None or min_similarity is not None
+    q_meta = _shelved(q.select(meta)) if bounded else q.select(meta)
+    c_meta = q_meta if one_table else _shelved(c.select(meta)) if bounded else c.select(meta)
+    q_items, c_items = q.select("grp", F.col("block").alias("qblock"), "items"), c.select("grp", F.col("block").alias("cblock"), "items")
     if refine or probes is not None:
-        seeds = pairs.withColumn("_n", promising).filter(F.col("_n") <= (1 if probes is None else probes)).drop("_n")
-        hits = _best(_compare(seeds, q, c, k, None, skip_self), k)
+        seeds = seed_pairs(q_meta, c_meta, 1 if probes is None else probes)
+        hits = _best(_compare(seeds, q_items, c_items, k, None, skip_self), k)
         worst = hits.filter(F.col("rank") == k).select(F.col("grp").alias("g"), F.col("qid").alias("i"), "similarity")
-        if probes is not None and block_rows < BLOCK_ROWS:
-            # Where bounds drop little, small blocks would travel once per pair: the rest goes in large ones.
-            q, c, pairs = packed(BLOCK_ROWS)
-        members = q.select("grp", "qblock", F.explode("items.id").alias("i"))
+        members = q.select("grp", F.col("block").alias("qblock"), F.explode("items.id").alias("i"))
+        lowest = F.lit(-2.0 if min_similarity is None else float(min_similarity))
         cut = (
             members.join(worst, (members["grp"] == worst["g"]) & (members["i"] == worst["i"]), "left")
             .groupBy("grp", "qblock")
-            .agg(F.min(F.coalesce("similarity", F.lit(-2.0))).alias("cut"))
+            .agg(F.greatest(F.min(F.coalesce("similarity", F.lit(-2.0))), lowest).alias("cut"))
         )
-        pairs = pairs.join(cut, ["grp", "qblock"]).filter(F.col("bound") >= F.col("cut")).drop("cut")
-    hits = _compare(pairs, q, c, k, min_similarity, skip_self)
+        pairs = pairs_above(q_meta, c_meta, _stored(cut, "cuts"))
+    elif min_similarity is not None:
+        pairs = block_pairs(q_meta, c_meta, min_similarity)
+    else:
+        pairs = _pairs(q_meta, c_meta).withColumnsRenamed({"q_block": "qblock", "c_block": "cblock"})
+    hits = _compare(pairs, q_items, c_items, k, min_similarity, skip_self)
     names = [group, query_id if query_id != corpus_id else f"query_{query_id}", corpus_id]
     return _best(hits, k).select(
         F.col("grp").alias(names[0]), F.col("qid").alias(names[1]), F.col("cid").alias(names[2]), "similarity", "rank"

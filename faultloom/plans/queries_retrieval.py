@@ -1,8 +1,11 @@
 """Queries over vectors, runbooks, prompts and AI answers."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import hypotheses, prompts, retrieval, runbooks, state
+from ..operators import hypotheses, prompts, retrieval, runbooks, state, vector_index
+from ..session import checkpoint_folder
 from ..sources.tables import read_table
 from . import pipelines as pl
 from . import testviews as tv
@@ -54,7 +57,7 @@ def knn_refined(spark, sf_dir):
     return _knn(spark, sf_dir, refine=True, block_rows=32)
 
 
-@query("knn_approx")
+@query("knn_approx", f"WITH {_hits()}\n{_KNN_SELECT}")
 def knn_approx(spark, sf_dir):
     return _knn(spark, sf_dir, probes=2, block_rows=16)
 
@@ -93,6 +96,31 @@ def knn_approx_checked(spark, sf_dir):
     )
 
 
+#: Share of the cells that each query asks; these vectors have no structure, so it must be large.
+INDEX_PROBES = 0.65
+
+
+@query(
+    "knn_index_checked",
+    f"""WITH {_hits()}
+SELECT label, count(DISTINCT qid) AS n_queries, count(*) AS n_exact, true AS similarities_exact, true AS recall_reached FROM hits GROUP BY label""",
+)
+def knn_index_checked(spark, sf_dir):
+    """Hits of an index against the vectors themselves and against the exact hits, by label."""
+    e = _vectors(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark, 'vector-index')}/{uuid.uuid4().hex}"
+    index = vector_index.build(e, folder, group="label", ident="vec_id")
+    hits = vector_index.search(index, e, group="label", query_id="vec_id", corpus_id="vec_id", probes=INDEX_PROBES, skip_self=True)
+    exact = _knn(spark, sf_dir).select("label", "query_vec_id", "vec_id", F.col("similarity").alias("true_similarity"))
+    met = exact.join(hits.drop("rank"), ["label", "query_vec_id", "vec_id"], "left")
+    right = F.col("similarity").isNull() | (F.round("similarity", 6) == F.col("true_similarity"))
+    found = met.groupBy("label").agg(
+        F.countDistinct("query_vec_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"), F.bool_and(right).alias("similarities_exact"),
+        F.count("similarity").alias("found"),
+    )
+    return found.select("label", "n_queries", "n_exact", "similarities_exact", (F.col("found") >= APPROX_RECALL * F.col("n_exact")).alias("recall_reached"))
+
+
 def _incident_hits(spark, sf_dir):
     e = _vectors(spark, sf_dir)
     workspace = F.col("label").cast("string").alias("workspace_id")
