@@ -386,25 +386,46 @@ def format_section() -> Column:
 
 
 def embed_with(
-    df: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]], out: str = "embedding", *,
-    max_chars: int | None = None, failure: str | None = None,
+    df: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]] | None = None, out: str = "embedding", *,
+    load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, max_chars: int | None = None, failure: str | None = None,
 ) -> DataFrame:
     """Unit-length vectors of a model function, called once per Arrow batch of texts.
 
-    The whole text goes to the model unless ``max_chars`` states its input limit.  A batch that fails
-    gets null vectors, so the events go on without retrieval; a column named by ``failure`` then holds
-    the reason, so failures can be counted.
+    ``load`` makes the model where it is used, once per task instead of once per batch; it may read files.  The
+    whole text goes to the model unless ``max_chars`` states its input limit.  A batch that fails is
+    halved until the texts that fail stand alone: they get null vectors, so their events go on without
+    retrieval, and a column named by ``failure`` holds the reason, so failures can be counted.  A model that cannot be
+    loaded fails every text in the same way.
     """
+    if (model is None) == (load is None):
+        raise ValueError("give the model or how to load it")
     found = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("failure", T.StringType())])
 
-    @F.pandas_udf(found)
-    def vectors(texts: pd.Series) -> pd.DataFrame:
+    def answers(run: Callable[[list[str]], list[list[float]]], texts: list[str]) -> list[tuple]:
         try:
-            matrix = _unit(np.asarray(model([t or "" for t in texts]), dtype=np.float64))
-            rows = [(list(v), None) if np.isfinite(v).all() else (None, "no finite vector") for v in matrix]
+            matrix = np.asarray(run(texts), dtype=np.float64)
+            if matrix.ndim != 2 or len(matrix) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave an array of shape {matrix.shape}")
+            with np.errstate(invalid="ignore", divide="ignore"):
+                matrix = _unit(matrix)
+            return [(list(v), None) if np.isfinite(v).all() else (None, "no finite vector") for v in matrix]
         except Exception as error:  # noqa: BLE001  (a failing model must not fail the event)
-            rows = [(None, f"{type(error).__name__}: {error}")] * len(texts)
-        return pd.DataFrame(rows, columns=["vector", "failure"])
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return answers(run, texts[:half]) + answers(run, texts[half:])
+            return [(None, f"{type(error).__name__}: {error}")]
+
+    @F.pandas_udf(found)
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run, broken = model, None
+        if run is None:
+            try:
+                run = load()
+            except Exception as error:  # noqa: BLE001
+                broken = f"{type(error).__name__}: {error}"
+        for texts in batches:
+            rows = [(None, broken)] * len(texts) if broken else answers(run, [t or "" for t in texts]) if len(texts) else []
+            yield pd.DataFrame(rows, columns=["vector", "failure"])
 
     text = F.col(column) if max_chars is None else F.substring(F.col(column), 1, max_chars)
     answered = df.withColumn("_answer", vectors(text)).withColumn(out, F.col("_answer.vector"))

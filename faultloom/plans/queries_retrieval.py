@@ -1,7 +1,9 @@
 """Queries over vectors, runbooks, prompts and AI answers."""
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..operators import hypotheses, prompts, retrieval, runbooks, state, vector_index
@@ -9,9 +11,12 @@ from ..session import checkpoint_folder
 from ..sources.tables import read_table
 from . import pipelines as pl
 from . import testviews as tv
-from .oracle_views import lit
+from .oracle_views import LOG_EVENTS, lit, with_views
 from .registry import query
 
+# Send the functions of this module with the job: executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _DOT = "list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 _COSINE = f"round({_DOT} / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 12)"
 
@@ -121,6 +126,49 @@ def knn_index_checked(spark, sf_dir):
     return found.select("label", "n_queries", "n_exact", "similarities_exact", (F.col("found") >= APPROX_RECALL * F.col("n_exact")).alias("recall_reached"))
 
 
+#: Components of the vectors that the hook's model gives.
+HOOK_DIM = 16
+
+
+def _hook_model():
+    """A model that counts words by the first hex digit of their MD5, and refuses texts that hold a password."""
+    import hashlib
+    import re
+
+    def run(texts):
+        if any("password=" in t for t in texts):
+            raise ValueError("refused")
+        rows = []
+        for text in texts:
+            counts = [0.0] * HOOK_DIM
+            for word in re.findall("[a-z0-9]+", text.lower()):
+                counts[int(hashlib.md5(word.encode()).hexdigest()[0], 16)] += 1.0
+            rows.append(counts)
+        return rows
+
+    return run
+
+
+@query(
+    "embed_hook",
+    with_views(LOG_EVENTS, """
+worded AS (SELECT seq, message, unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS word FROM log_events),
+counted AS (SELECT seq, any_value(message) AS message, strpos('0123456789abcdef', substr(md5(word), 1, 1)) - 1 AS d, count(*) AS n FROM worded GROUP BY seq, d),
+lengths AS (SELECT seq, any_value(message) AS message, sqrt(sum(n * n)) AS len FROM counted GROUP BY seq),
+whole AS (
+  SELECT l.seq, l.message, string_agg(CAST(CAST(floor(1000 * coalesce(c.n, 0) / len + 0.25) AS BIGINT) AS VARCHAR), ',' ORDER BY i.d) AS vector
+  FROM lengths l CROSS JOIN (SELECT unnest(range(16)) AS d) i LEFT JOIN counted c ON c.seq = l.seq AND c.d = i.d GROUP BY l.seq, l.message
+)""", select="""
+SELECT seq, CASE WHEN contains(message, 'password=') THEN NULL ELSE vector END AS vector,
+  CASE WHEN contains(message, 'password=') THEN 'ValueError: refused' END AS failure FROM whole"""),
+)
+def embed_hook(spark, sf_dir):
+    """Vectors of a model that is loaded where it runs, in thousandths; the texts it refuses fail alone."""
+    events = retrieval.embed_with(tv.log_events(spark, sf_dir), "message", load=_hook_model, failure="failure")
+    digits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000 + 0.25).cast("string"))
+    return events.select("seq", F.array_join(digits, ",").alias("vector"), "failure")
+
+
 def _incident_hits(spark, sf_dir):
     e = _vectors(spark, sf_dir)
     workspace = F.col("label").cast("string").alias("workspace_id")
@@ -367,3 +415,48 @@ def ai_responses(spark, sf_dir):
         .otherwise(F.lit('{"root_cause": "x", "confidence_score": "high"}'))
     )
     return events.select("seq", hypotheses.parse_ai_response(text).alias("r")).select("seq", "r.*")
+
+
+def _slot_vector(seq: str):
+    """A unit vector for the message template of an event."""
+    slot = F.pmod(F.col(seq), F.lit(len(tv.MESSAGES))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(len(tv.MESSAGES) - 1)), lambda i: (i == slot).cast("float"))
+
+
+@query(
+    "context_errors",
+    with_views(LOG_EVENTS, """
+past AS (SELECT DISTINCT workspace_id, slot FROM log_events WHERE event_type = 'purchase' AND slot % 3 <> 0),
+sections AS (SELECT DISTINCT workspace_id, slot FROM log_events WHERE event_type = 'signup')""", select="""
+SELECT workspace_id, job_id AS pipeline_name, signature AS error_type,
+  'incident ' || coalesce(CAST(p.slot AS VARCHAR), '') || ', section ' || coalesce(CAST(s.slot AS VARCHAR), '') AS root_cause,
+  'by context' AS fix, seq
+FROM log_events LEFT JOIN past p USING (workspace_id, slot) LEFT JOIN sections s USING (workspace_id, slot) WHERE level = 'ERROR'
+QUALIFY row_number() OVER (PARTITION BY workspace_id, job_id, signature ORDER BY seq DESC) = 1"""),
+)
+def context_errors(spark, sf_dir):
+    """The whole way of an event: retrieved incidents and sections reach the prompt, its answer the error table."""
+    events = tv.log_events(spark, sf_dir).withColumn("embedding", _slot_vector("seq"))
+    slot = F.pmod("seq", F.lit(len(tv.MESSAGES)))
+    name = F.concat(F.lit("case "), slot.cast("string"))
+
+    def stored(kind, ident):
+        last = F.max_by(F.struct("embedding", name.alias("name")), "seq").alias("l")
+        rows = events.filter(F.col("event_type") == kind).groupBy("workspace_id", slot.alias("slot")).agg(F.max("seq").alias(ident), last)
+        return rows.select("workspace_id", "slot", ident, "l.*")
+
+    past = stored("purchase", "error_id").withColumns(
+        {"error_type": F.lit("TYPE"), "root_cause": F.when(F.col("slot") % 3 != 0, F.concat(F.lit("past "), "name")), "fix": F.lit("past fix")}
+    )
+    chunks = stored("signup", "chunk_id").withColumns(
+        {"source_file": F.lit("a.md"), "section_title": F.lit("Title"), "chunk_text": F.concat(F.lit("chunk "), "name")}
+    )
+    queue = pl.publish(events).withColumn("embedding", _slot_vector("seq"))
+
+    def answer(prompt):
+        found = [F.regexp_extract(prompt, rf"{word} case (\d+)", 1) for word in ("past", "chunk")]
+        cause = F.concat(F.lit("incident "), found[0], F.lit(", section "), found[1])
+        return F.struct(cause.alias("root_cause"), F.lit("by context").alias("suggested_fix"), F.lit(0.97).alias("confidence_score"))
+
+    done = pl.process_with_context(queue, past, chunks, answer=answer, redacted=True)
+    return done.errors.select("workspace_id", "pipeline_name", "error_type", "root_cause", "fix", "seq")

@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import state
+from ..operators import reports, state
+from ..operators.exceptions import parse_errors
 from ..session import checkpoint_folder
 from ..sources import tables
-from ..streaming import streams
+from ..streaming import dead_letters, late, streams
 from . import pipelines as pl
 from . import testviews as tv
 from .oracle_views import ERRORS, LOG_EVENTS, RULES, RUNS, with_views
@@ -104,3 +105,82 @@ def stream_windows(spark, sf_dir):
     )
     latest = spark.read.parquet(f"{root}/windows").groupBy(*keys).agg(F.max_by("incidents", tables.BATCH).alias("incidents"))
     return latest.withColumn("window_start", stamp("window_start"))
+
+
+#: Files that arrive one after the other: event numbers are dealt over them in turn, so times go back and forth.
+LATE_FILES = 4
+LATENESS = "12 HOURS"
+
+
+def _in_turns(spark, sf_dir, name, files, build, write):
+    """Write one file of events after the other, each with every ``files``-th event, and go on with one stream after each."""
+    root = f"{checkpoint_folder(spark, name)}/{uuid.uuid4().hex}"
+    events = build(tv.log_events(spark, sf_dir))
+    for turn in range(files):
+        events.filter(F.pmod("seq", F.lit(files)) == turn).write.mode("append").parquet(f"{root}/source")
+        stream = streams.read_events(spark, f"{root}/source", events.schema)
+        streams.start(stream, f"{root}/checkpoint", write(root)).awaitTermination()
+    return root
+
+
+@query(
+    "stream_late",
+    with_views(LOG_EVENTS, f"""
+marks AS (SELECT seq % {LATE_FILES} AS turn, max(ts) AS latest FROM log_events GROUP BY 1),
+measured AS (
+  SELECT e.*, (SELECT max(latest) - INTERVAL {LATENESS} FROM marks WHERE turn < e.seq % {LATE_FILES}) AS mark FROM log_events e WHERE level = 'ERROR'
+)""", select=f"""
+SELECT {sql_stamp("date_trunc('day', ts)")} AS window_start, category, severity, count(*) AS incidents,
+  count(*) FILTER (mark IS NULL OR ts >= mark) AS in_time, count(*) FILTER (ts < mark) AS late
+FROM measured GROUP BY 1, 2, 3"""),
+)
+def stream_late(spark, sf_dir):
+    """Incident windows with a short watermark: what came in time, what came late, and both merged."""
+    keys = ["window_start", "category", "severity"]
+
+    def fold(events):
+        return reports.incident_windows(parse_errors(pl.publish(events)), "1 day")
+
+    root = _in_turns(
+        spark, sf_dir, "late", LATE_FILES, lambda events: events,
+        lambda root: late.split_late(root, "ts", LATENESS, fold, ["seq", "workspace_id", "job_id", "run_id", "level", "ts", "message"]),
+    )
+    merged = late.merged(spark.read.parquet(f"{root}/folded"), spark.read.parquet(f"{root}/late"), fold, keys, "incidents")
+    return merged.withColumn("window_start", stamp("window_start"))
+
+
+@query(
+    "stream_rejects",
+    with_views(LOG_EVENTS, select=f"""
+SELECT seq, CASE event_type WHEN 'click' THEN 'malformed_json' WHEN 'signup' THEN 'missing:job_id' END AS reason,
+  CASE event_type WHEN 'view' THEN 2 ELSE 3 END AS attempts, CASE event_type WHEN 'view' THEN 'done' ELSE 'dead' END AS status,
+  {sql_stamp('ts')} AS first_seen, CAST(NULL AS VARCHAR) AS event_level
+FROM log_events WHERE event_type IN ('click', 'view', 'signup')
+UNION ALL
+SELECT seq, NULL, NULL, 'event', {sql_stamp('ts')}, CASE event_type WHEN 'view' THEN 'WARN' ELSE level END
+FROM log_events WHERE event_type NOT IN ('click', 'signup')"""),
+)
+def stream_rejects(spark, sf_dir):
+    """Raw JSON on a stream: events and dead letters, after two retries that can add a missing level."""
+    from .queries_logs import _json_events
+
+    def build(events):
+        return _json_events(spark, sf_dir).join(events.select("seq", F.col("ts").alias("at")), "seq")
+
+    root = _in_turns(spark, sf_dir, "rejects", 2, build, dead_letters.json_letters)
+    leveled = F.when(F.col("reason_was") == "missing:level", F.regexp_replace("value", r"\}$", ',"level":"WARN"}'))
+    named = F.when(F.col("reason_was") == "missing:job_id,level", F.regexp_replace("value", r"\}$", ',"level":"INFO"}'))
+    for turn in range(2):
+        reasons = dead_letters.letters(spark, root).select("letter_id", F.col("reason").alias("reason_was"))
+        dead_letters.retry(
+            spark, root, turn,
+            lambda rows: rows.join(reasons, "letter_id").withColumn("value", F.coalesce(leveled, named, F.col("value"))).drop("reason_was"),
+        )
+    letters = dead_letters.letters(spark, root).select(
+        "seq", "reason", "attempts", "status", stamp("at").alias("first_seen"), F.lit(None).cast("string").alias("event_level")
+    )
+    events = spark.read.parquet(f"{root}/events").select(
+        "seq", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("attempts"), F.lit("event").alias("status"),
+        stamp("at").alias("first_seen"), F.col("level").alias("event_level"),
+    )
+    return letters.unionByName(events)

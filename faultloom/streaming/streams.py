@@ -117,6 +117,26 @@ def json_changes(root: str, ingest_ts: Column) -> Callable[[DataFrame, int], Non
 USAGE = T.StructType([T.StructField("workspace_id", T.StringType()), T.StructField("ai_calls", T.LongType())])
 
 
+def usage_before(spark: SparkSession, usage_path: str, batch_id: int) -> DataFrame:
+    """Calls per workspace billed by all batches before this one: the running totals that the last one left.
+
+    One change set is read, however many batches there were.  Folders written without totals are summed.
+    """
+    totals = f"{usage_path}_totals"
+    last = read_changes(spark, f"{totals}/{BATCH}={batch_id - 1:012d}", USAGE).drop(BATCH) if batch_id else None
+    if last is not None and last.inputFiles():
+        return last
+    earlier = read_changes(spark, usage_path, USAGE).filter(F.col(BATCH) < batch_id)
+    return earlier.groupBy("workspace_id").agg(F.sum("ai_calls").alias("ai_calls"))
+
+
+def fold_usage(before: DataFrame, billed: DataFrame, usage_path: str, batch_id: int) -> None:
+    """The batch's usage as a change set, and the running totals with it added."""
+    append_changes(billed, usage_path, batch_id)
+    total = before.unionByName(billed).groupBy("workspace_id").agg(F.sum("ai_calls").alias("ai_calls"))
+    append_changes(total, f"{usage_path}_totals", batch_id)
+
+
 def error_changes(
     path: str, *, users: DataFrame | None = None, usage_path: str | None = None, embedding: str | None = None,
     raw_log_chars: int | None = None, **options,
@@ -124,23 +144,24 @@ def error_changes(
     """Batch writer: the batch's error rows, already reduced to one per key, as a change set.
 
     With ``users`` and ``usage_path`` the quota goes on from batch to batch: calls that gave a result
-    are kept as change sets, and the batches before count against the limits.  A replayed batch reads
-    the same earlier sets and replaces its own.
+    are kept as change sets and folded into running totals, which count against the limits.  A batch
+    reads the totals of the one before, so its work does not grow with the stream's life; a replayed batch reads
+    the same totals and replaces its own.
     """
     seq = options.get("seq", "seq")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, limits = batch.sparkSession, users
         if users is not None and usage_path:
-            earlier = read_changes(spark, usage_path, USAGE).filter(F.col(BATCH) < batch_id)
-            limits = quota.add_usage(users, earlier.groupBy("workspace_id").agg(F.sum("ai_calls").alias("ai_calls")))
+            before = usage_before(spark, usage_path, batch_id)
+            limits = quota.add_usage(users, before)
         analysed = pl.analyse(batch, users=limits, **options).persist()
         try:
             rows = pl.error_rows(analysed, seq=seq, embedding=embedding, raw_log_chars=raw_log_chars)
             append_changes(state.upsert_errors(rows, seq=seq, embedding=embedding), path, batch_id)
             if users is not None and usage_path:
                 billed = quota.usage(analysed, billable=hypotheses.usable_ai(F.col("ai.root_cause")))
-                append_changes(billed, usage_path, batch_id)
+                fold_usage(before, billed, usage_path, batch_id)
         finally:
             analysed.unpersist()
 
