@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import reports, state
 from ..operators.exceptions import parse_errors
 from ..session import checkpoint_folder
-from ..sources import tables
+from ..sources import tables, tenants
+from ..sources.tables import read_table
 from ..streaming import dead_letters, late, streams
 from . import pipelines as pl
 from . import testviews as tv
@@ -184,3 +185,39 @@ def stream_rejects(spark, sf_dir):
         stamp("at").alias("first_seen"), F.col("level").alias("event_level"),
     )
     return letters.unionByName(events)
+
+
+#: Files of the stream below, and batches of one epoch: two snapshots and one batch after them.
+TENANT_FILES, TENANT_EPOCH = 7, 3
+
+
+@query(
+    "tenant_errors",
+    with_views(LOG_EVENTS, RULES, ERRORS, select=f"""
+SELECT workspace_id, pipeline_name, error_type, fix, {sql_stamp('detected_at')} AS detected_at, seq FROM errors
+WHERE workspace_id IN (SELECT CAST(c_custkey % 20 AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 2)"""),
+)
+def tenant_errors(spark, sf_dir):
+    """The error table of some tenants, out of a state that a stream keeps by tenant in snapshots and change sets."""
+    root = f"{checkpoint_folder(spark, 'tenants')}/{uuid.uuid4().hex}"
+    events = tv.log_events(spark, sf_dir)
+    schema = None
+
+    def build(batch):
+        nonlocal schema
+        rows = pl.process_events(pl.publish(batch))
+        schema = rows.schema
+        return rows
+
+    for turn in range(TENANT_FILES):
+        events.filter(F.pmod("seq", F.lit(TENANT_FILES)) == turn).write.parquet(f"{root}/source/part={turn}")
+        stream = streams.read_events(spark, f"{root}/source/part=*", events.schema)
+        write = tenants.changes_by_tenant(f"{root}/errors", build, state.upsert_errors, every=TENANT_EPOCH)
+        streams.start(stream, f"{root}/checkpoint", write).awaitTermination()
+    wanted = read_table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING' AND c_nationkey < 2").select(
+        F.pmod("c_custkey", F.lit(20)).cast("string").alias("workspace_id")
+    )
+    stored = tenants.read(spark, f"{root}/errors", schema, state.upsert_errors)
+    return stored.join(wanted, "workspace_id", "left_semi").select(
+        "workspace_id", "pipeline_name", "error_type", "fix", stamp("detected_at").alias("detected_at"), "seq"
+    )
