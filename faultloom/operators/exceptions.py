@@ -50,8 +50,21 @@ def _short_class(c: Column) -> Column:
     return F.substring_index(c, ".", -1)
 
 
+def alternatives(pattern: str) -> tuple[list[str], list[str]]:
+    """(substrings, patterns) that together find what ``pattern``, a choice of texts and of texts with a gap, finds.
+
+    A substring test is much cheaper than a pattern.  What holds another substring adds nothing and is left out.
+    """
+    choices = [x.replace(r"\.", ".") for x in pattern.split("|")]
+    plain = [x for x in choices if ".*" not in x]
+    plain = [x for x in plain if not any(y in x for y in plain if y != x)]
+    gapped = [x for x in choices if ".*" in x and not any(y in side for y in plain for side in x.split(".*"))]
+    return plain, gapped
+
+
 def _category_hits(text: Column):
-    for category, severity, literals, patterns in fv.ERROR_CATEGORIES:
+    for category, severity, pattern in fv.ERROR_CATEGORIES:
+        literals, patterns = alternatives(pattern)
         tests = [F.contains(text, F.lit(x)) for x in literals] + [_has(text, p) for p in patterns]
         yield category, severity, reduce(lambda a, b: a | b, tests)
 
@@ -65,7 +78,7 @@ def classify(text: Column) -> Column:
 
 
 def severity_of(category: Column) -> Column:
-    return tx.lookup({c: s for c, s, _, _ in fv.ERROR_CATEGORIES}, category, fv.DEFAULT_SEVERITY)
+    return tx.lookup({c: s for c, s, _ in fv.ERROR_CATEGORIES}, category, fv.DEFAULT_SEVERITY)
 
 
 def _no_traceback() -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .retrieval import format_incident, format_section
 
+# The headings below and the keys of the answer; the guidance sentences are this project's own.
 _ROLE = "You are an expert Site Reliability Engineer (SRE)."
 _USE_INCIDENTS = "Past incidents are listed for context: build on those that fit this error and skip the rest."
 _USE_RUNBOOKS = (

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import blocks, lines, reports, scrub
 from ..operators.exceptions import parse_all_blocks, parse_errors
@@ -35,26 +36,9 @@ def scrub_events(spark, sf_dir):
     return clean.select("seq", "message", F.array_join("redactions", ",").alias("redactions"))
 
 
-# The same twelve steps in RE2 syntax.
-_RE2 = [
-    ("pem_key", r"(?is)-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----.*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "[REDACTED_PEM_KEY]"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED_JWT]"),
-    ("db_connection_string", r"""(?i)(?:postgresql|postgres|mysql|mongodb(?:\+srv)?|redis|mssql|oracle|jdbc:[a-zA-Z]+)://[^:@\s"'']+:[^@\s"'']+@[^\s"'']*""", "[REDACTED_CONNECTION_STRING]"),
-    ("url_credentials", r"(?i)https?://[^:@\s/]+:[^@\s]+@", "[REDACTED_URL_CREDENTIALS]@"),
-    ("aws_access_key", r"\b(?:AKIA|AIPA|ASIA|AROA)[A-Z0-9]{16}\b", "[REDACTED_AWS_KEY]"),
-    ("aws_secret_key", r"""(?i)(aws_secret_access_key)\s*[=:]\s*["'']?[A-Za-z0-9/+]{40}["'']?""", r"\1=[REDACTED_SECRET]"),
-    ("bearer_token", r"""(?i)(Bearer|Authorization|api[_-]?key|access[_-]?token|auth[_-]?token|x-api-key)\s*[=:\s]+["'']?[A-Za-z0-9\-_./+]{20,}["'']?""", r"\1 [REDACTED_TOKEN]"),
-    ("password_kv", r"""(?i)(password|passwd|pwd|secret[_-]?key?|credentials?)\s*[=:]\s*["'']?[^\s"''&,;\r\n]{4,}["'']?""", r"\1=[REDACTED_PASSWORD]"),
-    ("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
-    ("ipv4", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", "[REDACTED_IP]"),
-    ("credit_card", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6(?:011|5[0-9]{2})[0-9]{12}|(?:2131|1800|35\d{3})\d{11})\b", "[REDACTED_CC]"),
-    ("phone", r"(?:\+?1[\s.\-])?\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b", "[REDACTED_PHONE]"),
-]
-
-
 def _re2_chain() -> str:
     steps = ["s0 AS (SELECT doc_id, source, text, '' AS red FROM documents)"]
-    for i, (name, pattern, token) in enumerate(_RE2):
+    for i, (name, pattern, token) in enumerate(fv.REDACTIONS_RE2):
         steps.append(
             f"s{i + 1} AS (SELECT doc_id, source, regexp_replace(text, '{pattern}', '{token}', 'g') AS text,\n"
             f"  red || CASE WHEN regexp_matches(text, '{pattern}') THEN ',{name}' ELSE '' END AS red FROM s{i})"

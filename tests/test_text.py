@@ -213,3 +213,20 @@ def test_text_blocks_equal_the_fold(spark):
         for number, at in fold(list(enumerate(split))):
             want.setdefault(number, []).append(split[at])
         assert row.b == list(want.values())
+
+
+def test_category_patterns_as_substrings():
+    """The cheap tests find what the whole pattern finds."""
+    import random
+    import re
+
+    from faultloom import fixed_values as fv
+    from faultloom.operators.exceptions import alternatives
+
+    rng = random.Random(1)
+    pieces = [x for _, _, p in fv.ERROR_CATEGORIES for c in p.split("|") for x in c.replace(r"\.", ".").split(".*")] + ["\n", " ", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.8 else rng.choice(pieces)[1:] for _ in range(rng.randrange(1, 5)))
+        for _, _, pattern in fv.ERROR_CATEGORIES:
+            plain, gapped = alternatives(pattern)
+            assert bool(re.search(pattern, text)) == (any(x in text for x in plain) or any(re.search(g, text) for g in gapped))
