@@ -102,7 +102,7 @@ def knn_approx_checked(spark, sf_dir):
 
 
 #: Share of the cells that each query asks; these vectors have no structure, so it must be large.
-INDEX_PROBES = 0.65
+INDEX_PROBES = 0.8
 
 
 @query(
