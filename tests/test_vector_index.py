@@ -99,3 +99,22 @@ def test_bounds_from_the_top_lose_no_hit(spark, options):
         got.setdefault(r["query_id"], []).append(r["similarity"])
     for i in range(len(vectors)):
         assert got.get(i, []) == pytest.approx([similar[i, j] for j in want[i] if similar[i, j] >= floor], abs=1e-9)
+
+
+def test_few_rows_leave_a_search(spark, tmp_path, monkeypatch):
+    """Rows that leave the first pass of a search grow with the queries, not with the cells that they ask."""
+    df = frame(spark, np.random.default_rng(8).standard_normal((1500, 16)), np.zeros(1500))
+    index = vector_index.build(df, str(tmp_path), group="grp", ident="id")
+    taken, whole = [], vector_index._candidates
+    monkeypatch.setattr(vector_index, "_candidates", lambda *a: taken.append(whole(*a)) or taken[-1])
+    vector_index.search(index, df, group="grp", query_id="id", probes=0.8, candidates=10, skip_self=True)
+    assert taken[0].count() == 1500 * 10
+
+
+def test_small_blocks_send_few_hits(spark, monkeypatch):
+    """Without any structure each query gives its k best hits once, however small the blocks are that are bounded."""
+    df = frame(spark, np.random.default_rng(9).standard_normal((900, 16)), np.zeros(900))
+    taken, best = [], retrieval._best
+    monkeypatch.setattr(retrieval, "_best", lambda hits, k: taken.append(hits) or best(hits, k))
+    retrieval.knn(df, df, group="grp", query_id="id", corpus_id="id", skip_self=True, k=5, probes=2, block_rows=16)
+    assert [hits.count() for hits in taken] == [4500, 4500]
