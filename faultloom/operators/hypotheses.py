@@ -10,10 +10,16 @@ from ..schemas import AI_RESULT
 
 
 def rule_table(spark) -> DataFrame:
-    """The default rules as a DataFrame (17 rows)."""
-    return spark.createDataFrame(
-        [(c, h, f, s) for c, s, h, f in fv.RULES], "category string, hypothesis string, fix string, score double"
-    )
+    """The default rules as a DataFrame (17 rows).
+
+    They are an expression over one row, so Spark knows that the table is small and broadcasts it: sorted for a join,
+    all events of a frequent category would meet in one task.
+    """
+    rules = [
+        F.struct(F.lit(c).alias("category"), F.lit(h).alias("hypothesis"), F.lit(f).alias("fix"), F.lit(float(s)).alias("score"))
+        for c, s, h, f in fv.RULES
+    ]
+    return spark.range(1).select(F.inline(F.array(*rules)))
 
 
 def parse_ai_response(response: Column) -> Column:
