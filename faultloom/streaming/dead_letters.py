@@ -80,4 +80,8 @@ def retry(
     earlier = spark.read.parquet(f"{root}/letters").filter(F.col(BATCH) < _RETRIES + turn).drop(BATCH)
     waiting = _states(earlier).filter(F.col("status") == WAITING).drop("status", "reason")
     tried = repair(waiting).withColumn("_attempts", F.col("attempts") + 1).withColumnRenamed("letter_id", "_letter").drop("attempts")
-    _attempt(tried, root, _RETRIES + turn, value, at, form, most)
+    held = tried.persist()
+    try:
+        _attempt(held, root, _RETRIES + turn, value, at, form, most)
+    finally:
+        held.unpersist()
