@@ -23,11 +23,15 @@ FILES = 3
 
 
 def _replay(spark, sf_dir, name, build, write, mode="append"):
-    """Write the log events as files in order of arrival and run a stream over them."""
+    """Write the log events as files in order of arrival and run a stream of ``FILES`` batches over them.
+
+    A batch gets as many files as keep each one small, since a file of one row group is read by one task.
+    """
     root = f"{checkpoint_folder(spark, name)}/{uuid.uuid4().hex}"
     events = tv.log_events(spark, sf_dir)
-    events.repartitionByRange(FILES, "seq").write.parquet(f"{root}/source")
-    stream = streams.read_events(spark, f"{root}/source", events.schema, files_per_trigger=1)
+    each = tables.pieces(read_table(spark, sf_dir, "events").count(), FILES * tables.SPREAD_ROWS)
+    events.repartitionByRange(FILES * each, "seq").write.parquet(f"{root}/source")
+    stream = streams.read_events(spark, f"{root}/source", events.schema, files_per_trigger=each)
     streams.start(build(stream), f"{root}/checkpoint", write(root), mode=mode).awaitTermination()
     return root
 
@@ -116,7 +120,10 @@ LATENESS = "12 HOURS"
 def _in_turns(spark, sf_dir, name, files, build, write):
     """Write one file of events after the other, each with every ``files``-th event, and go on with one stream after each."""
     root = f"{checkpoint_folder(spark, name)}/{uuid.uuid4().hex}"
-    events = build(tv.log_events(spark, sf_dir))
+    built = build(tv.log_events(spark, sf_dir))
+    # Built once and kept: each file is a choice of its rows.
+    built.write.parquet(f"{root}/built")
+    events = spark.read.schema(built.schema).parquet(f"{root}/built")
     for turn in range(files):
         events.filter(F.pmod("seq", F.lit(files)) == turn).write.mode("append").parquet(f"{root}/source")
         stream = streams.read_events(spark, f"{root}/source", events.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import alerts, hypotheses, quota, reports, state
+from ..operators import alerts, hypotheses, quota, reports, scrub, state
 from ..operators.exceptions import parse_errors
 from ..plans import pipelines as pl
 from ..sources import payloads
@@ -155,7 +155,12 @@ def error_changes(
         if users is not None and usage_path:
             before = usage_before(spark, usage_path, batch_id)
             limits = quota.add_usage(users, before)
-        analysed = pl.analyse(batch, users=limits, **options).persist()
+        # The quota reads the events twice (sums by piece, positions inside it), so what is parsed is held.
+        how = {k: v for k, v in options.items() if k not in ("redacted", "compat")}
+        clean = batch if options.get("redacted") else scrub.scrub(batch, "message")
+        parsed = parse_errors(clean, "message", compat=options.get("compat", False))
+        held = parsed.persist() if limits is not None else parsed
+        analysed = pl.decide(held, users=limits, **how).persist()
         try:
             rows = pl.error_rows(analysed, seq=seq, embedding=embedding, raw_log_chars=raw_log_chars)
             append_changes(state.upsert_errors(rows, seq=seq, embedding=embedding), path, batch_id)
@@ -164,5 +169,6 @@ def error_changes(
                 fold_usage(before, billed, usage_path, batch_id)
         finally:
             analysed.unpersist()
+            held.unpersist()
 
     return write
