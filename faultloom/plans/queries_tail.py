@@ -34,19 +34,18 @@ PIECE_BYTES = 1 << 20
 CLOSING = b"-- closed\n"
 
 
-def _write(lines: DataFrame, folder: str, share: float, closing: bytes = b"") -> None:
-    """One file per ``path`` with the first ``share`` of the bytes of its lines in order, and ``closing`` at the end of the whole file."""
+def _write(lines: DataFrame, folder: str) -> DataFrame:
+    """One file per ``path`` with its lines in order, and the files' names as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = tail.open_folder(folder)
+        store, base = tail.open_folder(f"{folder}/files")
         store.create_dir(base)
-        current, held = None, []
+        current, held, names = None, [], []
 
         def put() -> None:
-            content = b"".join(held)
-            content = content + closing if share == 1.0 else content[: int(len(content) * share)]
+            names.append(f"{current}.log")
             with store.open_output_stream(f"{base}/{current}.log") as file:
-                file.write(content)
+                file.write(b"".join(held))
 
         for batch in batches:
             for path, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
@@ -57,10 +56,30 @@ def _write(lines: DataFrame, folder: str, share: float, closing: bytes = b"") ->
                 held.append(line.encode() + b"\n")
         if held:
             put()
-        yield pa.RecordBatch.from_pydict({"done": [True]})
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
 
     ordered = lines.repartition("path").sortWithinPartitions("path", "n").select("path", "line")
-    ordered.mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
+    ordered.mapInArrow(run, "name string").write.parquet(f"{folder}/names")
+    return lines.sparkSession.read.schema("name string").parquet(f"{folder}/names")
+
+
+def _grow(names: DataFrame, whole: str, folder: str, share: float, closing: bytes = b"") -> None:
+    """The first ``share`` of the bytes of each whole file, and ``closing`` at the end of what is there to the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = tail.open_folder(f"{whole}/files")
+        target = tail.open_folder(folder)[1]
+        store.create_dir(target)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with store.open_input_file(f"{base}/{name}") as file:
+                    content = file.read(file.size() if share == 1.0 else int(file.size() * share))
+                with store.open_output_stream(f"{target}/{name}") as file:
+                    file.write(content + closing if share == 1.0 else content)
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    dealt = names.repartition(names.sparkSession.sparkContext.defaultParallelism)
+    dealt.mapInArrow(run, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 def _file_name(path: str, n: str, per_file: int) -> Column:
@@ -70,8 +89,9 @@ def _file_name(path: str, n: str, per_file: int) -> Column:
 def _grown(spark: SparkSession, name: str, lines: DataFrame, build: Callable[[DataFrame], DataFrame], closing: bytes = b"") -> DataFrame:
     """What ``build`` makes of the growing files, over all runs of the stream."""
     root = f"{checkpoint_folder(spark, name)}/{uuid.uuid4().hex}"
+    names = _write(lines, f"{root}/whole")
     for share in SHARES:
-        _write(lines, f"{root}/logs", share, closing)
+        _grow(names, f"{root}/whole", f"{root}/logs", share, closing)
         stream = build(tail.tail_log_lines(spark, f"{root}/logs", piece_bytes=PIECE_BYTES))
         streams.start(stream, f"{root}/checkpoint", lambda batch, i: tables.append_changes(batch, f"{root}/out", i)).awaitTermination()
     return spark.read.parquet(f"{root}/out").drop(tables.BATCH)

@@ -28,6 +28,9 @@ SCHEMA = "path string, piece long, offset long, line string, seen timestamp"
 PIECE_BYTES = 64 << 20
 BLOCK = 1 << 16
 BATCH_LINES = 4096
+#: Bytes of small pieces that share a task at most, and tasks that a batch is dealt over if it holds less.
+PACK_BYTES = 8 << 20
+FEW_TASKS = 32
 #: Lengths of the beginnings whose checksums tell files apart.
 HEADS = tuple(1 << i for i in range(4, 13))
 
@@ -82,6 +85,27 @@ def pieces(start: dict, end: dict, size: int = PIECE_BYTES) -> list[Piece]:
     return out
 
 
+class Pack(InputPartition):
+    """Pieces that one task reads one after the other."""
+
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(None)
+        self.pieces = pieces
+
+
+def packed(found: list[Piece]) -> list[Pack]:
+    """Small pieces together, so tasks follow the bytes and not the files."""
+    room = min(PACK_BYTES, max(1, sum(p.end - p.start for p in found) // FEW_TASKS))
+    packs, held, size = [], [], 0
+    for piece in found:
+        if held and size + piece.end - piece.start > room:
+            packs.append(Pack(held))
+            held, size = [], 0
+        held.append(piece)
+        size += piece.end - piece.start
+    return packs + ([Pack(held)] if held else [])
+
+
 def lines_of(file: pa.NativeFile, piece: Piece) -> Iterator[tuple[int, bytes]]:
     """(byte offset, line without its end) of a piece; a line belongs to the piece in which it begins.
 
@@ -155,20 +179,21 @@ class GrowingLinesReader(DataSourceStreamReader):
         self.known = found
         return found
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return pieces(start, end, self.piece_bytes)
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        return packed(pieces(start, end, self.piece_bytes))
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(self.folder)
-        with store.open_input_file(partition.path) as file:
-            waiting: list[tuple[int, bytes]] = []
-            for row in lines_of(file, partition):
-                waiting.append(row)
-                if len(waiting) == BATCH_LINES:
-                    yield self._batch(partition, waiting)
-                    waiting = []
-            if waiting:
-                yield self._batch(partition, waiting)
+        for piece in partition.pieces:
+            with store.open_input_file(piece.path) as file:
+                waiting: list[tuple[int, bytes]] = []
+                for row in lines_of(file, piece):
+                    waiting.append(row)
+                    if len(waiting) == BATCH_LINES:
+                        yield self._batch(piece, waiting)
+                        waiting = []
+                if waiting:
+                    yield self._batch(piece, waiting)
 
     @staticmethod
     def _batch(piece: Piece, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
