@@ -17,12 +17,12 @@ are looked up where the text is read; the others are joined to their counts by a
 import math
 import sys
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
@@ -43,12 +43,13 @@ ROUNDS = 3
 PART_TOKENS = 1 << 21
 RATE = 0.1
 STEP_TOKENS = 8192
+#: Tokens whose chances are worked out together: few enough to stay in a core's cache.
+CACHE_TOKENS = 1024
 #: The frequent tokens sent to every task: at most so many, each at most so long, together at most so many bytes.
 HEAD_TOKENS = 1 << 18
 HEAD_TOKEN_BYTES = 64
 HEAD_BYTES = 8 << 20
-#: Distinct tokens a task gathers before it passes their counts on, and word hashes a worker remembers.
-FLUSH = 200_000
+#: Word hashes a worker remembers.
 HASH_CACHE = 200_000
 #: Weight rows that travel together.
 BLOCK_ROWS = 256
@@ -59,11 +60,15 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """A-Z in lower case, cut at space and the control characters tab to carriage return, and the end."""
-    tokens = (text or "").encode("utf-8").lower().split()
-    tokens.append(END)
-    return tokens
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and the words of all: A-Z in lower case, cut at space and the control characters tab to carriage return."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(lower), 0), pa.scalar(None, lower.type), lower))
+    return pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def ending(token: bytes) -> int:
@@ -127,25 +132,31 @@ class Vocabulary:
 
 
 class Coded:
-    """Texts as arrays: context hashes with blanks in front of each text, targets, and where each text's tokens are."""
-
-    def __init__(self, texts: list[str | None], tables: dict):
-        split = [tokens_of(t) for t in texts]
-        self.lengths = np.array([len(s) for s in split], np.int64)
-        place = np.concatenate([np.fromiter(map(tables["index"].__getitem__, s), np.int32, len(s)) for s in split])
-        self.place = place
-        self.hashes = tables["hash"][place]
-        self.target = tables["target"][place]
-        self.rare = np.flatnonzero(place < 0)
-        self.document = np.repeat(np.arange(len(split)), self.lengths)
-        flat = [t for s in split for t in s] if len(self.rare) else []
-        self.rare_tokens = [flat[i] for i in self.rare.tolist()]
-        if self.rare_tokens:
-            other = [tables["other"][t] for t in self.rare_tokens]
-            self.hashes[self.rare] = np.fromiter((h for h, _ in other), np.uint64, len(other))
-            self.target[self.rare] = np.fromiter((e for _, e in other), np.int32, len(other)) + CLASSES * CLASS_WORDS
-        self.context = np.zeros(len(place) + _FRONT * len(split), np.uint64)
-        self.at = np.arange(len(place)) + _FRONT * (self.document + 1)
+    """Texts as arrays: context hashes with blanks in front of each text, targets, and where each text's tokens are.
+
+    Tokens are looked up once for each distinct one: ``tokens`` are these, ``number`` is the place of each token among them.
+    """
+
+    def __init__(self, texts: pa.Array | list[str | None], tables: dict):
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        lengths, words = words_of(texts)
+        words = words.dictionary_encode()
+        self.lengths = lengths + 1
+        self.tokens = [*as_bytes(words.dictionary), END]
+        self.number = np.full(len(words) + len(texts), len(self.tokens) - 1, np.int32)
+        self.document = np.repeat(np.arange(len(texts)), self.lengths)
+        self.number[np.arange(len(words)) + np.repeat(np.arange(len(texts)), lengths)] = words.indices.to_numpy()
+        place = np.fromiter(map(tables["index"].__getitem__, self.tokens), np.int32, len(self.tokens))
+        hashes, target = tables["hash"][place], tables["target"][place]
+        rare = np.flatnonzero(place < 0)
+        if len(rare):
+            other = [tables["other"][self.tokens[i]] for i in rare.tolist()]
+            hashes[rare] = np.fromiter((h for h, _ in other), np.uint64, len(other))
+            target[rare] = np.fromiter((e for _, e in other), np.int32, len(other)) + CLASSES * CLASS_WORDS
+        self.place, self.hashes, self.target = place[self.number], hashes[self.number], target[self.number]
+        self.rare = np.flatnonzero(self.place < 0)
+        self.context = np.zeros(len(self.place) + _FRONT * len(texts), np.uint64)
+        self.at = np.arange(len(self.place)) + _FRONT * (self.document + 1)
         self.context[self.at] = self.hashes
 
 
@@ -183,6 +194,35 @@ def softmax(weights: np.ndarray, start: np.ndarray, rows: np.ndarray) -> np.ndar
     return scores
 
 
+def powers_of(weights: np.ndarray, start: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Powers of e of both tables, or None where a sum of so many feature rows and the start might be clipped by ``softmax``."""
+    most = features * max(weights.max(), -weights.min()) + max(start.max(), -start.min())
+    return (np.exp(weights), np.exp(start)) if most < 60 else None
+
+
+def chance_of(chosen: np.ndarray, powers: np.ndarray, start: np.ndarray, rows: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Of each token's softmax, the probability of the ``chosen`` column, by products of ``powers_of`` the weights.
+
+    ``room`` is memory for two factors of ``CACHE_TOKENS`` tokens that calls may share.
+    """
+    out = np.empty(len(chosen), np.float32)
+    ones = np.ones(powers.shape[1], np.float32)
+    room = np.empty((2, CACHE_TOKENS, powers.shape[1]), np.float32) if room is None else room
+    for low in range(0, len(chosen), CACHE_TOKENS):
+        now = slice(low, low + CACHE_TOKENS)
+        column = chosen[now]
+        part, more = room[:, : len(column)]
+        np.take(powers, rows[0, now], axis=0, out=part, mode="clip")
+        for row in rows[1:, now]:
+            part *= np.take(powers, row, axis=0, out=more, mode="clip")
+        if start.ndim == 1:
+            out[now] = part[np.arange(len(part)), column] * start[column] / (part @ start)
+        else:
+            part *= start[now]
+            out[now] = part[np.arange(len(part)), column] / (part @ ones)
+    return out
+
+
 def summed_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, how often each occurs, sum of the gradients of its occurrences); ``rows`` is features x tokens."""
     count = rows.shape[1]
@@ -196,10 +236,10 @@ def summed_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, n
     first, times = first[by_times], times[by_times]
     token = order % count
     sums = np.take(gradient, token[first], axis=0)
-    often = int(np.searchsorted(-times, -24))  # the first so many rows occur at least 24 times
+    often = int(np.searchsorted(-times, -40))  # the first so many rows occur at least 40 times
     for i in range(often):
         sums[i] = np.take(gradient, token[first[i] : first[i] + times[i]], axis=0).sum(axis=0)
-    for nth in range(1, 24):
+    for nth in range(1, 40):
         stop = int(np.searchsorted(-times, -nth))  # rows that occur more than nth times
         if stop <= often:
             break
@@ -259,19 +299,31 @@ class Weights:
                 error[np.arange(len(inner)), target[inner] % CLASS_WORDS] -= 1
                 self._step(1, rows, error, rate)
 
-    def log10(self, coded: Coded) -> np.ndarray:
+    def powers(self) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """What ``log10`` needs of weights that stay as they are."""
+        return [powers_of(self.tables[0], self.class_start, 4), powers_of(self.tables[1], self.word_start, 2)]
+
+    def log10(self, coded: Coded, powers: list | None = None) -> np.ndarray:
         """Per token: log10 of its class's probability, and of a frequent word's in its class."""
+        powers = powers or self.powers()
+        rooms = [np.empty((2, CACHE_TOKENS, t.shape[1]), np.float32) for t in self.tables]
+
+        def chance(which: int, chosen: np.ndarray, rows: np.ndarray, of: np.ndarray | slice) -> np.ndarray:
+            if powers[which]:
+                found = chance_of(chosen, powers[which][0], powers[which][1][of], rows, rooms[which])
+            else:
+                found = softmax(self.tables[which], (self.class_start, self.word_start)[which][of], rows)[np.arange(len(chosen)), chosen]
+            return np.log10(found.astype(np.float64))
+
         out = np.empty(len(coded.at))
         for low in range(0, len(coded.at), STEP_TOKENS):
             at, target = coded.at[low : low + STEP_TOKENS], coded.target[low : low + STEP_TOKENS]
             classes = class_of(target)
-            chance = softmax(self.tables[0], self.class_start, class_features(coded.context, at, self.bits))
-            part = np.log10(chance[np.arange(len(at)), classes].astype(np.float64))
+            part = chance(0, classes, class_features(coded.context, at, self.bits), slice(None))
             inner = np.flatnonzero(target < CLASSES * CLASS_WORDS)
             if len(inner):
                 rows = word_features(coded.context, at[inner], classes[inner], self.bits)
-                chance = softmax(self.tables[1], self.word_start[classes[inner]], rows)
-                part[inner] += np.log10(chance[np.arange(len(inner)), target[inner] % CLASS_WORDS].astype(np.float64))
+                part[inner] += chance(1, target[inner] % CLASS_WORDS, rows, classes[inner])
             out[low : low + STEP_TOKENS] = part
         return out
 
@@ -325,14 +377,11 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c): how often each token occurs in ``docs(text)``, ends included."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens_of(text))
-                if len(seen) >= FLUSH:
-                    yield {"token": list(seen), "c": list(seen.values())}
-                    seen = Counter()
-        yield {"token": list(seen), "c": list(seen.values())}
+            if not batch.num_rows:
+                continue
+            found = words_of(batch.column(0))[1].value_counts()
+            yield {"token": [*as_bytes(found.field("values")), END], "c": np.append(found.field("counts").to_numpy(), batch.num_rows)}
 
     return written(rows_of(docs.select("text"), "token binary, c long", gather).groupBy("token").agg(F.sum("c").alias("c")), "token_counts")
 
@@ -454,33 +503,35 @@ def score(df: DataFrame, counts: DataFrame, words: Vocabulary, weights: Weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words, weights = Vocabulary(*sent.value[0]), Weights.of(sent.value[1])
-        tables, log_mass = words.tables(), np.log10(words.ending_mass)
+        tables, log_mass, powers = words.tables(), np.log10(words.ending_mass), weights.powers()
         frequent = CLASSES * CLASS_WORDS
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                coded = Coded(part.column(1).to_pylist(), tables)
+                coded = Coded(part.column(1), tables)
                 n = part.num_rows
-                chance = weights.log10(coded)
+                chance = weights.log10(coded, powers)
                 tail = coded.target >= frequent
                 chance[tail] -= log_mass[coded.target[tail] - frequent]
                 logs = tables["log"][coded.place]  # 0 for tokens whose count is not here
                 chance[tail] += logs[tail]
                 known = np.bincount(coded.document, coded.place >= 0, n).astype(np.int64)
-                rest = Counter(zip(coded.document[coded.rare].tolist(), coded.rare_tokens))
-                rows = list(range(number + 1, number + n + 1))
+                # Each document's distinct tokens whose count is not here, and how often it has them.
+                rest, times = np.unique(coded.document[coded.rare] * len(coded.tokens) + coded.number[coded.rare], return_counts=True)
+                owner, token = np.divmod(rest, len(coded.tokens))
+                rows = np.arange(number + 1, number + n + 1)
                 number += n
                 blank = [None] * len(rest)
                 yield {
-                    "row": [*rows, *(rows[d] for d, _ in rest)],
+                    "row": np.concatenate([rows, rows[owner]]),
                     "doc_id": [*part.column(0).to_pylist(), *blank],
                     "n_tokens": [*coded.lengths.tolist(), *blank],
                     "known": [*known.tolist(), *blank],
                     "base": [*np.bincount(coded.document, logs, n).tolist(), *blank],
                     "model": [*np.bincount(coded.document, chance, n).tolist(), *blank],
-                    "token": [*[None] * n, *(t for _, t in rest)],
-                    "n": [*[None] * n, *rest.values()],
+                    "token": [*[None] * n, *(coded.tokens[t] for t in token.tolist())],
+                    "n": [*[None] * n, *times.tolist()],
                 }
 
     schema = f"row long, doc_id {ident}, n_tokens long, known long, base double, model double, token binary, n int"

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from fixtures import SCHEMA, messy_rows, prose, row
 from pyspark.sql import functions as F
 
@@ -485,6 +487,47 @@ def test_lm_does_not_depend_on_partitions(spark):
     assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-6
 
 
+def test_lm_words_are_cut_as_bytes_are():
+    rng = random.Random(5)
+    texts = [None, "", " ", "\n\x0c", " a", "a ", *("".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u3000AZazİé日\0", k=rng.randrange(12))) for _ in range(3000))]
+    want = [(t or "").encode().lower().split() for t in texts]
+    for array in (pa.array(texts, pa.string()), pa.array(["x y", *texts], pa.large_string()).slice(1)):
+        lengths, words = lm.words_of(array)
+        assert lengths.tolist() == [len(w) for w in want] and lm.as_bytes(words) == [t for w in want for t in w]
+
+
+def test_lm_looks_up_each_distinct_token_once():
+    counts = Counter(prose(1, 400).encode().lower().split())
+    vocabulary = lm.Vocabulary([*counts], np.array([*counts.values()]), sum(counts.values()), len(counts), np.full(lm.ENDINGS, 0.5))
+    asked = Counter()
+
+    class Asked(lm.Index):
+        def __getitem__(self, token):
+            asked[token] += 1
+            return super().__getitem__(token)
+
+    tables = vocabulary.tables()
+    texts = [prose(1, 400), None, "Rare rare thing", prose(1, 400).upper(), " the  RARE "]
+    coded = lm.Coded(texts, tables | {"index": Asked(tables["index"])})
+    assert asked and set(asked.values()) == {1}
+    tokens = [w for t in texts for w in [*(t or "").encode().lower().split(), b"\n"]]
+    assert [coded.tokens[i] for i in coded.number] == tokens
+    assert coded.place.tolist() == [tables["index"][t] for t in tokens]
+    assert coded.hashes.tolist() == [xxhash.xxh3_64_intdigest(t) for t in tokens]
+    assert coded.document.tolist() == [i for i, n in enumerate(coded.lengths.tolist()) for _ in range(n)]
+
+
+def test_lm_products_of_powers_are_the_softmax():
+    rng = np.random.default_rng(6)
+    rows, chosen = rng.integers(0, 64, (4, 3000)), rng.integers(0, 9, 3000)
+    weights = rng.normal(0, 2, (64, 9)).astype(np.float32)
+    for start in (rng.normal(0, 1, 9).astype(np.float32), rng.normal(0, 1, (3000, 9)).astype(np.float32)):
+        want = lm.softmax(weights, start, rows)[np.arange(3000), chosen]
+        assert np.allclose(lm.chance_of(chosen, *lm.powers_of(weights, start, 4), rows), want, rtol=1e-5, atol=0)
+    # Sums that may be clipped are not taken as products.
+    assert lm.powers_of(weights * 9, start, 4) is None
+
+
 def test_lm_grows_with_the_corpus():
     sizes = [lm.feature_bits(n) for n in (0, 10**5, 10**7, 6 * 10**7, 10**9, 10**12)]
     assert sizes == sorted(sizes) and sizes[3] >= 14 and sizes[-1] > sizes[-2] > sizes[3]
