@@ -161,3 +161,19 @@ def test_a_row_that_many_queries_want_travels_once_per_pack(spark, tmp_path, mon
     vector_index.search(index, df, group="grp", query_id="id", probes=0.8, candidates=40, skip_self=True)
     sent = taken[0].agg(F.sum(F.size("ids")), F.sum(F.size("spots"))).first()
     assert sent[0] <= 1000 * 1 and sent[1] == 1000 * 40
+
+
+def test_blocks_full_of_rows_of_one_id(spark, tmp_path):
+    """Rows of one id that fill several blocks are told apart, so each candidate is the row that was found."""
+    vectors = np.random.default_rng(13).standard_normal((60, 8))
+    vectors[20:] = vectors[20] + 0.01 * vectors[20:]
+    rows = [(i if i < 20 else 99, 1, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, grp int, embedding array<float>")
+    index = vector_index.build(df, str(tmp_path), group="grp", ident="id", cells=3, block_rows=4)
+    assert index.table(spark).select("block").distinct().count() == index.table(spark).count()
+    hits = vector_index.search(index, df.filter("id < 20"), group="grp", query_id="id", probes=1.0, candidates=60).collect()
+    similar = exact(vectors, np.zeros(60))[1]
+    np.fill_diagonal(similar, 1.0)
+    for i in range(20):
+        got = sorted((r["similarity"] for r in hits if r["query_id"] == i), reverse=True)
+        assert got == pytest.approx(sorted(similar[i], reverse=True)[:5], abs=1e-9)
